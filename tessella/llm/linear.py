@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 31  # of hashed features; a model holds weights for its telling ones only
 
 
 @dataclass
@@ -30,7 +30,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], targets: np.ndarray, importance: np.ndarray | None = None, dimensions: int = DIMENSIONS, epochs: int = 12, batch: int = 256, rate: float = 0.5, decay: float = 1e-6, seed: int = 11) -> Linear:
+def fit(rows: list[np.ndarray], targets: np.ndarray, importance: np.ndarray | None = None, *, dimensions: int, epochs: int = 12, batch: int = 256, rate: float = 0.5, decay: float = 1e-6, seed: int = 11) -> Linear:
     """AdaGrad over shuffled batches. ``targets`` are probabilities, ``importance`` weighs rows."""
     model = Linear(np.zeros(dimensions), 0.0)
     if not len(rows):
@@ -59,20 +59,20 @@ def fit(rows: list[np.ndarray], targets: np.ndarray, importance: np.ndarray | No
     return model
 
 
-def telling(rows: list[np.ndarray], targets: np.ndarray, dimensions: int, least_z: float, least_rows: float = 3, most: int = 4096, two_sided: bool = False) -> np.ndarray:
+def telling(rows: list[np.ndarray], targets: np.ndarray, least_z: float, least_rows: float = 3, most: int = 4096, two_sided: bool = False) -> np.ndarray:
     """The features whose share of positive rows is far above the mean (or below, if two-sided)."""
-    total = np.zeros(dimensions)
-    positive = np.zeros(dimensions)
-    for own, target in zip(rows, targets, strict=True):
-        total[own] += 1
-        positive[own] += target
-    share = targets.mean() if len(targets) else 0.0
+    if not len(rows):
+        return np.empty(0, dtype=np.int64)
+    features, at = np.unique(np.concatenate(rows), return_inverse=True)
+    total = np.bincount(at, minlength=len(features))
+    positive = np.bincount(at, weights=np.repeat(targets, [len(r) for r in rows]), minlength=len(features))
+    share = targets.mean()
     z = (positive - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
     good = (z > least_z) & (positive >= least_rows)
     if two_sided:
         good |= (z < -least_z) & (total - positive >= least_rows)
     found = np.flatnonzero(good)
-    return np.sort(found[np.argsort(-np.abs(z[found]), kind="stable")[:most]])
+    return np.sort(features[found[np.argsort(-np.abs(z[found]), kind="stable")[:most]]]).astype(np.int64)
 
 
 def restricted(rows: list[np.ndarray], features: np.ndarray) -> list[np.ndarray]:

@@ -26,7 +26,6 @@ from tessella.llm.quality_signals import packed, posteriors, signals, votes
 from tessella.llm.texts import digests, distinct_pairs, slices, tokens
 from tessella.runtime import checkpointed
 
-DIMENSIONS = 1 << 20
 MOST_ROWS = 8_000
 LEAST_QUALITY = 0.5
 _LEVELS = 16
@@ -52,7 +51,7 @@ def features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scale = np.log1p(share) if name in ("words", "length") else np.sqrt(np.clip(share, 0, 1)) * 4
         level = np.minimum((scale * 4).astype(np.int64), _LEVELS * 2)
         parts.append((np.arange(len(whole)), digests([f"{k}={x}" for x in level], 23)))
-    every = np.concatenate([f for _, f in parts]) & np.uint64(DIMENSIONS - 1)
+    every = np.concatenate([f for _, f in parts]) & np.uint64(linear.DIMENSIONS - 1)
     owners, features = distinct_pairs(np.concatenate([o for o, _ in parts]), every.astype(np.int64))
     return owners, features, packed(votes(own))
 
@@ -105,10 +104,10 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _fitted(got: pa.Table, patterns: np.ndarray, posterior: np.ndarray) -> tuple[np.ndarray, linear.Linear]:
     """Telling features and the scorer over them, from the sample's features and patterns."""
     lists = got["features"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat, bounds = lists.values.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
+    flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     label = posterior[np.searchsorted(patterns, got["pattern"].to_numpy())] if got.num_rows else np.empty(0)
     once = {flat[a:b].tobytes(): (flat[a:b], y) for a, b, y in zip(bounds[:-1], bounds[1:], label, strict=True)}
     rows = [once[k][0] for k in sorted(once)]
     targets = np.array([once[k][1] for k in sorted(once)])
-    telling = linear.telling(rows, targets, DIMENSIONS, least_z=4.0, most=1 << 15, two_sided=True)
+    telling = linear.telling(rows, targets, least_z=4.0, most=1 << 15, two_sided=True)
     return telling, linear.fit(linear.restricted(rows, telling), targets, dimensions=max(len(telling), 1), epochs=10)

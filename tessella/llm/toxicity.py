@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 from tessella.llm import linear
 from tessella.llm.texts import digests, distinct_pairs, slices, tokens
 
-DIMENSIONS = 1 << 20
 BEGINNINGS = (4, 5, 6, 7, 8)
-MOST_LABELLED = 12_000
+MOST_LABELLED = 8_000
 FOLDS, HELD_OUT = 5, 0
 TOXIC, ABSTAIN, CLEAN = 0, 1, 2
 LEXICONS = 12  # that telling features are dealt to
@@ -66,7 +65,7 @@ def _word_features(words: pa.Array) -> np.ndarray:
     plain = pc.utf8_trim(words, _TRIMMED)
     columns = [digests(plain.to_pylist(), 1)]
     columns += [digests(pc.utf8_slice_codeunits(plain, 0, k).to_pylist(), 10 + k) for k in BEGINNINGS]
-    return (np.stack(columns, axis=1) & np.uint64(DIMENSIONS - 1)).astype(np.int64)
+    return (np.stack(columns, axis=1) & np.uint64(linear.DIMENSIONS - 1)).astype(np.int64)
 
 
 def found_in(texts: pa.Array, only: np.ndarray | None = None) -> Found:
@@ -179,7 +178,7 @@ class Scorer:
 def fit_scorer(rows: list[np.ndarray], patterns: np.ndarray, annotated: np.ndarray) -> Scorer:
     """From the features of labelled texts: lexicons, label model, and classifier."""
     known = annotated >= 0
-    told = linear.telling([r for r, k in zip(rows, known, strict=True) if k], (annotated[known] == 1).astype(float), DIMENSIONS, least_z=5.0)
+    told = linear.telling([r for r, k in zip(rows, known, strict=True) if k], (annotated[known] == 1).astype(float), least_z=5.0)
     fixed = np.unique(np.concatenate(fixed_features()))
     features = np.union1d(told, fixed)
     if not len(rows):
@@ -226,10 +225,10 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
     got = rows.mapInArrow(made, "y int, features array<int>, pattern int").toArrow()
     lists = got["features"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat, bounds = lists.values.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
+    flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     own = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     pattern = got["pattern"].to_numpy()[:, None] >> np.arange(len(PATTERNS)) & 1
-    order = np.lexsort([[len(r) for r in own], [int(r.sum()) for r in own]]) if own else np.empty(0, int)  # the rows come in any order
+    order = np.lexsort([[len(r) for r in own], [int(r.sum(dtype=np.int64)) for r in own]]) if own else np.empty(0, int)  # the rows come in any order
     return fit_scorer([own[i] for i in order], pattern[order].astype(bool), got["y"].to_numpy()[order])
 
 
