@@ -24,7 +24,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,12 +116,25 @@ def write_index(rules: Iterable[tuple[str, str]], folder: str) -> str:
     return str(path)
 
 
+#: Index files that an application has been given, by application and file name.
+_SENT: dict[tuple[str, str], str] = {}
+
+
+def _shipped(context: SparkContext, rules: Iterable[tuple[str, str]]) -> str:
+    """The name under which workers find the rules' index. Equal rules are sent once."""
+    path = write_index(rules, tempfile.mkdtemp(prefix="tessella-rules-"))
+    name = Path(path).name
+    key = (context.applicationId, name)
+    if key not in _SENT:
+        context.addFile(path)
+        _SENT[key] = path
+    return name
+
+
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """One row per row of ``pages``: its id, host, path, the longest fitting rule, and the verdict."""
     spark = pages.sparkSession
-    path = write_index(rules, tempfile.mkdtemp(prefix="tessella-rules-"))
-    spark.sparkContext.addFile(path)
-    name = Path(path).name
+    name = _shipped(spark.sparkContext, rules)
     url = F.coalesce(F.col(url_col), F.lit(""))
     parts = r"://([^/?#]*)([^?#]*)"
     host = F.translate(F.regexp_extract(url, parts, 1), string.ascii_uppercase, string.ascii_lowercase)

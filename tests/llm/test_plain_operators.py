@@ -189,6 +189,7 @@ def test_urls(spark):
     assert Counter(tuple(r)[1:] for r in got) == Counter(direct_verdict(u, RULES) for u in urls)
     assert url_filter.judge_urls(pages.limit(0), RULES).count() == 0
     assert {r["verdict"] for r in url_filter.judge_urls(pages, []).collect()} == {"allow"}
+    assert url_filter.judge_urls(pages, RULES).count() == len(urls)
 
 
 def test_index_confirms_strings_behind_equal_digests(tmp_path, monkeypatch):
