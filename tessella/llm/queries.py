@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filter
+from tessella.llm import exact_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filter
 from tessella.runtime import table
 
 RULES = (
@@ -31,6 +31,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_url_filters, op3_source_mixing, op5_quality_rules, op6_toxicity, op7_token_counts,
+        op1_best_fit_packing, op2_url_filters, op3_source_mixing, op4_lm_scoring, op5_quality_rules, op6_toxicity, op7_token_counts,
         op8_quality_classifier, op9_simhash, op10_exact_dedup,
     )
 }
