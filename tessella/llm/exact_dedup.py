@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.runtime import checkpointed
@@ -58,27 +58,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the largest id.
 
-    Rows that repeat an id within a group are ordered by all their columns, so exactly one stays.
-    The combining carries each group's best row along and needs no join afterwards.
+    Where rows share that id, one of them stays, by the order of all their columns.
     """
-    if not docs.columns:
-        return docs
     # positions instead of names, so that no column can clash with those of the operator
     names = docs.columns
     fields = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at_id, at_text = (f"c{names.index(c)}" for c in (id_col, text_col))
-    rest = [c for c in fields.columns if c not in (at_id, at_text)]
-    order = F.struct(F.col(at_id), F.col(at_text), *(F.to_json(F.struct(c)).alias(f"k_{c}") for c in rest))
-    rows = fields.select(
-        F.struct(order.alias("key"), F.struct(*rest).alias("rest")).alias("row"), ascii_lower(F.col(at_text)).alias("body"),
-        F.col(at_id).alias("id"),
-    ).withColumn("digest", _digest("body"))
-    best = F.max_by("row", "row.key").alias("row")
-    merged = rows.groupBy("digest", _salt("id", salts).alias("salt"), "body").agg(best)
-    kept = merged.groupBy("digest", "body").agg(best)
-    return kept.select(
-        *(F.col(f"row.key.{c}").alias(n) if c in (at_id, at_text) else F.col(f"row.rest.{c}").alias(n) for c, n in zip(fields.columns, names, strict=True))
-    )
+    rows = fields.select("*", F.col(at_id).alias("id"), ascii_lower(F.col(at_text)).alias("body")).withColumn("digest", _digest("body"))
+    narrow = rows.select("id", "digest", "body")
+    totals = checkpointed(_totals(narrow, salts))
+    best = totals.where("variants = 1").select(F.col("digest").alias("b_digest"), F.col("keep_id").alias("b_id"))
+    won = (F.col("digest") == F.col("b_digest")) & F.col("id").eqNullSafe(F.col("b_id"))
+    kept = rows.join(best, won, "left_semi")
+    clash = totals.where("variants > 1").select("digest")
+    if not clash.isEmpty():  # different texts under one digest: told apart by content
+        own = _merged(narrow.join(clash, "digest", "left_semi"), salts).groupBy("body").agg(F.max("keep_id").alias("b_id"))
+        own = own.withColumnRenamed("body", "b_body")
+        kept = kept.unionByName(rows.join(own, (F.col("body") == F.col("b_body")) & F.col("id").eqNullSafe(F.col("b_id")), "left_semi"))
+    again = rows.select("id", "digest").join(best, won, "left_semi").groupBy("id", "digest").count().where("count > 1")
+    if not (again.isEmpty() and clash.isEmpty()):
+        turn = Window.partitionBy("digest", "body").orderBy(*(F.to_json(F.struct(c)) for c in fields.columns))
+        kept = kept.withColumn("turn", F.row_number().over(turn)).where("turn = 1")
+    return kept.select(*(F.col(c).alias(n) for c, n in zip(fields.columns, names, strict=True)))
 
 
 def _digest(body: str) -> Column:

@@ -30,15 +30,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], targets: np.ndarray, importance: np.ndarray | None = None, *, dimensions: int, epochs: int = 12, batch: int = 256, rate: float = 0.5, decay: float = 1e-6, seed: int = 11) -> Linear:
-    """AdaGrad over shuffled batches. ``targets`` are probabilities, ``importance`` weighs rows."""
-    model = Linear(np.zeros(dimensions), 0.0)
+def fit(rows: list[np.ndarray], targets: np.ndarray, start: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.5, decay: float = 1e-6, seed: int = 11) -> Linear:
+    """AdaGrad over shuffled batches, from weights ``start``; ``targets`` are probabilities."""
+    model = Linear(start.astype(np.float64), 0.0)
     if not len(rows):
         return model
-    importance = np.ones(len(rows)) if importance is None else importance
-    share = np.clip((importance * targets).sum() / max(importance.sum(), 1e-9), 1e-3, 1 - 1e-3)
+    share = np.clip(targets.mean(), 1e-3, 1 - 1e-3)
     model.offset = float(np.log(share / (1 - share)))
-    squares, offset_square = np.full(dimensions, 1e-2), 1e-2
+    squares, offset_square = np.full(len(start), 1e-2), 1e-2
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -47,7 +46,7 @@ def fit(rows: list[np.ndarray], targets: np.ndarray, importance: np.ndarray | No
             sizes = np.array([len(rows[i]) for i in own])
             owner = np.repeat(np.arange(len(own)), sizes)
             features = np.concatenate([rows[i] for i in own]).astype(np.int64)
-            error = (model.scores(owner, features, len(own)) - targets[own]) * importance[own] / len(own)
+            error = (model.scores(owner, features, len(own)) - targets[own]) / len(own)
             spread = error / np.sqrt(np.maximum(sizes, 1))
             touched, at = np.unique(features, return_inverse=True)
             gradient = np.bincount(at, weights=spread[owner], minlength=len(touched)) + decay * model.weights[touched]

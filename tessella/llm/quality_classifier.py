@@ -110,4 +110,4 @@ def _fitted(got: pa.Table, patterns: np.ndarray, posterior: np.ndarray) -> tuple
     rows = [once[k][0] for k in sorted(once)]
     targets = np.array([once[k][1] for k in sorted(once)])
     telling = linear.telling(rows, targets, least_z=4.0, most=1 << 15, two_sided=True)
-    return telling, linear.fit(linear.restricted(rows, telling), targets, dimensions=max(len(telling), 1), epochs=10)
+    return telling, linear.fit(linear.restricted(rows, telling), targets, np.zeros(len(telling)), epochs=10)

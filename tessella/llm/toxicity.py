@@ -36,6 +36,7 @@ MOST_LABELLED = 8_000
 FOLDS, HELD_OUT = 5, 0
 TOXIC, ABSTAIN, CLEAN = 0, 1, 2
 LEXICONS = 12  # that telling features are dealt to
+FIXED_WEIGHT = 4.0
 SHORT = 20  # features below which finding nothing says nothing
 
 # Lexicons of insults.
@@ -131,9 +132,13 @@ _BEFORE = np.array([[0.30, 0.40, 0.30], [0.02, 0.40, 0.58]])
 _ANNOTATOR = np.array([[0.95, 0.0, 0.05], [0.03, 0.0, 0.97]])
 
 
+def _with_annotations(votes: np.ndarray, annotated: np.ndarray) -> np.ndarray:
+    return np.column_stack([votes, np.select([annotated == 1, annotated == 0], [TOXIC, CLEAN], ABSTAIN)])
+
+
 def fit_labels(votes: np.ndarray, annotated: np.ndarray, rounds: int = 30) -> LabelModel:
     """The label model of ``votes`` with the annotations (1 toxic, 0 clean, -1 none) as last voter."""
-    every = np.column_stack([votes, np.select([annotated == 1, annotated == 0], [TOXIC, CLEAN], ABSTAIN)])
+    every = _with_annotations(votes, annotated)
     before = np.concatenate([np.repeat(_BEFORE[:, None, :], votes.shape[1], axis=1), _ANNOTATOR[:, None, :]], axis=1) + 1e-6
     strength = np.full(every.shape[1], 10.0)
     strength[-1] = max(200.0, len(every) / 5)  # how far annotations are trusted is mostly given
@@ -181,21 +186,13 @@ def fit_scorer(rows: list[np.ndarray], patterns: np.ndarray, annotated: np.ndarr
     told = linear.telling([r for r, k in zip(rows, known, strict=True) if k], (annotated[known] == 1).astype(float), least_z=5.0)
     fixed = np.unique(np.concatenate(fixed_features()))
     features = np.union1d(told, fixed)
+    start = np.where(np.isin(features, fixed), FIXED_WEIGHT, 0.0)  # it stays where no labelled row has the word
     if not len(rows):
-        weights = np.full(len(features), 4.0)
-        return Scorer(features, linear.Linear(weights, -2.0))
+        return Scorer(features, linear.Linear(start, -FIXED_WEIGHT / 2))
     votes = voted(rows, patterns, told)
     labels = fit_labels(votes, annotated)
-    every = np.column_stack([votes, np.select([annotated == 1, annotated == 0], [TOXIC, CLEAN], ABSTAIN)])
-    targets = labels.posterior(every)
-    # a fixed word that no labelled row has counts as one toxic text with that word alone
-    at = linear.restricted(rows, features)
-    seen = np.zeros(len(features), dtype=bool)
-    for own in at:
-        seen[own] = True
-    extra = [np.array([i]) for i in np.searchsorted(features, fixed) if not seen[i]]
-    model = linear.fit(at + extra, np.concatenate([targets, np.ones(len(extra))]), dimensions=len(features), epochs=20)
-    return Scorer(features, model)
+    targets = labels.posterior(_with_annotations(votes, annotated))
+    return Scorer(features, linear.fit(linear.restricted(rows, features), targets, start, epochs=20))
 
 
 def held_out(id_column: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
