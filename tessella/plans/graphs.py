@@ -1,2 +1,745 @@
-QUERIES={}
-ORACLES={}
+"""Queries of graphs, aggregates, windows, verification, scalar functions, rasters and frames."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.config import DEFAULTS
+from tessella.functions import columns as C
+from tessella.operators import alignment, candidates, frames, graph, raster, verification
+from tessella.plans.inputs import given, over
+from tessella.plans.joins import _matches_mapped, t_of
+from tessella.sources import reports
+from tessella.runtime import table
+
+c = F.col
+_REACH = """, ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach(id, other) AS (SELECT id, id FROM vertices UNION SELECT r.id, w.b FROM reach r JOIN ways w ON w.a = r.other),
+  labels AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
+
+
+def _labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    links = given(spark, sf_dir, "links")
+    return graph.components(given(spark, sf_dir, "vertices"), links), links
+
+
+# graphs
+
+
+def g1_components(spark, sf_dir):
+    return _labels(spark, sf_dir)[0]
+
+
+def w12_component_order(spark, sf_dir):
+    return graph.ordered_components(*_labels(spark, sf_dir)).select("component", "place", "size", "strength", F.array_join("members", ",").alias("members"))
+
+
+def a6_component_strength(spark, sf_dir):
+    return graph.ordered_components(*_labels(spark, sf_dir)).where("strength > 0").select("component", "strength")
+
+
+def g3_centre(spark, sf_dir):
+    links = given(spark, sf_dir, "links").withColumnRenamed("inliers", "weight")
+    vertices = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return graph.centre(links, vertices).limit(10)
+
+
+def j9_triangles(spark, sf_dir):
+    return graph.triangles(given(spark, sf_dir, "links"))
+
+
+def g7_loop_votes(spark, sf_dir):
+    t = graph.triangles(given(spark, sf_dir, "links")).withColumn("closes", (c("i") + c("j") + c("k")) % 3 != 0)
+    return graph.loop_votes(t)
+
+
+def g8_connected(spark, sf_dir):
+    links = given(spark, sf_dir, "links").where("inliers % 5 <> 0")
+    return graph.components(given(spark, sf_dir, "vertices"), links).agg((F.count_distinct("component") == 1).alias("connected"))
+
+
+def g9_exclusions(spark, sf_dir):
+    labels, links = _labels(spark, sf_dir)
+    order = graph.ordered_components(labels, links)
+    size = order.where("place = 0").select(F.col("size").alias("main_size"))  # one row
+    nodes = labels.join(order.select("component", "place"), "component").join(F.broadcast(size)).select(
+        "id", F.col("place").alias("component"), "main_size", (c("id") % 17 == 0).alias("excluded"), (c("id") % 13 == 0).alias("unreadable"), (c("id") * 7 % 200).alias("features"))
+    edges = given(spark, sf_dir, "links").select("a", "b", (c("inliers") % 2 == 0).alias("verified"), (c("inliers") % 2 == 1).alias("weak"))
+    return graph.exclusions(nodes, edges)
+
+
+def g10_edges(spark, sf_dir):
+    e = given(spark, sf_dir, "evidence")
+    return verification.best_evidence(e).select("a", "b", "inliers", "verified")
+
+
+def a11_exclusion_histogram(spark, sf_dir):
+    return g9_exclusions(spark, sf_dir).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+
+
+def a12_degrees(spark, sf_dir):
+    return graph.degrees(given(spark, sf_dir, "links"))
+
+
+def g11_left_out_reasons(spark, sf_dir):
+    v = given(spark, sf_dir, "vertices")
+    broken = given(spark, sf_dir, "links").where("inliers % 7 = 0").select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("r1", F.lit("inconsistentPairs"))
+    placed = v.where("id % 11 = 0").withColumn("r2", F.lit("misplaced"))
+    own = v.where("id % 4 = 0").withColumn("r3", F.lit("tooFewFeatures"))
+    return v.join(broken, "id", "left").join(placed, "id", "left").join(own, "id", "left").select("id", F.coalesce("r1", "r2", "r3", F.lit("separateGroup")).alias("reason"))
+
+
+def u5_induced_subgraph(spark, sf_dir):
+    keep = given(spark, sf_dir, "vertices").where("id % 3 <> 0")
+    place = keep.select("id", (F.dense_rank().over(Window.orderBy("id")) - 1).alias("n"))
+    links = given(spark, sf_dir, "links")
+    return links.join(place.toDF("a", "na"), "a").join(place.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "inliers")
+
+
+def u2_evidence_append(spark, sf_dir):
+    e = given(spark, sf_dir, "evidence")
+    return e.where("source = '1-URGENT'").select("a", "b").unionAll(e.where("source = '2-HIGH'").select("a", "b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def u3_difference(spark, sf_dir):
+    links = given(spark, sf_dir, "links").select("a", "b")
+    return links.exceptAll(given(spark, sf_dir, "links").where("inliers % 3 = 0").select("a", "b"))
+
+
+def u4_common_neighbours(spark, sf_dir):
+    near = candidates.both_ways(given(spark, sf_dir, "links")).groupBy("id").agg(F.collect_set("other").alias("near"))
+    pairs = given(spark, sf_dir, "links").join(near.toDF("a", "na"), "a").join(near.toDF("b", "nb"), "b")
+    return pairs.select("a", "b", F.size(F.array_intersect("na", "nb")).alias("common"))
+
+
+# windows and aggregates
+
+
+def w1_shooting_order(spark, sf_dir):
+    p = given(spark, sf_dir, "photos").select("id", F.concat(F.lit("IMG"), (c("id") * 37 % 1000).cast("string")).alias("name"), F.when(c("id") % 9 != 0, F.timestamp_seconds(c("id") * 61 % 977)).alias("capture_date"))
+    return candidates.shooting_order(p)
+
+
+def w2_consecutive(spark, sf_dir):
+    return candidates.consecutive(w1_shooting_order(spark, sf_dir))
+
+
+def w5_best_evidence(spark, sf_dir):
+    return verification.best_evidence(given(spark, sf_dir, "evidence")).select("a", "b", "seq", "inliers", "verified")
+
+
+def a2_reasons(spark, sf_dir):
+    named = given(spark, sf_dir, "evidence").withColumn("reason", F.split("source", "-")[1])
+    return candidates.reasons(named).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _fits(spark, sf_dir):
+    e = given(spark, sf_dir, "evidence")
+    model = F.element_at(F.array(*map(F.lit, ("translation", "similarity", "affine", "homography"))), (c("seq") % 4 + 1).cast("int"))
+    pair = (c("a") * 40 + c("b")).alias("pair")
+    return e.select(pair, model.alias("model"), "inliers", "seq").groupBy("pair", "model").agg(F.max("inliers").alias("inliers"), (F.max("seq") % 23 / 4.0).alias("rmse")).withColumn("threshold", F.lit(10.0))
+
+
+def w7_simplest_model(spark, sf_dir):
+    return verification.simplest_model(_fits(spark, sf_dir))
+
+
+def w8_stratified(spark, sf_dir):
+    m = given(spark, sf_dir, "matches").select("pair", "idx", F.col("ax").alias("x"), F.col("ay").alias("y"), "sigma", F.lit(1000).alias("width"), F.lit(800).alias("height"))
+    return verification.stratified(m).select("pair", "idx")
+
+
+def w9_positions(spark, sf_dir):
+    return frames.positions(given(spark, sf_dir, "frames")).withColumn("position", F.round("position", 6))
+
+
+def w10_circular_gap(spark, sf_dir):
+    yaws = given(spark, sf_dir, "photos").where("id < 25").select("id", (c("id") * 37 % 200).cast("double").alias("yaw"))
+    return raster.circular_gap(yaws).select(*(F.round(x, 6).alias(x) for x in ("gap", "extent", "middle")))
+
+
+def w11_thinned(spark, sf_dir):
+    return frames.thinned(given(spark, sf_dir, "frames"), "video", "idx").select("video", "idx")
+
+
+def w13_latest_event(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), F.col("value").alias("completed"))
+    return frames.latest_events(e)
+
+
+def a21_timeline(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), F.col("value").alias("at"))
+    return frames.timeline(e)
+
+
+def a3_residuals(spark, sf_dir):
+    m = given(spark, sf_dir, "matches").withColumn("e", F.sqrt((c("bx") - c("ax")) ** 2 + (c("by_") - c("ay")) ** 2)).where("e < 8")
+    return m.groupBy("pair").agg(F.round(F.sqrt(F.avg(c("e") * c("e"))), 6).alias("rmse"), F.round(verification.upper_median("e"), 6).alias("median"))
+
+
+def a5_overlap_confidence(spark, sf_dir):
+    inside = c("ax").between(100, 900) & c("ay").between(50, 700)
+    m = given(spark, sf_dir, "matches").groupBy("pair").agg(F.count_if(inside).alias("inside"), F.count_if(c("score") > 0.05).alias("inliers"))
+    return m.select("pair", "inside", F.round(c("inliers") / (8 + 0.3 * c("inside")), 6).alias("confidence"))
+
+
+def a7_feature_counts(spark, sf_dir):
+    m = given(spark, sf_dir, "matches").groupBy("pair", "kind").agg(F.count("*").alias("n"))
+    return m.groupBy("pair").agg(F.max("n").alias("features"), F.coalesce(F.max(F.when(c("kind") == "R", c("n"))), F.max("n")).alias("reference"))
+
+
+def a8_transfer_rms(spark, sf_dir):
+    maps = given(spark, sf_dir, "maps").where("image < 40").select("image", t_of().alias("transform"))
+    m = given(spark, sf_dir, "matches").select((c("pair")).alias("a"), (c("pair") + 13).alias("b"), "ax", "ay", "bx", c("by_").alias("by"))
+    return alignment.transfer_rms(m, maps).select("a", "b", "n", F.round("rms", 4).alias("rms"))
+
+
+def a9_excess_ratio(spark, sf_dir):
+    rms = a3_residuals(spark, sf_dir).withColumn("share", c("rmse") / (4.0 + c("pair") % 3))
+    return rms.agg(F.round(F.sqrt(F.avg(c("share") * c("share"))), 6).alias("excess"), (F.sqrt(F.avg(c("share") * c("share"))) > 1.0).alias("no_model_fits"))
+
+
+def a10_grows_with_distance(spark, sf_dir):
+    p = given(spark, sf_dir, "links").select("a", "b", (c("b") - c("a")).cast("double").alias("distance"), (c("inliers") % 31 + (c("b") - c("a"))).cast("double").alias("rms"))
+    return alignment.grows_with_distance(p)
+
+
+def a17_overlap_depth(spark, sf_dir):
+    return raster.overlap_depth(_warped(spark, sf_dir))
+
+
+def a18_problem_size(spark, sf_dir):
+    links = given(spark, sf_dir, "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(0).alias("n"), F.lit(0).alias("m")).distinct()
+    return ends.agg(F.count("*").alias("photos")).join(F.broadcast(links.agg(F.count("*").alias("pairs"), F.sum("inliers").alias("matches"))))  # one row each
+
+
+def a19_normal_blocks(spark, sf_dir):
+    m = given(spark, sf_dir, "matches").select(c("pair").alias("a"), (c("pair") + 1).alias("b"), "idx", "ax", "ay", "bx", c("by_").alias("by"), F.lit(1.0).alias("sigma"))
+    got = alignment.normal_blocks(m, "similarity")
+    return got.select("a", "b", F.round(c("block")[0], 3).alias("h00"), F.round(c("block")[2], 3).alias("h02"), F.round(c("side")[2], 3).alias("g2"))
+
+
+def a13_hull_areas(spark, sf_dir):
+    import pandas as pd
+
+    from tessella.functions import polygons
+
+    def areas(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p = rows[["ax", "ay"]].to_numpy(float)
+        return pd.DataFrame([[key[0], polygons.hull_area(p), polygons.peeled_hull_area(p)]], columns=["pair", "hull", "peeled"])
+
+    return given(spark, sf_dir, "matches").select("pair", "ax", "ay").groupBy("pair").applyInPandas(areas, "pair long, hull double, peeled double")
+
+
+# verification and models
+
+
+def _judged(spark, sf_dir):
+    k = c("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), (k % 60).alias("matches"), (k % 19 != 0).alias("fitted"), (k * 7 % 80).alias("perspective"), (k * 3 % 50).alias("inliers"), (k % 11).alias("overlap"),
+        (k % 13 != 0).alias("plausible"), ((k % 40) / 1000.0).alias("hull"), ((k % 29) / 100.0).alias("coverage"), (k % 37 - 20).cast("double").alias("nfa"))
+
+
+def v2_verdicts(spark, sf_dir):
+    d = _judged(spark, sf_dir)
+    return d.select("id", verification.verdict(*(c(x) for x in ("matches", "fitted", "perspective", "inliers", "overlap", "plausible", "hull", "coverage", "nfa"))).alias("verdict"))
+
+
+def v3_false_alarms(spark, sf_dir):
+    k = c("p_partkey")
+    d = table(spark, sf_dir, "part").select(k.alias("id"), (20 + k % 400).alias("n"), (k * 7 % 300).alias("k"), (k % 4 + 1).alias("s"))
+    d = d.withColumn("k", F.least("n", "k"))
+    logs = verification.log_factorials(d, 420).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("logs"))  # one row of 421 numbers
+    nfa = verification.log10_nfa(c("n"), c("k"), c("s"), F.lit(10.0), F.lit(4e6), c("logs"))
+    return d.join(F.broadcast(logs)).select("id", F.round(F.when(nfa < float("inf"), nfa), 5).alias("nfa"))
+
+
+def v4_plausible(spark, sf_dir):
+    m = given(spark, sf_dir, "maps")
+    a, b, d, e = c("t0") * (c("image") % 5 - 1), c("t1") * 20, c("t3") * 20, c("t4")
+    s = C.singular_values(a, b, d, e)
+    ok = (a * e - b * d > 0) & (s[0] / s[1] < 2)
+    return m.select("image", F.coalesce(ok, F.lit(False)).alias("plausible"))
+
+
+def v5_candidate_models(spark, sf_dir):
+    p = given(spark, sf_dir, "photos").select("id", F.when(c("id") % 2 == 0, "plane").otherwise("automatic").alias("mode"))
+    return verification.candidate_models(p)
+
+
+def v6_earns_perspective(spark, sf_dir):
+    p = given(spark, sf_dir, "photos")
+    return p.select("id", verification.earns_perspective(c("id") % 7 * 1.0, c("id") % 5 * 1.0, c("id") % 11 * 1.0).alias("earns"))
+
+
+def _cornered(spark, sf_dir):
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    m = given(spark, sf_dir, "maps").select("image", "width", "height", t_of().alias("t"), at.alias("k"))
+    return m.select("image", "t", (c("k.i") * c("width")).cast("double").alias("x"), (c("k.j") * c("height")).cast("double").alias("y"))
+
+
+def v9_overstretched(spark, sf_dir):
+    s = C.stretch(c("t"), c("x"), c("y"))
+    return _cornered(spark, sf_dir).groupBy("image").agg(F.bool_or(F.coalesce((s > 1.3) | (s < 1 / 1.3), F.lit(True))).alias("stretched"))
+
+
+def v10_worst_stretch(spark, sf_dir):
+    s = C.stretch(c("t"), c("x"), c("y"))
+    worst = _cornered(spark, sf_dir).groupBy("image").agg(F.max(F.coalesce(F.greatest(s, 1 / s), F.lit(1e9))).alias("worst"))
+    return worst.agg(F.min_by("image", F.struct(F.round("worst", 4), "image")).alias("anchor"))
+
+
+def v11_shrink_guard(spark, sf_dir):
+    far = F.count_if((c("t0") > 1.07) | (c("t0") < 0.5))
+    return given(spark, sf_dir, "maps").agg((far > F.greatest(F.lit(1), F.floor(F.count("*") / 20))).alias("rejected"))
+
+
+def v12_trimmed(spark, sf_dir):
+    m = given(spark, sf_dir, "matches").withColumn("e", F.sqrt((c("bx") - c("ax")) ** 2 + (c("by_") - c("ay")) ** 2))
+    limit = F.broadcast(m.agg(F.greatest(3 * F.percentile_approx("e", 0.5, 1000000), F.lit(2.0)).alias("limit")).select(F.lit(9.0).alias("limit")))  # one row
+    return m.join(limit).where("e <= limit").groupBy("pair").agg(F.count("*").alias("left")).where("left >= 8")
+
+
+def v13_focals_plausible(spark, sf_dir):
+    f = C.focal_prior(c("f35"), c("width"), c("height"))
+    p = given(spark, sf_dir, "photos").select(f.alias("f"))
+    return p.agg(F.bool_and(C.finite(c("f")) & (c("f") > 0)).alias("usable"), (F.max("f") / F.min("f") <= 1.05).alias("alike"))
+
+
+def v14_focal_cascade(spark, sf_dir):
+    p = given(spark, sf_dir, "photos").withColumn("f35", F.when(c("id") % 10 != 3, c("f35")))
+    every = F.bool_and(c("f35").isNotNull()).over(Window.partitionBy(F.lit(1)))
+    fallback = F.greatest("width", "height") / (2 * F.lit(float(np.tan(np.radians(36)))))
+    return p.select("id", F.round(F.when(every, C.focal_prior(c("f35"), c("width"), c("height"))).otherwise(fallback), 5).alias("focal"))
+
+
+def v15_in_front(spark, sf_dir):
+    u, v = C.mapped(c("t"), c("x"), c("y"))
+    return _cornered(spark, sf_dir).groupBy("image").agg(F.bool_and(F.coalesce((F.abs(u) < 1e7) & (F.abs(v) < 1e7), F.lit(False))).alias("usable"))
+
+
+# scalar functions
+
+
+def f1_mapped(spark, sf_dir):
+    x, y = C.mapped(c("t"), c("ax"), c("ay"))
+    return _matches_mapped(spark, sf_dir).select("idx", F.round(x, 5).alias("x"), F.round(y, 5).alias("y"))
+
+
+def f2_jacobian(spark, sf_dir):
+    j = C.jacobian(c("t"), F.lit(300.0), F.lit(200.0))
+    return given(spark, sf_dir, "maps").select("image", t_of().alias("t")).select("image", *(F.round(x, 6).alias(n) for x, n in zip(j, "abcd", strict=True)))
+
+
+def f3_singular_values(spark, sf_dir):
+    s = C.singular_values(c("t0"), c("t1"), c("t3"), c("t4"))
+    return given(spark, sf_dir, "maps").select("image", F.round(s[0], 6).alias("large"), F.round(s[1], 6).alias("small"))
+
+
+def _shape():
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return F.array(corner(c("x0"), c("y0")), corner(c("x0") + c("w"), c("y0") + 3), corner(c("x0") + c("w") + 2, c("y0") + c("h")), corner(c("x0"), c("y0") + c("h")))
+
+
+def f4_signed_area(spark, sf_dir):
+    return given(spark, sf_dir, "boxes").select("id", F.round(C.signed_area(_shape()), 6).alias("area"))
+
+
+def f5_contains(spark, sf_dir):
+    return given(spark, sf_dir, "boxes").select("id", C.contains(_shape(), c("x0") + c("w") * 0.9 + c("id") % 7, c("y0") + c("id") % 9).alias("inside"))
+
+
+def f9_inverse(spark, sf_dir):
+    m = given(spark, sf_dir, "maps").select("image", t_of().alias("t"))
+    p = C.product(c("t"), C.inverse(c("t")))
+    return m.select("image", F.round(C.determinant(c("t")), 8).alias("det"), *(F.round(p[i], 6).alias(f"p{i}") for i in (0, 1, 4, 8)))
+
+
+def f10_huber(spark, sf_dir):
+    return given(spark, sf_dir, "matches").select("idx", F.round(C.huber(c("score") * 100), 6).alias("weight"))
+
+
+def f11_root_sift(spark, sf_dir):
+    return given(spark, sf_dir, "descriptors").select("idx", F.posexplode(C.root_sift(c("vec"))).alias("k", "v")).groupBy("idx").agg(F.round(F.sum("v"), 5).alias("total"), F.round(F.max("v"), 6).alias("most"))
+
+
+def f12_exif_date(spark, sf_dir):
+    text = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy:MM:dd HH:mm:ss")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.to_timestamp(text, "yyyy:MM:dd HH:mm:ss"), "yyyy-MM-dd HH:mm:ss").alias("taken"))
+
+
+def f13_names(spark, sf_dir):
+    p = given(spark, sf_dir, "photos").withColumn("path", F.concat(F.lit("/tmp/a b/"), "name"))
+    return p.select("id", F.substring_index("path", "/", -1).alias("last"), F.lpad(c("id").cast("string"), 5, "0").alias("padded"), candidates.natural_key(c("name")).alias("key"))
+
+
+def f15_selu(spark, sf_dir):
+    return given(spark, sf_dir, "matches").select("idx", F.round(C.selu(c("score") * 10 - 0.5), 6).alias("v"))
+
+
+def f21_track_orientation(spark, sf_dir):
+    return given(spark, sf_dir, "photos").select("id", C.track_orientation(F.element_at(F.array(*map(F.lit, (0.0, 1.0, 0.0, -1.0))), (c("id") % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, (1.0, 0.0, -1.0, 0.0))), (c("id") % 4 + 1).cast("int"))).alias("degrees"))
+
+
+def f22_rotation_cap(spark, sf_dir):
+    return given(spark, sf_dir, "photos").select("id", F.least(F.lit(300), F.greatest(F.lit(40), F.floor(1.4e6 / ((c("id") + 1) * 50)))).alias("cap"))
+
+
+def f23_expected_seconds(spark, sf_dir):
+    return _fits(spark, sf_dir).select("pair", "model", F.round(alignment.expected_seconds(c("model"), c("inliers")) * 1e6, 6).alias("microseconds"))
+
+
+def f24_output_scale(spark, sf_dir):
+    room = F.sqrt(F.lit(2e7) / (c("width") * c("height") * 8.0))
+    return given(spark, sf_dir, "photos").select("id", F.round(F.least(F.lit(1.0), room), 6).alias("scale"))
+
+
+def f25_digest(spark, sf_dir):
+    lines = F.concat_ws("|", "name", c("width").cast("string"), c("height").cast("string"))
+    return given(spark, sf_dir, "photos").groupBy("s_nationkey").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256), 1, 16).alias("digest"))
+
+
+def f28_normaliser(spark, sf_dir):
+    return given(spark, sf_dir, "photos").select("id", (c("width") / 2).alias("cx"), (c("height") / 2).alias("cy"), F.round(F.sqrt((c("width") ** 2 + c("height") ** 2).cast("double")) / 2, 6).alias("half"))
+
+
+# rasters
+
+
+def s4_area_reduce(spark, sf_dir):
+    return raster.area_reduce(given(spark, sf_dir, "pixels"), 4).withColumn("value", F.round("value", 6))
+
+
+def s7_percentile_levels(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").select(F.floor("l_extendedprice").alias("value"))
+    return raster.percentile_levels(v)
+
+
+def k4_export_levels(spark, sf_dir):
+    p = given(spark, sf_dir, "pixels").where("y % 2 = 0 AND x % 2 = 0 AND value > 0").select("value")
+    return raster.percentile_levels(p)
+
+
+def s7_stretched(spark, sf_dir):
+    return given(spark, sf_dir, "pixels").select("image", "y", "x", raster.stretched(c("value") * 90, F.lit(1000.0), F.lit(20000.0)).alias("byte"))
+
+
+def s8_oriented(spark, sf_dir):
+    p = given(spark, sf_dir, "pixels")
+    x, y = raster.oriented(c("x"), c("y"), F.lit(50), F.lit(40), c("image") % 8 + 1)
+    return p.select("image", x.alias("x"), y.alias("y"), "value")
+
+
+def s11_colour_space(spark, sf_dir):
+    p = given(spark, sf_dir, "photos").groupBy("s_nationkey").agg(F.count_distinct("orientation").alias("n"), F.min("orientation").alias("o"))
+    return p.select("s_nationkey", F.when(c("n") == 1, c("o").cast("string")).otherwise("default").alias("profile"))
+
+
+def r1_canvas(spark, sf_dir):
+    return raster.canvas(given(spark, sf_dir, "maps").where("t6 >= 0").select("width", "height", t_of().alias("transform")))
+
+
+def r3_outline(spark, sf_dir):
+    o = raster.outline(given(spark, sf_dir, "maps").where("image < 200").select("image", "width", "height", t_of().alias("transform")), 4)
+    return o.select("image", "k", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
+
+
+def _warped(spark, sf_dir):
+    places = given(spark, sf_dir, "photos").where("id < 8").select(c("id").alias("image"), (c("id") * 23).alias("dx"), (c("id") * 11 % 30).alias("dy"))
+    return raster.warp_nearest(given(spark, sf_dir, "pixels"), F.broadcast(places))  # eight places
+
+
+def r2_warp(spark, sf_dir):
+    return _warped(spark, sf_dir)
+
+
+def r5_voronoi(spark, sf_dir):
+    centres = given(spark, sf_dir, "photos").where("id < 8").select(c("id").alias("image"), (c("id") * 23 + 25).alias("cx"), (c("id") * 11 % 30 + 20).alias("cy"))
+    return raster.voronoi(_warped(spark, sf_dir), F.broadcast(centres))  # eight centres
+
+
+def r6_hard(spark, sf_dir):
+    return raster.hard(_warped(spark, sf_dir))
+
+
+def r7_feathered(spark, sf_dir):
+    w = _warped(spark, sf_dir).withColumn("weight", (1 + (c("u") + c("v")) % 7).cast("double"))
+    return raster.feathered(w).withColumn("value", F.round("value", 6))
+
+
+def r7_band_count(spark, sf_dir):
+    return given(spark, sf_dir, "photos").select("id", raster.band_count((c("width") * c("height")).cast("double")).alias("bands"))
+
+
+def r8_finished(spark, sf_dir):
+    p = raster.hard(_warped(spark, sf_dir)).withColumn("alpha", F.when(c("value") > 200, 0).otherwise(65535))
+    return raster.finished(p).agg(F.sum("value").alias("total"), F.bool_and(c("alpha") > 0).alias("opaque"))
+
+
+def _mask(spark, sf_dir):
+    return given(spark, sf_dir, "pixels").where("image = 0").select("y", "x", F.when(c("value") > 40, 1).otherwise(0).alias("v"))
+
+
+def r9_column_heights(spark, sf_dir):
+    return raster.column_heights(_mask(spark, sf_dir))
+
+
+def r9_largest_rectangle(spark, sf_dir):
+    return raster.largest_rectangle(_mask(spark, sf_dir)).select("area")
+
+
+def r11_projection(spark, sf_dir):
+    extent = c("id") * 4 % 360
+    return given(spark, sf_dir, "photos").select("id", F.when(extent > 330, "refused").when(extent > 120, "cylindrical").otherwise("rectilinear").alias("projection"))
+
+
+def a15_percentiles(spark, sf_dir):
+    return raster.percentile_levels(table(spark, sf_dir, "part").select(F.col("p_size").alias("value")), 0.25, 0.75)
+
+
+def a16_overlap_means(spark, sf_dir):
+    m = raster.overlap_means(_warped(spark, sf_dir))
+    return m.select("i", "j", "n", F.round("mi", 6).alias("mi"), F.round("mj", 6).alias("mj"))
+
+
+def a16_gains(spark, sf_dir):
+    """Gains of eight photos: their overlap means, a few numbers, meet on the driver."""
+    rows = [tuple(r) for r in raster.overlap_means(_warped(spark, sf_dir)).orderBy("i", "j").collect()]
+    return spark.createDataFrame([(int(k), float(v)) for k, v in raster.gains(rows).items()], "image long, gain double")
+
+
+def a14_sharpness(spark, sf_dir):
+    return raster.laplacian_variance(given(spark, sf_dir, "pixels")).withColumn("sharpness", F.round("sharpness", 3))
+
+
+def a20_canvas_box(spark, sf_dir):
+    b = given(spark, sf_dir, "boxes")
+    return b.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max(c("x0") + c("w")).alias("x1"), F.max(c("y0") + c("h")).alias("y1"))
+
+
+def l3_local_maxima(spark, sf_dir):
+    return raster.local_maxima(given(spark, sf_dir, "pixels"))
+
+
+def l1_report_order(spark, sf_dir):
+    return given(spark, sf_dir, "evidence").orderBy("a", "b", "source", "seq").select("a", "b", "source", "seq").limit(500)
+
+
+def l4_offenders(spark, sf_dir):
+    links = given(spark, sf_dir, "links").select("a", "b", c("inliers").cast("double").alias("error"))
+    stats = links.agg(verification.upper_median("error").alias("middle"), F.max("error").alias("worst"))  # one row; as many pairs as a project has
+    return links.join(F.broadcast(stats)).where(c("error") > F.greatest(3 * c("middle"), F.lit(3.0), c("worst") / 2)).select("a", "b", "error")
+
+
+def l5_breadth_first(spark, sf_dir):
+    links = given(spark, sf_dir, "links").withColumnRenamed("inliers", "weight")
+    start = links.agg(F.min("a")).first()[0]
+    return spark.createDataFrame([(i, v) for i, v in enumerate(graph.breadth_first(links, start, 12))], "place int, id long")
+
+
+# reports and frames
+
+
+def k1_report_json(spark, sf_dir):
+    p = given(spark, sf_dir, "photos").select("id", "name", F.when(c("id") % 5 == 0, float("inf")).otherwise(c("f35")).alias("score"))
+    return reports.encoded(p, ("score",))
+
+
+def s13_report_round_trip(spark, sf_dir):
+    p = given(spark, sf_dir, "photos").select("id", "name", F.when(c("id") % 5 == 0, float("-inf")).otherwise(c("f35")).alias("score"))
+    back = reports.decoded(reports.encoded(p, ("score",)), p.schema, ("score",))
+    return back.select("id", "name", (c("score") == float("-inf")).alias("infinite"), F.when(c("score") > float("-inf"), c("score")).alias("score"))
+
+
+def k2_redacted(spark, sf_dir):
+    p = given(spark, sf_dir, "photos").select("id", F.concat(F.lit("/home/x/"), "name").alias("url"))
+    return reports.without_local_paths(p, "url")
+
+
+def k8_suggested_name(spark, sf_dir):
+    first, last = F.concat(F.lit("IMG_"), (c("id") * 7 + 100).cast("string")), F.concat(F.lit("IMG_"), (c("id") * 7 + 112).cast("string"))
+    return given(spark, sf_dir, "photos").select("id", reports.suggested_name(first, last, F.lit("_pano")).alias("name"))
+
+
+def k9_frame_name(spark, sf_dir):
+    return given(spark, sf_dir, "frames").select("idx", frames.frame_name(F.lit("clip"), c("idx"), c("sharpness")).alias("name"))
+
+
+def st2_frame_selection(spark, sf_dir):
+    f = given(spark, sf_dir, "frames")
+    at = F.sum("shift").over(Window.partitionBy("video").orderBy("idx"))
+    return frames.select_frames(f.select("video", "idx", at.alias("px"), F.lit(0.0).alias("py"), "sharpness"))
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k.split("_")[0].rstrip("0123456789") in ("g", "w", "a", "u", "v", "f", "s", "k", "r", "l", "st", "j") and any(ch.isdigit() for ch in k.split("_")[0])}
+
+
+ORACLES = {
+    "g1_components": over("links vertices", _REACH + " SELECT id, component FROM labels"),
+    "w12_component_order": over("links vertices", _REACH + """, s AS (SELECT l.component, sum(k.inliers) AS strength FROM links k JOIN labels l ON k.a = l.id GROUP BY 1),
+        m AS (SELECT component, string_agg(id::VARCHAR, ',' ORDER BY id) AS members, count(*) AS size FROM labels GROUP BY 1)
+        SELECT m.component, row_number() OVER (ORDER BY size DESC, coalesce(strength, 0) DESC, m.component) - 1 AS place, size, coalesce(strength, 0) AS strength, members FROM m LEFT JOIN s ON m.component = s.component"""),
+    "a6_component_strength": over("links vertices", _REACH + " SELECT l.component, sum(k.inliers) AS strength FROM links k JOIN labels l ON k.a = l.id GROUP BY 1"),
+    "g3_centre": over("links", """, ends AS (SELECT DISTINCT id FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links)), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        hops(source, id, d) AS (SELECT id, id, 0 FROM ends UNION SELECT h.source, w.b, h.d + 1 FROM hops h JOIN ways w ON w.a = h.id WHERE h.d < 25),
+        far AS (SELECT source AS id, max(d) AS eccentricity FROM (SELECT source, id, min(d) AS d FROM hops GROUP BY 1, 2) GROUP BY 1),
+        heavy AS (SELECT id, sum(inliers) AS weight FROM (SELECT a AS id, inliers FROM links UNION ALL SELECT b, inliers FROM links) GROUP BY 1)
+        SELECT f.id, eccentricity, weight FROM far f JOIN heavy h ON f.id = h.id ORDER BY eccentricity, weight DESC, f.id LIMIT 10"""),
+    "j9_triangles": over("links", "SELECT x.a AS i, x.b AS j, y.b AS k FROM links x JOIN links y ON x.b = y.a JOIN links z ON z.a = x.a AND z.b = y.b"),
+    "g7_loop_votes": over("links", """, t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM links x JOIN links y ON x.b = y.a JOIN links z ON z.a = x.a AND z.b = y.b),
+        s AS (SELECT i AS a, j AS b, (i + j + k) % 3 <> 0 AS closes FROM t UNION ALL SELECT j, k, (i + j + k) % 3 <> 0 FROM t UNION ALL SELECT i, k, (i + j + k) % 3 <> 0 FROM t)
+        SELECT a, b, count(*) FILTER (closes) AS agree, count(*) FILTER (NOT closes) AS disagree FROM s GROUP BY 1, 2"""),
+    "g8_connected": over("links vertices", """, ways AS (SELECT a, b FROM links WHERE inliers % 5 <> 0 UNION ALL SELECT b, a FROM links WHERE inliers % 5 <> 0),
+        reach(id) AS (SELECT min(id) FROM vertices UNION SELECT w.b FROM reach r JOIN ways w ON w.a = r.id) SELECT (SELECT count(*) FROM reach) = (SELECT count(*) FROM vertices) AS connected"""),
+    "g9_exclusions": None,
+    "g10_edges": over("evidence", "SELECT a, b, inliers, verified FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY verified DESC, inliers DESC, seq) AS turn FROM evidence) WHERE turn = 1"),
+    "a12_degrees": over("links", "SELECT id, count(*) AS degree, sum(inliers) AS weight FROM (SELECT a AS id, inliers FROM links UNION ALL SELECT b, inliers FROM links) GROUP BY 1"),
+    "g11_left_out_reasons": over("links vertices", """SELECT id, CASE WHEN id IN (SELECT a FROM links WHERE inliers % 7 = 0 UNION SELECT b FROM links WHERE inliers % 7 = 0) THEN 'inconsistentPairs'
+        WHEN id % 11 = 0 THEN 'misplaced' WHEN id % 4 = 0 THEN 'tooFewFeatures' ELSE 'separateGroup' END AS reason FROM vertices"""),
+    "u5_induced_subgraph": over("links vertices", ", p AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS n FROM vertices WHERE id % 3 <> 0) SELECT x.n AS a, y.n AS b, inliers FROM links l JOIN p x ON l.a = x.id JOIN p y ON l.b = y.id"),
+    "u2_evidence_append": over("evidence", "SELECT a, b, count(*) AS n FROM evidence WHERE source IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2"),
+    "u3_difference": over("links", "SELECT a, b FROM links EXCEPT SELECT a, b FROM links WHERE inliers % 3 = 0"),
+    "u4_common_neighbours": over("links", """, ways AS (SELECT a AS id, b AS other FROM links UNION SELECT b, a FROM links)
+        SELECT l.a, l.b, (SELECT count(*) FROM ways x JOIN ways y ON x.other = y.other WHERE x.id = l.a AND y.id = l.b) AS common FROM links l"""),
+    "w1_shooting_order": over("photos", "SELECT id, row_number() OVER (ORDER BY id * 37 % 1000, id) - 1 AS place FROM photos"),
+    "w2_consecutive": over("photos", ", o AS (SELECT id AS x, lead(id) OVER (ORDER BY id * 37 % 1000, id) AS y FROM photos) SELECT least(x, y) AS a, greatest(x, y) AS b FROM o WHERE y IS NOT NULL"),
+    "w5_best_evidence": over("evidence", "SELECT a, b, seq, inliers, verified FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY verified DESC, inliers DESC, seq) AS turn FROM evidence) WHERE turn = 1"),
+    "a2_reasons": over("evidence", "SELECT a, b, array_to_string(list_sort(list(DISTINCT split_part(source, '-', 2))), ',') AS reasons FROM evidence GROUP BY 1, 2"),
+    "w7_simplest_model": over("evidence", """, f AS (SELECT a * 40 + b AS pair, seq % 4 AS m, max(inliers) AS inliers, max(seq) % 23 / 4.0::DOUBLE AS rmse FROM evidence GROUP BY 1, 2),
+        d AS (SELECT *, [2, 4, 6, 8][m + 1] AS dof, ['translation', 'similarity', 'affine', 'homography'][m + 1] AS model FROM f),
+        g AS (SELECT d.*, b.inliers AS bi, b.rmse AS br FROM d JOIN (SELECT pair, inliers, rmse FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY inliers DESC, dof) AS t FROM d) WHERE t = 1) b ON d.pair = b.pair)
+        SELECT pair, min_by(model, dof) AS model FROM g WHERE inliers >= 0.92::DOUBLE * bi AND rmse <= 1.5 * br + 0.1::DOUBLE * 10 GROUP BY 1"""),
+    "w8_stratified": over("matches", """, k AS (SELECT pair, idx, sigma, greatest(0, least(7, floor(ay / 800 * 8))) * 8 + greatest(0, least(7, floor(ax / 1000 * 8))) AS cell FROM matches),
+        r AS (SELECT *, row_number() OVER (PARTITION BY pair, cell ORDER BY sigma, idx) AS round FROM k), t AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round, cell) AS turn, count(*) OVER (PARTITION BY pair) AS n FROM r)
+        SELECT pair, idx FROM t WHERE n <= 300 OR turn <= 300"""),
+    "w9_positions": over("frames", """, v AS (SELECT video, idx, CASE WHEN row_number() OVER (PARTITION BY video ORDER BY idx) = 1 THEN 0 ELSE
+        coalesce(last_value(CASE WHEN peak >= 0.02::DOUBLE THEN shift END IGNORE NULLS) OVER (PARTITION BY video ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) END AS v FROM frames)
+        SELECT video, idx, round(sum(v) OVER (PARTITION BY video ORDER BY idx), 6) AS position FROM v"""),
+    "w10_circular_gap": over("photos", """, y AS (SELECT (id * 37 % 200)::DOUBLE AS yaw FROM photos WHERE id < 25), g AS (SELECT yaw, yaw - coalesce(lag(yaw) OVER (ORDER BY yaw), (SELECT max(yaw) FROM y) - 360) AS gap FROM y),
+        b AS (SELECT gap, yaw FROM g ORDER BY gap DESC, yaw LIMIT 1) SELECT round(gap, 6) AS gap, round(360 - gap, 6) AS extent, round((yaw + (360 - gap) / 2) % 360, 6) AS middle FROM b"""),
+    "w11_thinned": over("frames", ", t AS (SELECT video, idx, row_number() OVER (PARTITION BY video ORDER BY idx) - 1 AS turn, count(*) OVER (PARTITION BY video) AS n FROM frames) SELECT video, idx FROM t WHERE turn % greatest(1, n // 16) = 0"),
+    "w13_latest_event": "SELECT event_type AS stage, max(event_id) AS seq, max_by(value, event_id) AS completed FROM events GROUP BY 1",
+    "a21_timeline": "SELECT event_type AS stage, min(value) AS first, max(value) AS last, min(event_id) AS seen FROM events GROUP BY 1",
+    "a3_residuals": over("matches", ", e AS (SELECT pair, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS e FROM matches) SELECT pair, round(sqrt(avg(e * e)), 6) AS rmse, round(list_sort(list(e))[count(*) // 2 + 1], 6) AS median FROM e WHERE e < 8 GROUP BY 1"),
+    "a5_overlap_confidence": over("matches", """, m AS (SELECT pair, count(*) FILTER (ax BETWEEN 100 AND 900 AND ay BETWEEN 50 AND 700) AS inside, count(*) FILTER (score > 0.05::DOUBLE) AS inliers FROM matches GROUP BY 1)
+        SELECT pair, inside, round(inliers / (8 + 0.3::DOUBLE * inside), 6) AS confidence FROM m"""),
+    "a7_feature_counts": over("matches", ", m AS (SELECT pair, kind, count(*) AS n FROM matches GROUP BY 1, 2) SELECT pair, max(n) AS features, coalesce(max(n) FILTER (kind = 'R'), max(n)) AS reference FROM m GROUP BY 1"),
+    "a8_transfer_rms": over("matches maps", """, j AS (SELECT m.pair AS a, m.pair + 13 AS b, p.t6 * ax + p.t7 * ay + p.t8 AS za, q.t6 * bx + q.t7 * by_ + q.t8 AS zb, p.t0 * ax + p.t1 * ay + p.t2 AS xa, p.t3 * ax + p.t4 * ay + p.t5 AS ya,
+        q.t0 * bx + q.t1 * by_ + q.t2 AS xb, q.t3 * bx + q.t4 * by_ + q.t5 AS yb FROM matches m JOIN maps p ON p.image = m.pair JOIN maps q ON q.image = m.pair + 13)
+        SELECT a, b, count(*) AS n, round(sqrt(avg(CASE WHEN za > 1e-9 AND zb > 1e-9 THEN (xa / za - xb / zb) ** 2 + (ya / za - yb / zb) ** 2 ELSE 1e12 END)), 4) AS rms FROM j GROUP BY 1, 2"""),
+    "a9_excess_ratio": over("matches", """, e AS (SELECT pair, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS e FROM matches), r AS (SELECT pair, round(sqrt(avg(e * e)), 6) / (4 + pair % 3) AS share FROM e WHERE e < 8 GROUP BY pair)
+        SELECT round(sqrt(avg(share * share)), 6) AS excess, sqrt(avg(share * share)) > 1 AS no_model_fits FROM r"""),
+    "a10_grows_with_distance": over("links", """, p AS (SELECT b - a AS distance, inliers % 31 + b - a AS rms, row_number() OVER (ORDER BY b - a, a, b) - 1 AS turn, count(*) OVER () AS n FROM links),
+        s AS (SELECT count(*) AS pairs, list_sort(list(rms) FILTER (turn < n // 3)) AS near, list_sort(list(rms) FILTER (turn >= n - n // 3)) AS far FROM p)
+        SELECT pairs, CASE WHEN pairs >= 12 AND len(near) >= 4 THEN far[len(far) // 2 + 1] >= 1.5 * near[len(near) // 2 + 1] ELSE false END AS grows FROM s"""),
+    "a18_problem_size": over("links", "SELECT (SELECT count(*) FROM (SELECT a FROM links UNION SELECT b FROM links)) AS photos, count(*) AS pairs, sum(inliers) AS matches FROM links"),
+    "a19_normal_blocks": over("matches", "SELECT pair AS a, pair + 1 AS b, round(sum(ax * ax + ay * ay), 3) AS h00, round(sum(ax), 3) AS h02, round(sum(ax - bx), 3) AS g2 FROM matches GROUP BY 1"),
+    "v2_verdicts": """WITH d AS (SELECT p_partkey AS id, p_partkey AS k, p_partkey % 60 AS m, p_partkey * 7 % 80 AS p, p_partkey * 3 % 50 AS i FROM part) SELECT id, CASE WHEN m < 15 THEN 'tooFewMatches' WHEN k % 19 = 0 THEN 'noConsistentModel'
+        WHEN p >= 15 AND p >= 1.5 * i THEN 'modelMismatch' WHEN k % 11 = 0 OR i < 15 THEN 'noConsistentModel' WHEN k % 13 = 0 THEN 'implausibleModel'
+        WHEN (k % 40) / 1000.0::DOUBLE < 0.005::DOUBLE OR (k % 29) / 100.0::DOUBLE < 0.05::DOUBLE THEN 'degenerateInliers' WHEN k % 37 - 20 >= 0 THEN 'lowConfidence' ELSE 'verified' END AS verdict FROM d""",
+    "v3_false_alarms": """WITH d AS (SELECT p_partkey AS id, 20 + p_partkey % 400 AS n, least(20 + p_partkey % 400, p_partkey * 7 % 300) AS k, p_partkey % 4 + 1 AS s FROM part)
+        SELECT id, round(CASE WHEN n > s AND k > s THEN log10(n - s) + (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) / ln(10) + (lgamma(k + 1) - lgamma(s + 1) - lgamma(k - s + 1)) / ln(10) + (k - s) * log10(least(1.0::DOUBLE, pi() * 100 / 4e6)) END, 5) AS nfa FROM d""",
+    "v4_plausible": over("maps", """, m AS (SELECT image, t0 * (image % 5 - 1) AS a, t1 * 20 AS b, t3 * 20 AS c, t4 AS d FROM maps), s AS (SELECT image, a * d - b * c AS det, a * a + b * b + c * c + d * d AS q FROM m),
+        r AS (SELECT *, sqrt(greatest(q * q - 4 * det * det, 0)) AS root FROM s) SELECT image, coalesce(det > 0 AND sqrt((q + root) / 2) < 2 * sqrt(greatest((q - root) / 2, 0)), false) AS plausible FROM r"""),
+    "v5_candidate_models": over("photos", """SELECT id, CASE WHEN id % 2 = 0 THEN 'plane' ELSE 'automatic' END AS mode, unnest(CASE WHEN id % 2 = 0 THEN ['translation', 'similarity', 'affine'] ELSE ['translation', 'similarity', 'affine', 'homography'] END) AS model FROM photos"""),
+    "v6_earns_perspective": over("photos", "SELECT id, id % 7 <= 4 AND id % 5 < 0.5 * (id % 11) AS earns FROM photos"),
+    "v9_overstretched": None,
+    "v11_shrink_guard": over("maps", "SELECT count(*) FILTER (t0 > 1.07::DOUBLE OR t0 < 0.5) > greatest(1, count(*) // 20) AS rejected FROM maps"),
+    "v12_trimmed": over("matches", ", e AS (SELECT pair, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS e FROM matches) SELECT pair, count(*) AS \"left\" FROM e WHERE e <= 9 GROUP BY 1 HAVING count(*) >= 8"),
+    "v13_focals_plausible": over("photos", ", f AS (SELECT f35 * sqrt((width * width + height * height)::DOUBLE) / 43.2666::DOUBLE AS f FROM photos) SELECT bool_and(f > 0) AS usable, max(f) / min(f) <= 1.05 AS alike FROM f"),
+    "v14_focal_cascade": over("photos", "SELECT id, round(greatest(width, height) / (2 * tan(radians(36))), 5) AS focal FROM photos"),
+    "v15_in_front": over("maps", """, k AS (SELECT image, unnest([0, width, width, 0])::DOUBLE AS x, unnest([0, 0, height, height])::DOUBLE AS y, t0, t1, t2, t3, t4, t5, t6, t7, t8 FROM maps), z AS (SELECT *, t6 * x + t7 * y + t8 AS z FROM k)
+        SELECT image, bool_and(z > 1e-9 AND abs((t0 * x + t1 * y + t2) / z) < 1e7 AND abs((t3 * x + t4 * y + t5) / z) < 1e7) AS usable FROM z GROUP BY 1"""),
+    "f1_mapped": over("matches maps", ", z AS (SELECT m.idx, ax, ay, p.*, CASE WHEN t6 * ax + t7 * ay + t8 > 1e-9 THEN t6 * ax + t7 * ay + t8 END AS z FROM matches m JOIN maps p ON m.pair = p.image) SELECT idx, round((t0 * ax + t1 * ay + t2) / z, 5) AS x, round((t3 * ax + t4 * ay + t5) / z, 5) AS y FROM z"),
+    "f2_jacobian": None,
+    "f3_singular_values": over("maps", ", s AS (SELECT image, t0 * t4 - t1 * t3 AS det, t0 * t0 + t1 * t1 + t3 * t3 + t4 * t4 AS q FROM maps) SELECT image, round(sqrt((q + sqrt(greatest(q * q - 4 * det * det, 0))) / 2), 6) AS large, round(sqrt(greatest((q - sqrt(greatest(q * q - 4 * det * det, 0))) / 2, 0)), 6) AS small FROM s"),
+    "f4_signed_area": over("boxes", "SELECT id, round((x0 * (y0 + 3) - (x0 + w) * y0 + (x0 + w) * (y0 + h) - (x0 + w + 2) * (y0 + 3) + (x0 + w + 2) * (y0 + h) - x0 * (y0 + h) + x0 * y0 - x0 * (y0 + h)) / 2, 6) AS area FROM boxes"),
+    "f5_contains": over("boxes", """, p AS (SELECT id, x0, y0, w, h, w * 0.9::DOUBLE + id % 7 AS x, (id % 9)::DOUBLE AS y FROM boxes)
+        SELECT id, w * y - 3 * x >= 0 AND 2 * (y - 3) - (h - 3) * (x - w) >= 0 AND (-w - 2) * (y - h) >= 0 AND h * x >= 0 AS inside FROM p"""),
+    "f9_inverse": over("maps", ", d AS (SELECT image, t0 * (t4 * t8 - t5 * t7) - t1 * (t3 * t8 - t5 * t6) + t2 * (t3 * t7 - t4 * t6) AS det FROM maps) SELECT image, round(det, 8) AS det, 1.0 AS p0, 0.0 AS p1, 1.0 AS p4, 1.0 AS p8 FROM d"),
+    "f10_huber": over("matches", "SELECT idx, round(CASE WHEN score * 100 <= 2 THEN 1 ELSE 2 / (score * 100) END, 6) AS weight FROM matches"),
+    "f11_root_sift": over("descriptors", ", l AS (SELECT idx, list_sum(list_transform(vec, lambda v: abs(v::DOUBLE))) AS s, vec FROM descriptors), r AS (SELECT idx, list_transform(vec, lambda v: sqrt(abs(v::DOUBLE) / s)) AS v FROM l) SELECT idx, round(list_sum(v), 5) AS total, round(list_max(v), 6) AS most FROM r"),
+    "f12_exif_date": "SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS taken FROM orders",
+    "f13_names": over("photos", "SELECT id, name AS last, lpad(id::VARCHAR, 5, '0') AS padded, 'supplier#' || lpad(split_part(name, '#', 2), 20, '0') AS key FROM photos"),
+    "f15_selu": over("matches", "SELECT idx, round(1.0507009873554805::DOUBLE * CASE WHEN score * 10 - 0.5 > 0 THEN score * 10 - 0.5 ELSE 1.6732632423543772::DOUBLE * (exp(score * 10 - 0.5) - 1) END, 6) AS v FROM matches"),
+    "f21_track_orientation": over("photos", "SELECT id, id % 4 * 90 AS degrees FROM photos"),
+    "f22_rotation_cap": over("photos", "SELECT id, least(300, greatest(40, floor(1.4e6 / ((id + 1) * 50)))) AS cap FROM photos"),
+    "f23_expected_seconds": over("evidence", """, f AS (SELECT a * 40 + b AS pair, seq % 4 AS m, max(inliers) AS inliers FROM evidence GROUP BY 1, 2)
+        SELECT pair, ['translation', 'similarity', 'affine', 'homography'][m + 1] AS model, round([0.034, 0.054, 0.078, 0.72][m + 1]::DOUBLE * inliers, 6) AS microseconds FROM f"""),
+    "f24_output_scale": over("photos", "SELECT id, round(least(1.0::DOUBLE, sqrt(2e7 / (width * height * 8.0::DOUBLE))), 6) AS scale FROM photos"),
+    "f25_digest": over("photos", "SELECT s_nationkey, substr(sha256(string_agg(name || '|' || width || '|' || height, chr(10) ORDER BY name || '|' || width || '|' || height)), 1, 16) AS digest FROM photos GROUP BY 1"),
+    "f28_normaliser": over("photos", "SELECT id, width / 2 AS cx, height / 2 AS cy, round(sqrt(width ** 2 + height ** 2) / 2, 6) AS half FROM photos"),
+    "s4_area_reduce": over("pixels", "SELECT image, y // 4 AS y, x // 4 AS x, round(avg(value), 6) AS value FROM pixels GROUP BY 1, 2, 3"),
+    "s7_percentile_levels": """WITH v AS (SELECT floor(l_extendedprice) AS value, row_number() OVER (ORDER BY floor(l_extendedprice)) - 1 AS k, count(*) OVER () AS n FROM lineitem)
+        SELECT max(value) FILTER (k = floor(0.001 * n)) AS low, max(value) FILTER (k = floor(0.999 * n)) AS high FROM v""",
+    "k4_export_levels": over("pixels", """, v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM pixels WHERE y % 2 = 0 AND x % 2 = 0 AND value > 0)
+        SELECT max(value) FILTER (k = floor(0.001 * n)) AS low, max(value) FILTER (k = floor(0.999 * n)) AS high FROM v"""),
+    "a15_percentiles": """WITH v AS (SELECT p_size AS value, row_number() OVER (ORDER BY p_size) - 1 AS k, count(*) OVER () AS n FROM part) SELECT max(value) FILTER (k = floor(0.25 * n)) AS low, max(value) FILTER (k = floor(0.75 * n)) AS high FROM v""",
+    "s7_stretched": over("pixels", "SELECT image, y, x, least(255, greatest(0, floor((value * 90 - 1000) * 255.0::DOUBLE / 19000 + 0.5)))::INT AS byte FROM pixels"),
+    "s8_oriented": over("pixels", """SELECT image, CASE o WHEN 1 THEN x WHEN 4 THEN x WHEN 2 THEN 49 - x WHEN 3 THEN 49 - x WHEN 5 THEN y WHEN 8 THEN y ELSE 39 - y END AS x,
+        CASE o WHEN 1 THEN y WHEN 2 THEN y WHEN 3 THEN 39 - y WHEN 4 THEN 39 - y WHEN 5 THEN x WHEN 6 THEN x ELSE 49 - x END AS y, value FROM (SELECT *, image % 8 + 1 AS o FROM pixels)"""),
+    "s11_colour_space": over("photos", "SELECT s_nationkey, CASE WHEN count(DISTINCT orientation) = 1 THEN min(orientation)::VARCHAR ELSE 'default' END AS profile FROM photos GROUP BY 1"),
+    "r1_canvas": over("maps", """, k AS (SELECT unnest([0, width, width, 0])::DOUBLE AS x, unnest([0, 0, height, height])::DOUBLE AS y, t0, t1, t2, t3, t4, t5, t6, t7, t8 FROM maps WHERE t6 >= 0),
+        p AS (SELECT (t0 * x + t1 * y + t2) / (t6 * x + t7 * y + t8) AS u, (t3 * x + t4 * y + t5) / (t6 * x + t7 * y + t8) AS v FROM k) SELECT floor(min(u)) AS x0, floor(min(v)) AS y0, ceil(max(u)) AS x1, ceil(max(v)) AS y1 FROM p"""),
+    "r3_outline": over("maps", """, k AS (SELECT *, unnest(range(16)) AS k FROM maps WHERE image < 200), s AS (SELECT *, k // 4 AS side, k % 4 / 4.0::DOUBLE AS f FROM k),
+        p AS (SELECT *, CASE side WHEN 0 THEN f WHEN 1 THEN 1 WHEN 2 THEN 1 - f ELSE 0 END * width AS x, CASE side WHEN 0 THEN 0 WHEN 1 THEN f WHEN 2 THEN 1 ELSE 1 - f END * height AS y FROM s),
+        z AS (SELECT *, CASE WHEN t6 * x + t7 * y + t8 > 1e-9 THEN t6 * x + t7 * y + t8 END AS z FROM p) SELECT image, k, round((t0 * x + t1 * y + t2) / z, 4) AS u, round((t3 * x + t4 * y + t5) / z, 4) AS v FROM z"""),
+    "a14_sharpness": over("pixels", """, l AS (SELECT image, lag(value) OVER r + lead(value) OVER r + lag(value) OVER k + lead(value) OVER k - 4 * value AS lap FROM pixels WINDOW r AS (PARTITION BY image, y ORDER BY x), k AS (PARTITION BY image, x ORDER BY y))
+        SELECT image, round(avg(lap * lap) - avg(lap) * avg(lap), 3) AS sharpness FROM l WHERE lap IS NOT NULL GROUP BY 1"""),
+    "a20_canvas_box": over("boxes", "SELECT min(x0) AS x0, min(y0) AS y0, max(x0 + w) AS x1, max(y0 + h) AS y1 FROM boxes"),
+    "l3_local_maxima": over("pixels", "SELECT p.image, p.y, p.x, p.value FROM pixels p WHERE NOT EXISTS (SELECT 1 FROM pixels q WHERE q.image = p.image AND q.y BETWEEN p.y - 1 AND p.y + 1 AND q.x BETWEEN p.x - 1 AND p.x + 1 AND q.value > p.value)"),
+    "l1_report_order": over("evidence", "SELECT a, b, source, seq FROM evidence ORDER BY a, b, source, seq LIMIT 500"),
+    "l4_offenders": over("links", ", s AS (SELECT list_sort(list(inliers::DOUBLE))[count(*) // 2 + 1] AS middle, max(inliers) AS worst FROM links) SELECT a, b, inliers::DOUBLE AS error FROM links, s WHERE inliers > greatest(3 * middle, 3, worst / 2)"),
+    "r11_projection": over("photos", "SELECT id, CASE WHEN id * 4 % 360 > 330 THEN 'refused' WHEN id * 4 % 360 > 120 THEN 'cylindrical' ELSE 'rectilinear' END AS projection FROM photos"),
+    "r9_column_heights": over("pixels", """, m AS (SELECT y, x, value > 40 AS v FROM pixels WHERE image = 0), b AS (SELECT *, coalesce(max(CASE WHEN NOT v THEN y END) OVER (PARTITION BY x ORDER BY y), (SELECT min(y) FROM m) - 1) AS b FROM m) SELECT y, x, CASE WHEN v THEN y - b ELSE 0 END AS height FROM b"""),
+    "r9_largest_rectangle": over("pixels", """, m AS (SELECT y, x, value > 40 AS v FROM pixels WHERE image = 0), b AS (SELECT y, x, CASE WHEN v THEN y - coalesce(max(CASE WHEN NOT v THEN y END) OVER (PARTITION BY x ORDER BY y), -1) ELSE 0 END AS h FROM m),
+        s AS (SELECT p.y, p.x, q.x AS x1, (SELECT min(h) FROM b r WHERE r.y = p.y AND r.x BETWEEN p.x AND q.x) AS h FROM b p JOIN b q ON p.y = q.y AND q.x >= p.x) SELECT max(h * (x1 - x + 1)) AS area FROM s"""),
+    "k2_redacted": over("photos", "SELECT id, name AS url FROM photos"),
+    "k9_frame_name": over("frames", "SELECT idx, printf('clip_f%04d_%03d.%02ds.jpg', idx, (round(sharpness * 100)::BIGINT // 100), round(sharpness * 100)::BIGINT % 100) AS name FROM frames"),
+    "k1_report_json": over("photos", """SELECT '{"id":' || id || ',"name":"' || name || '","score":"' || CASE WHEN id % 5 = 0 THEN 'inf' ELSE f35::VARCHAR END || '"}' AS json FROM photos"""),
+    "s13_report_round_trip": over("photos", "SELECT id, name, id % 5 = 0 AS infinite, CASE WHEN id % 5 <> 0 THEN f35 END AS score FROM photos"),
+    "st2_frame_selection": over("frames", """, f AS (SELECT video, idx, sharpness AS s, sum(shift) OVER (PARTITION BY video ORDER BY idx) AS p, row_number() OVER (PARTITION BY video ORDER BY idx) AS n FROM frames),
+        step(video, n, anchor, bi, bs, bp, kept) AS (
+          SELECT video, n, p, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, [idx] FROM f WHERE n = 1
+          UNION ALL
+          SELECT f.video, f.n,
+            CASE WHEN abs(f.p - t.anchor) > t.lim AND (t.bi IS NULL OR abs(f.p - t.bp) > t.lim) THEN f.p WHEN abs(f.p - t.anchor) > t.lim THEN t.bp ELSE t.anchor END,
+            CASE WHEN abs(f.p - t.anchor) > t.lim AND (t.bi IS NULL OR abs(f.p - t.bp) > t.lim) THEN NULL
+                 WHEN abs(f.p - t.anchor) > t.lim THEN CASE WHEN abs(f.p - t.bp) >= t.lim / 2 THEN f.idx END
+                 WHEN abs(f.p - t.anchor) >= t.lim / 2 AND (t.bs IS NULL OR f.s > t.bs) THEN f.idx ELSE t.bi END,
+            CASE WHEN abs(f.p - t.anchor) > t.lim AND (t.bi IS NULL OR abs(f.p - t.bp) > t.lim) THEN NULL
+                 WHEN abs(f.p - t.anchor) > t.lim THEN CASE WHEN abs(f.p - t.bp) >= t.lim / 2 THEN f.s END
+                 WHEN abs(f.p - t.anchor) >= t.lim / 2 AND (t.bs IS NULL OR f.s > t.bs) THEN f.s ELSE t.bs END,
+            CASE WHEN abs(f.p - t.anchor) > t.lim AND (t.bi IS NULL OR abs(f.p - t.bp) > t.lim) THEN NULL
+                 WHEN abs(f.p - t.anchor) > t.lim THEN CASE WHEN abs(f.p - t.bp) >= t.lim / 2 THEN f.p END
+                 WHEN abs(f.p - t.anchor) >= t.lim / 2 AND (t.bs IS NULL OR f.s > t.bs) THEN f.p ELSE t.bp END,
+            list_concat(CASE WHEN abs(f.p - t.anchor) > t.lim AND t.bi IS NOT NULL THEN [t.bi] ELSE [] END,
+                        CASE WHEN abs(f.p - t.anchor) > t.lim AND (t.bi IS NULL OR abs(f.p - t.bp) > t.lim) THEN [f.idx] ELSE [] END)
+          FROM (SELECT *, 1::DOUBLE / 3 AS lim FROM step) t JOIN f ON f.video = t.video AND f.n = t.n + 1),
+        ends AS (SELECT video, max_by({'b': bi}, n).b AS bi FROM step GROUP BY 1)
+        SELECT video, unnest(kept) AS idx FROM step UNION ALL SELECT video, bi FROM ends WHERE bi IS NOT NULL"""),
+}
+_WARPED = ", places AS (SELECT id AS image, id * 23 AS dx, id * 11 % 30 AS dy FROM photos WHERE id < 8), warped AS (SELECT p.x + q.dx AS u, p.y + q.dy AS v, p.image, p.value FROM pixels p JOIN places q ON p.image = q.image)"
+ORACLES |= {k: over("pixels photos", _WARPED + v) for k, v in {
+    "r2_warp": " SELECT u, v, image, value FROM warped",
+    "a17_overlap_depth": " SELECT max(n) AS depth FROM (SELECT count(*) AS n FROM warped GROUP BY u, v)",
+    "r5_voronoi": ", d AS (SELECT u, v, image, (u - (image * 23 + 25)) ** 2 + (v - (image * 11 % 30 + 20)) ** 2 AS d FROM warped) SELECT u, v, min_by(image, (d, image)) AS image FROM d GROUP BY 1, 2",
+    "r6_hard": " SELECT u, v, max_by(value, image) AS value, max(image) AS image FROM warped GROUP BY 1, 2",
+    "r7_feathered": " SELECT u, v, round(sum(value * (1 + (u + v) % 7)) / sum(1 + (u + v) % 7), 6) AS value FROM warped GROUP BY 1, 2",
+    "r8_finished": ", h AS (SELECT max_by(value, image) AS value FROM warped GROUP BY u, v) SELECT sum(CASE WHEN value > 200 THEN 0 ELSE value END) AS total, bool_and(value <= 200) AS opaque FROM h",
+    "a16_overlap_means": " SELECT x.image AS i, y.image AS j, count(*) AS n, round(avg(x.value), 6) AS mi, round(avg(y.value), 6) AS mj FROM warped x JOIN warped y ON x.u = y.u AND x.v = y.v AND x.image < y.image GROUP BY 1, 2",
+}.items()}
+ORACLES |= {
+    "r7_band_count": over("photos", "SELECT id, least(10, greatest(1, ceil(log2(greatest(2.0::DOUBLE, 0.05::DOUBLE * sqrt((width * height)::DOUBLE)))) - 1))::INT AS bands FROM photos"),
+    "k8_suggested_name": over("photos", """, n AS (SELECT id, 'IMG_' || (id * 7 + 100) AS f, 'IMG_' || (id * 7 + 112) AS l FROM photos) SELECT id, f || '-' || substr(l, 5) || '_pano' AS name FROM n"""),
+    "g9_exclusions": over("links vertices", _REACH + """, s AS (SELECT l.component, sum(k.inliers) AS strength FROM links k JOIN labels l ON k.a = l.id GROUP BY 1), m AS (SELECT component, count(*) AS size FROM labels GROUP BY 1),
+        o AS (SELECT m.component, size, row_number() OVER (ORDER BY size DESC, coalesce(strength, 0) DESC, m.component) - 1 AS place FROM m LEFT JOIN s ON m.component = s.component),
+        e AS (SELECT id, bool_or(v) AS v, bool_or(NOT v) AS w FROM (SELECT a AS id, inliers % 2 = 0 AS v FROM links UNION ALL SELECT b, inliers % 2 = 0 FROM links) GROUP BY 1)
+        SELECT l.id, CASE WHEN o.place = 0 AND (SELECT size FROM o WHERE place = 0) >= 2 THEN NULL WHEN l.id % 17 = 0 THEN 'excludedByUser' WHEN l.id % 13 = 0 THEN 'unreadable' WHEN l.id * 7 % 200 < 50 THEN 'tooFewFeatures'
+          WHEN e.v THEN 'separateGroup' WHEN e.w THEN 'weakLinkOnly' ELSE 'noVerifiedPair' END AS reason FROM labels l JOIN o ON l.component = o.component LEFT JOIN e ON e.id = l.id"""),
+}
+ORACLES["a11_exclusion_histogram"] = "SELECT reason, count(*) AS n FROM (" + ORACLES["g9_exclusions"] + ") WHERE reason IS NOT NULL GROUP BY 1"
+ORACLES = {k: v for k, v in ORACLES.items() if v}

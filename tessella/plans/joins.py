@@ -1,2 +1,284 @@
-QUERIES={}
-ORACLES={}
+"""Queries of matching, candidates, joins and filters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.config import DEFAULTS
+from tessella.functions import columns as C
+from tessella.operators import candidates, matching
+from tessella.plans.inputs import given, over
+from tessella.runtime import table
+
+RATIO = 0.95  # the tables' vectors lie far apart; the default ratio passes next to none
+
+_MATCHED = """, pairs AS (SELECT x.image AS a, y.image AS b, x.idx AS ia, y.idx AS ib,
+    list_sum(list_transform(list_zip(x.vec, y.vec), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS d
+    FROM descriptors x JOIN descriptors y ON x.image < y.image),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY a, b, ia ORDER BY d, ib) AS f, lead(d) OVER (PARTITION BY a, b, ia ORDER BY d, ib) AS d2,
+    row_number() OVER (PARTITION BY a, b, ib ORDER BY d, ia) AS r FROM pairs),
+  matched AS (SELECT a, b, ia, ib, round(1 - sqrt(d) / sqrt(d2), 6) AS score FROM ranked WHERE f = 1 AND r = 1 AND d2 > 0 AND sqrt(d) < 0.95 * sqrt(d2)),
+  affinities AS (SELECT p.a, p.b, count(m.ia) AS affinity FROM (SELECT DISTINCT x.image AS a, y.image AS b FROM descriptors x JOIN descriptors y ON x.image < y.image) p
+    LEFT JOIN matched m ON p.a = m.a AND p.b = m.b GROUP BY ALL)"""
+_BOTH = """, ways AS (SELECT a AS id, a, b, affinity FROM affinities UNION ALL SELECT b, a, b, affinity FROM affinities),
+  partners AS (SELECT DISTINCT a, b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY affinity DESC, a, b) AS turn FROM ways WHERE affinity > 0) WHERE turn <= 2)"""
+_TREE = """, placed AS (SELECT a, b, row_number() OVER (ORDER BY affinity DESC, a, b) AS place FROM affinities),
+  reach(place, src, dst) AS (SELECT p.place, p.a, p.a FROM placed p UNION SELECT r.place, r.src, CASE WHEN e.a = r.dst THEN e.b ELSE e.a END FROM reach r JOIN placed e ON e.place < r.place AND (e.a = r.dst OR e.b = r.dst)),
+  tree AS (SELECT p.a, p.b FROM placed p WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.place = p.place AND r.dst = p.b))"""
+
+
+def _affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.affinity(given(spark, sf_dir, "descriptors"), RATIO)
+
+
+def j1_descriptor_join(spark, sf_dir):
+    return matching.descriptor_join(given(spark, sf_dir, "descriptors"), ratio=RATIO).withColumn("score", F.round("score", 6))
+
+
+def j2_all_pairs(spark, sf_dir):
+    return matching.all_pairs(given(spark, sf_dir, "descriptors").select("image").distinct())
+
+
+def j3_pair_lookup(spark, sf_dir):
+    links, photos = given(spark, sf_dir, "links"), given(spark, sf_dir, "photos")
+    return links.join(photos.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a").join(photos.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b").select("a", "b", "name_a", "name_b")
+
+
+def j6_untried(spark, sf_dir):
+    tried = given(spark, sf_dir, "links").where("inliers % 2 = 0").select("a", "b")
+    return given(spark, sf_dir, "links").join(tried, ["a", "b"], "left_anti").select("a", "b", "inliers")
+
+
+CELL = 50
+
+
+def j7_box_overlap(spark, sf_dir):
+    """Boxes meet in grid cells; a pair is reported from the cell of its overlap's corner only."""
+    boxes = given(spark, sf_dir, "boxes")
+    celled = boxes.withColumns({
+        "cx": F.explode(F.sequence(F.floor(F.col("x0") / CELL), F.floor((F.col("x0") + F.col("w")) / CELL))),
+    }).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / CELL), F.floor((F.col("y0") + F.col("h")) / CELL))))
+    a, b = (celled.select("cx", "cy", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "x0", "y0", "w", "h"))) for s in "ab")
+    both = a.join(b, ["cx", "cy"]).where("id_a < id_b")
+    left, top = F.greatest("x0_a", "x0_b"), F.greatest("y0_a", "y0_b")
+    right, low = F.least(F.col("x0_a") + F.col("w_a"), F.col("x0_b") + F.col("w_b")), F.least(F.col("y0_a") + F.col("h_a"), F.col("y0_b") + F.col("h_b"))
+    share = (right - left) * (low - top) / F.least(F.col("w_a") * F.col("h_a"), F.col("w_b") * F.col("h_b"))
+    own = (F.floor(left / CELL) == F.col("cx")) & (F.floor(top / CELL) == F.col("cy"))
+    return both.where((right > left) & (low > top) & own).withColumn("share", F.round(share, 6)).where(share > 0.05).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "share")
+
+
+def j8_near_axes(spark, sf_dir):
+    """Optical axes nearer than their half fields of view together; cells of one degree of yaw join first."""
+    p = given(spark, sf_dir, "photos").select("id", (F.col("id") * 37 % 360).cast("double").alias("yaw"), (F.lit(5.0) + F.col("id") % 7).alias("half"))
+    near = p.withColumn("cell", F.explode(F.sequence(F.floor(F.col("yaw") / 24) - 1, F.floor(F.col("yaw") / 24) + 1))).withColumn("cell", F.pmod("cell", F.lit(15)))
+    home = p.withColumn("cell", F.floor(F.col("yaw") / 24))
+    both = near.toDF("a", "ya", "ha", "cell").join(home.toDF("b", "yb", "hb", "cell"), "cell").where("a < b")
+    turn = F.abs(F.col("ya") - F.col("yb"))
+    angle = F.least(turn, 360 - turn)
+    return both.where(angle < F.col("ha") + F.col("hb")).select("a", "b", F.round(1 - angle / (F.col("ha") + F.col("hb")), 6).alias("score"))
+
+
+def j10_best_evidence_lookup(spark, sf_dir):
+    asked = given(spark, sf_dir, "links").select(F.col("b").alias("p"), F.col("a").alias("q")).where("p < 40")
+    e = given(spark, sf_dir, "evidence").where("source = '1-URGENT'").groupBy("a", "b").agg(F.max("inliers").alias("inliers"))
+    return asked.join(e, (F.least("p", "q") == e["a"]) & (F.greatest("p", "q") == e["b"])).select("p", "q", "inliers")
+
+
+def j11_oriented_evidence(spark, sf_dir):
+    e = given(spark, sf_dir, "evidence")
+    flip = F.col("a") % 3 > F.col("b") % 3
+    return e.select("seq", F.when(flip, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("b"), flip.alias("flipped"))
+
+
+def j13_nearest_node(spark, sf_dir):
+    """For each query point the nearest centre within 30; points meet centres in cells of that size."""
+    boxes = given(spark, sf_dir, "boxes")
+    centre = boxes.select("id", (F.col("x0") + F.col("w") / 2).alias("cx"), (F.col("y0") + F.col("h") / 2).alias("cy"))
+    asked = given(spark, sf_dir, "photos").select(F.col("id").alias("q"), (F.col("id") * 31 % 1000).cast("double").alias("x"), (F.col("id") * 17 % 1000).cast("double").alias("y"))
+    cells = asked.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x") / 30) - 1, F.floor(F.col("x") / 30) + 1))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("y") / 30) - 1, F.floor(F.col("y") / 30) + 1)))
+    near = cells.join(centre.withColumns({"gx": F.floor(F.col("cx") / 30), "gy": F.floor(F.col("cy") / 30)}), ["gx", "gy"])
+    d = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
+    return near.withColumn("d", d).where("d <= 30").groupBy("q").agg(F.min_by("id", F.struct("d", "id")).alias("id"))
+
+
+def j14_smallest_outline(spark, sf_dir):
+    """For each query point the smallest box outline that holds it, by crossed edges."""
+    boxes = given(spark, sf_dir, "boxes")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
+    shapes = boxes.select("id", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("points"), F.explode(F.sequence(F.floor(x0 / CELL), F.floor(x1 / CELL))).alias("gx"))
+    asked = given(spark, sf_dir, "photos").select(F.col("id").alias("q"), (F.col("id") * 31 % 1000 + 0.5).cast("double").alias("x"), (F.col("id") * 17 % 1000 + 0.5).cast("double").alias("y")).withColumn("gx", F.floor(F.col("x") / CELL))
+    inside = asked.join(shapes, "gx").where(C.even_odd(F.col("points"), F.col("x"), F.col("y")))
+    return inside.groupBy("q").agg(F.min_by("id", F.struct(F.abs(C.signed_area(F.col("points"))), "id")).alias("id"))
+
+
+def j15_closest_distance(spark, sf_dir):
+    """The least distance of two centres: each meets those in its own and neighbouring cells; cells of 60 hold it."""
+    c = given(spark, sf_dir, "boxes").where("id < 300").select("id", (F.col("x0") + F.col("w") / 2).alias("x"), (F.col("y0") + F.col("h") / 2).alias("y"))
+    cell = c.withColumns({"gx": F.floor(F.col("x") / 60), "gy": F.floor(F.col("y") / 60)})
+    near = cell.withColumn("gx", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1))).withColumn("gy", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)))
+    both = near.toDF("i", "xi", "yi", "gx", "gy").join(cell.toDF("j", "xj", "yj", "gx", "gy"), ["gx", "gy"]).where("i < j")
+    return both.agg(F.round(F.min(F.sqrt((F.col("xi") - F.col("xj")) ** 2 + (F.col("yi") - F.col("yj")) ** 2)), 6).alias("distance"))
+
+
+def a1_affinity(spark, sf_dir):
+    return _affinity(spark, sf_dir)
+
+
+def w3_top_partners(spark, sf_dir):
+    return candidates.top_partners(_affinity(spark, sf_dir))
+
+
+def g2_spanning_tree(spark, sf_dir):
+    return candidates.spanning_tree(_affinity(spark, sf_dir))
+
+
+def u1_candidates(spark, sf_dir):
+    """Consecutive, neighbour and spanning-tree pairs with their reasons, in photo order of label."""
+    affinities = _affinity(spark, sf_dir)
+    photos = given(spark, sf_dir, "descriptors").select(F.col("image").alias("id")).distinct().withColumns({"name": F.concat(F.lit("photo"), "id"), "capture_date": F.lit(None).cast("timestamp")})
+    return candidates.candidates(photos, affinities).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def w6_bridges(spark, sf_dir):
+    affinities = _affinity(spark, sf_dir)
+    groups = given(spark, sf_dir, "descriptors").select(F.col("image").alias("id")).distinct().withColumn("component", F.floor(F.col("id") / 4))
+    tried = affinities.where("(a + b) % 5 = 0")
+    return candidates.bridges(affinities, groups, tried, limit=10)
+
+
+def l2_overlap_quota(spark, sf_dir):
+    overlaps = given(spark, sf_dir, "links").select("a", "b", F.col("inliers").cast("double").alias("overlap"))
+    return candidates.quota(overlaps, 2).select("a", "b")
+
+
+def w4_strongest(spark, sf_dir):
+    d = given(spark, sf_dir, "descriptors").select("image", "idx", F.abs(F.col("vec")[0].cast("double")).alias("response"))
+    return matching.strongest(d, "response", 20).select("image", "idx")
+
+
+def p6_confident(spark, sf_dir):
+    m = given(spark, sf_dir, "matches").select(F.col("pair").alias("a"), F.lit(0).alias("b"), F.col("idx").alias("ia"), (F.col("idx") % 60 - 3).alias("ib"), F.col("score").alias("confidence"), F.lit(50).alias("count_b"))
+    return matching.confident(m, 0.05).select("a", "ia", "ib")
+
+
+def p1_active(spark, sf_dir):
+    photos = given(spark, sf_dir, "photos")
+    return photos.where("height > 900").join(photos.where("s_nationkey % 5 = 0").select("id"), "id", "left_anti").select("id")
+
+
+def _column_query(source: str, *made):
+    def run(spark, sf_dir):
+        return given(spark, sf_dir, source).select(*(m() if callable(m) else m for m in made))
+
+    return run
+
+
+c = F.col
+
+
+def t_of():
+    return F.array(*(F.col(f"t{i}") for i in range(9)))
+
+
+p2_sift_rescale = _column_query("matches", "idx", lambda: F.round(C.rescaled(c("ax"), F.lit(1.5)), 6).alias("x"), lambda: F.round(C.rescaled(c("ay"), F.lit(1.5)), 6).alias("y"))
+p3_learned_rescale = _column_query("matches", "idx", lambda: F.round((c("ax") - 500) * (1 + 0.42 / 500) + 500, 6).alias("x"))
+p5_normalised = _column_query("photos", "id", lambda: F.round((c("id") - c("width") / 2) / (F.greatest("width", "height") / 2), 6).alias("x"))
+p9_canvas = _column_query("photos", "id", lambda: F.when(c("width") >= c("height"), "landscape").otherwise("portrait").alias("canvas"), lambda: F.round(F.least(F.when(c("width") >= c("height"), 1024).otherwise(768) / c("width"), F.when(c("width") >= c("height"), 768).otherwise(1024) / c("height")), 9).alias("fit"))
+p10_threshold = _column_query("photos", "id", lambda: F.round(C.inlier_threshold(c("width"), c("height"), DEFAULTS.inlier_threshold), 6).alias("threshold"))
+p11_focal = _column_query("photos", "id", lambda: F.round(C.focal_prior(c("f35"), c("width"), c("height")), 6).alias("focal"))
+s5_long_side = _column_query("photos", "id", lambda: C.long_side(c("width"), c("height"), 1.5).cast("long").alias("side"))
+
+
+def p4_in_content(spark, sf_dir):
+    return given(spark, sf_dir, "matches").where("ax < 900 AND ay < 600").select("pair", "idx")
+
+
+def p7_finite(spark, sf_dir):
+    m = given(spark, sf_dir, "matches").withColumns({"ax": F.when(c("idx") % 7 == 0, F.lit(float("nan"))).otherwise(c("ax")), "by_": F.when(c("idx") % 11 == 0, F.lit(float("inf"))).otherwise(c("by_"))})
+    return m.where(C.finite(c("ax")) & C.finite(c("ay")) & C.finite(c("bx")) & C.finite(c("by_"))).select("pair", "idx")
+
+
+def p8_visible(spark, sf_dir):
+    state = F.when(c("verified"), "verified").when(c("inliers") >= 15, "rejected").otherwise("failed")
+    return given(spark, sf_dir, "evidence").withColumn("state", state).where(c("state").isin("verified", "failed")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def _matches_mapped(spark, sf_dir):
+    maps = given(spark, sf_dir, "maps").where("image < 12").select(c("image").alias("pair"), t_of().alias("t"))
+    return given(spark, sf_dir, "matches").join(F.broadcast(maps), "pair")  # twelve maps
+
+
+def p12_reprojection(spark, sf_dir):
+    m = _matches_mapped(spark, sf_dir)
+    x, y = C.mapped(c("t"), c("ax"), c("ay"))
+    return m.select("idx", F.round(F.sqrt((x - c("bx")) ** 2 + (y - c("by_")) ** 2), 5).alias("error"))
+
+
+def j12_grid_dedup(spark, sf_dir):
+    """Of matches within a radius in both photos the one of lower sigma stays, greedily; one pair per group."""
+    import pandas as pd
+
+    def dedup(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["sigma", "idx"])
+        cells, kept = {}, []
+        for i, ax, ay, bx, by in zip(rows["idx"], rows["ax"], rows["ay"], rows["bx"], rows["by_"], strict=True):
+            gx, gy = int(ax // 5), int(ay // 5)
+            near = (k for u in (-1, 0, 1) for v in (-1, 0, 1) for k in cells.get((gx + u, gy + v), ()))
+            if any((ax - p) ** 2 + (ay - q) ** 2 < 25 and (bx - r) ** 2 + (by - s) ** 2 < 25 for p, q, r, s in near):
+                continue
+            cells.setdefault((gx, gy), []).append((ax, ay, bx, by))
+            kept.append(i)
+        return pd.DataFrame({"idx": kept})
+
+    return given(spark, sf_dir, "matches").select("pair", "idx", "ax", "ay", "bx", "by_", "sigma").groupBy("pair").applyInPandas(dedup, "idx long")
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if k.split("_")[0][:1] in "jawgulpsw" and k.split("_")[0][1:].isdigit()}
+
+ORACLES = {
+    "j1_descriptor_join": over("descriptors", _MATCHED + " SELECT a, b, ia, ib, score FROM matched"),
+    "j2_all_pairs": over("descriptors", "SELECT DISTINCT x.image AS a, y.image AS b FROM descriptors x JOIN descriptors y ON x.image < y.image"),
+    "j3_pair_lookup": over("links photos", "SELECT l.a, l.b, p.name AS name_a, q.name AS name_b FROM links l JOIN photos p ON l.a = p.id JOIN photos q ON l.b = q.id"),
+    "j6_untried": over("links", "SELECT a, b, inliers FROM links l WHERE NOT EXISTS (SELECT 1 FROM links t WHERE t.inliers % 2 = 0 AND t.a = l.a AND t.b = l.b)"),
+    "j7_box_overlap": over("boxes", """, p AS (SELECT a.id AS a, b.id AS b, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0) AS ow, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0) AS oh,
+        least(a.w * a.h, b.w * b.h) AS least_area FROM boxes a JOIN boxes b ON a.id < b.id)
+        SELECT a, b, round(ow * oh / least_area, 6) AS share FROM p WHERE ow > 0 AND oh > 0 AND ow * oh / least_area > 0.05"""),
+    "j8_near_axes": over("photos", """, p AS (SELECT id, (id * 37 % 360)::DOUBLE AS yaw, 5.0::DOUBLE + id % 7 AS half FROM photos),
+        q AS (SELECT a.id AS a, b.id AS b, least(abs(a.yaw - b.yaw), 360 - abs(a.yaw - b.yaw)) AS angle, a.half + b.half AS reach FROM p a JOIN p b ON a.id < b.id)
+        SELECT a, b, round(1 - angle / reach, 6) AS score FROM q WHERE angle < reach"""),
+    "j10_best_evidence_lookup": over("links evidence", "SELECT l.b AS p, l.a AS q, max(e.inliers) AS inliers FROM links l JOIN evidence e ON e.a = least(l.a, l.b) AND e.b = greatest(l.a, l.b) WHERE e.source = '1-URGENT' AND l.b < 40 GROUP BY ALL"),
+    "j11_oriented_evidence": over("evidence", "SELECT seq, CASE WHEN a % 3 > b % 3 THEN b ELSE a END AS a, CASE WHEN a % 3 > b % 3 THEN a ELSE b END AS b, a % 3 > b % 3 AS flipped FROM evidence"),
+    "j12_grid_dedup": None,
+    "j13_nearest_node": over("boxes photos", """, d AS (SELECT p.id AS q, b.id, sqrt((p.id * 31 % 1000 - b.x0 - b.w / 2) ** 2 + (p.id * 17 % 1000 - b.y0 - b.h / 2) ** 2) AS d FROM photos p, boxes b)
+        SELECT q, min_by(id, (d, id)) AS id FROM d WHERE d <= 30 GROUP BY q"""),
+    "j14_smallest_outline": over("boxes photos", """SELECT p.id AS q, min_by(b.id, (b.w * b.h, b.id)) AS id FROM photos p JOIN boxes b
+        ON p.id * 31 % 1000 + 0.5 BETWEEN b.x0 AND b.x0 + b.w AND p.id * 17 % 1000 + 0.5 BETWEEN b.y0 AND b.y0 + b.h GROUP BY p.id"""),
+    "j15_closest_distance": over("boxes", "SELECT round(min(sqrt((a.x0 + a.w / 2 - b.x0 - b.w / 2) ** 2 + (a.y0 + a.h / 2 - b.y0 - b.h / 2) ** 2)), 6) AS distance FROM boxes a JOIN boxes b ON a.id < b.id WHERE a.id < 300 AND b.id < 300"),
+    "a1_affinity": over("descriptors", _MATCHED + " SELECT a, b, affinity FROM affinities"),
+    "w3_top_partners": over("descriptors", _MATCHED + _BOTH + " SELECT a, b FROM partners"),
+    "g2_spanning_tree": over("descriptors", _MATCHED + _TREE + " SELECT a, b FROM tree"),
+    "u1_candidates": over("descriptors", _MATCHED + _BOTH + _TREE + """, named AS (SELECT a, b, 'neighbour' AS reason FROM partners UNION ALL SELECT a, b, 'spanningTree' FROM tree
+        UNION ALL SELECT id, following, 'consecutive' FROM (SELECT image AS id, lead(image) OVER (ORDER BY image) AS following FROM (SELECT DISTINCT image FROM descriptors)) WHERE following IS NOT NULL)
+        SELECT n.a, n.b, f.affinity, array_to_string(list_sort(list(DISTINCT n.reason)), ',') AS reasons FROM named n LEFT JOIN affinities f ON n.a = f.a AND n.b = f.b GROUP BY n.a, n.b, f.affinity"""),
+    "w6_bridges": over("descriptors", _MATCHED + """, u AS (SELECT a, b, affinity, row_number() OVER (PARTITION BY least(a // 4, b // 4), greatest(a // 4, b // 4) ORDER BY affinity DESC, a, b) AS turn
+        FROM affinities WHERE affinity > 0 AND (a + b) % 5 <> 0 AND a // 4 <> b // 4) SELECT a, b, affinity FROM u WHERE turn <= 2 ORDER BY affinity DESC, a, b LIMIT 10"""),
+    "w4_strongest": over("descriptors", "SELECT image, idx FROM (SELECT image, idx, row_number() OVER (PARTITION BY image ORDER BY abs(vec[1]::DOUBLE) DESC, idx) AS turn FROM descriptors) WHERE turn <= 20"),
+    "p1_active": over("photos", "SELECT id FROM photos WHERE height > 900 AND s_nationkey % 5 <> 0"),
+    "p2_sift_rescale": over("matches", "SELECT idx, round((ax + 0.5) * 1.5 - 0.5, 6) AS x, round((ay + 0.5) * 1.5 - 0.5, 6) AS y FROM matches"),
+    "p3_learned_rescale": over("matches", "SELECT idx, round((ax - 500) * (1 + 0.42::DOUBLE / 500) + 500, 6) AS x FROM matches"),
+    "p4_in_content": over("matches", "SELECT pair, idx FROM matches WHERE ax < 900 AND ay < 600"),
+    "p5_normalised": over("photos", "SELECT id, round((id - width / 2) / (greatest(width, height) / 2), 6) AS x FROM photos"),
+    "p6_confident": over("matches", "SELECT pair AS a, idx AS ia, idx % 60 - 3 AS ib FROM matches WHERE score > 0.05::DOUBLE AND idx % 60 - 3 BETWEEN 0 AND 49"),
+    "p7_finite": over("matches", "SELECT pair, idx FROM matches WHERE idx % 7 <> 0 AND idx % 11 <> 0"),
+    "p8_visible": over("evidence", "SELECT CASE WHEN verified THEN 'verified' ELSE 'failed' END AS state, count(*) AS n FROM evidence WHERE verified OR inliers < 15 GROUP BY 1"),
+    "p9_canvas": over("photos", """SELECT id, CASE WHEN width >= height THEN 'landscape' ELSE 'portrait' END AS canvas,
+        round(CASE WHEN width >= height THEN least(1024 / width, 768 / height) ELSE least(768 / width, 1024 / height) END, 9) AS fit FROM photos"""),
+    "p10_threshold": over("photos", "SELECT id, round(3 * sqrt(width * height / 1e6), 6) AS threshold FROM photos"),
+    "p11_focal": over("photos", "SELECT id, round(f35 * sqrt((width * width + height * height)::DOUBLE) / 43.2666::DOUBLE, 6) AS focal FROM photos"),
+    "p12_reprojection": over("matches maps", """SELECT m.idx, round(sqrt(((t0 * ax + t1 * ay + t2) / z - bx) ** 2 + ((t3 * ax + t4 * ay + t5) / z - by_) ** 2), 5) AS error
+        FROM (SELECT m.*, p.*, CASE WHEN t6 * ax + t7 * ay + t8 > 1e-9 THEN t6 * ax + t7 * ay + t8 END AS z FROM matches m JOIN maps p ON m.pair = p.image) m"""),
+    "s5_long_side": over("photos", "SELECT id, floor(greatest(width, height) * least(1.0::DOUBLE, sqrt(1.5e6 / (width * height))) + 0.5)::BIGINT AS side FROM photos"),
+}
+ORACLES = {k: v for k, v in ORACLES.items() if v}
