@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import models
+from tessella.operators.graph import inconsistent
 
 HUBER = 2.0
 PARAMETERS = {"translation": 2, "similarity": 4, "affine": 6}
@@ -384,12 +385,53 @@ def offenders(layout: Layout, thresholds: dict[tuple[int, int], float]) -> list[
     return sorted(out, key=lambda k: (-layout.pair_rms[k], k))
 
 
+def pair_map(pair: Pair) -> np.ndarray | None:
+    """From photo a to photo b, by the pair's own matches."""
+    for kind, least in (("homography", 8), ("similarity", 2)):
+        if len(pair.pa) >= least and (h := models.least_squares(kind, pair.pa, pair.pb, 1 / pair.sigma**2)) is not None:
+            return h
+    return None
+
+
+def loops(pairs: list[Pair], threshold: float = 3.0) -> list[tuple[int, int, int, bool]]:
+    """All triangles i < j < k of pairs, and whether one of the three ways round them closes.
+
+    A way round closes if the upper median of its error is within eight thresholds.
+    """
+    known = {(p.a, p.b): (p, h) for p in pairs if (h := pair_map(p)) is not None}
+    step = {k: h for k, (_, h) in known.items()}
+    step |= {(b, a): np.linalg.pinv(h) for (a, b), h in list(step.items())}
+    near: dict[int, set[int]] = {}
+    for a, b in known:
+        near.setdefault(a, set()).add(b)
+    out = []
+    for i, j in sorted(known):
+        for k in sorted(near.get(i, set()) & near.get(j, set())):
+            ways = []
+            for a, b, via in ((i, j, k), (j, k, i), (i, k, j)):
+                pair = known[(a, b)][0]
+                around = models.apply(step[(via, b)] @ step[(a, via)], pair.pa)
+                ways.append(models.upper_median(np.nan_to_num(np.linalg.norm(around - pair.pb, axis=1), nan=1e9)))
+            out.append((i, j, k, min(ways) <= 8 * threshold))
+    return out
+
+
 def align(photos: list[int], pairs: list[Pair], anchor: int, thresholds: dict[tuple[int, int], float] | None = None, sizes: dict[int, tuple[float, float]] | None = None) -> Layout:
-    """Choose a model, then leave out pairs that contradict the rest, while the photos hang together."""
+    """Leave out pairs that break loops, choose a model, then leave out pairs that are far off.
+
+    Photos that a removal cuts off the anchor's group are noted and not placed.
+    """
     thresholds = thresholds or {}
-    layout, out = choose(photos, pairs, anchor, sizes), []
+    broken = inconsistent([(p.a, p.b) for p in pairs], loops(pairs, max(thresholds.values(), default=3.0)))
+    out: list[tuple[tuple[int, int], str, float | None]] = [(k, "brokenLoops", None) for k in broken]
+    pairs = [p for p in pairs if (p.a, p.b) not in broken]
+    group = next(g for g in groups(photos, [(p.a, p.b) for p in pairs]) if anchor in g)
+    lost, photos = [p for p in photos if p not in group], group
+    pairs = [p for p in pairs if p.a in group and p.b in group]
+    layout = choose(photos, pairs, anchor, sizes)
+    first = len(out)
     limit = max(2, (len(pairs) - (len(photos) - 1)) // 4)
-    while len(out) < limit and len(pairs) >= len(photos):
+    while len(out) - first < limit and len(pairs) >= len(photos):
         gone = next((k for k in offenders(layout, thresholds) if connected(photos, [p for p in pairs if (p.a, p.b) != k])), None)
         if gone is None:
             break
@@ -397,6 +439,8 @@ def align(photos: list[int], pairs: list[Pair], anchor: int, thresholds: dict[tu
         pairs = [p for p in pairs if (p.a, p.b) != gone]
         layout = choose(photos, pairs, anchor, sizes)
     layout.left_out = out
+    if lost:
+        layout.notes.append(f"{len(lost)} photos hang on inconsistent pairs alone")
     return layout
 
 
