@@ -67,7 +67,7 @@ def _evidence(rows: pd.DataFrame, kinds: tuple[str, ...], mode: str, config: Ana
         plausible=models.plausible(chosen.transform, (wa, ha), (wb, hb), mode in ("plane", "automatic") and chosen.model != "homography"),
         hull=polygons.peeled_hull_area(a[chosen.inliers]) / (wa * ha), coverage=covered, alarms=alarms,
     )
-    return [chosen.model, chosen.transform.ravel(), chosen.inliers.astype(np.int32), chosen.rmse, chosen.median, len(rows), inside, overlap, covered, confidence, alarms, _cascade(facts, config)]
+    return [chosen.model, chosen.transform.ravel(), rows["idx"].to_numpy(np.int32)[chosen.inliers], chosen.rmse, chosen.median, len(rows), inside, overlap, covered, confidence, alarms, _cascade(facts, config)]
 
 
 def _within(polygon: np.ndarray, points: np.ndarray) -> np.ndarray:
