@@ -35,7 +35,8 @@ SHINGLE = 3
 BUDGET = 2
 SEED = 42
 PREFIX_BITS = 12
-SUBTREE = 1 << 15  # fingerprints below which a node is not split further on the driver
+SUBTREE = 1 << 15  # fingerprints below which a node is not split further on the driver,
+FEWEST = 64  # but for so many nodes, that the work spreads and copies of a fingerprint don't depend on the input's size
 _CHUNK = 1 << 18  # node pairs walked at a time
 _BRUTE = 64  # products of node sizes from which a pair is compared directly
 _HASHES = 1 << 16
@@ -197,7 +198,7 @@ def linked(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     bits = PREFIX_BITS
     prefix = F.shiftrightunsigned("fp", 64 - bits).cast("int")
     counts = {r["p"]: r["n"] for r in classes.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
-    nodes = _subtrees(counts, bits, SUBTREE)
+    nodes = _subtrees(counts, bits, max(1, min(SUBTREE, sum(counts.values()) // FEWEST)))
     near = _near_subtrees(nodes, budget)
     node_of = np.full(1 << bits, -1, dtype=np.int32)
     for i, (depth, p) in enumerate(nodes):
