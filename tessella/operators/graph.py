@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tessella.runtime import checkpointed
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least vertex reachable over (a, b); single vertices are their own.
+def least_reachable(edges: DataFrame) -> DataFrame:
+    """(u, v): for each node u of edges (u, v), but for the roots, the least node v that it reaches.
 
-    Alternating star joins, each round checkpointed; rounds grow with the logarithm of the longest path.
+    Alternating large-star and small-star joins, each round checkpointed, until the edges stay the
+    same (their number and the sum of their hashes); rounds grow with the logarithm of the longest path.
     """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = None
     while (new := tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != state and new[0]:
         state = new
@@ -21,9 +22,15 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
-        stars = large.join(own, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = checkpointed(stars.select("e.*").where("u <> v").distinct())
-    return vertices.join(now.toDF("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = checkpointed(large.join(own, "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct())
+    return now
+
+
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least vertex reachable over (a, b); single vertices are their own."""
+    roots = least_reachable(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return vertices.join(roots.toDF("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def ordered_components(labels: DataFrame, edges: DataFrame) -> DataFrame:

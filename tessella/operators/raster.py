@@ -121,14 +121,14 @@ def finished(composite: DataFrame) -> DataFrame:
 
 
 def column_heights(mask: DataFrame) -> DataFrame:
-    """(y, x, height): how many set pixels end here, going up a column of (y, x, v)."""
-    breaks = F.max(F.when(F.col("v") == 0, F.col("y"))).over(Window.partitionBy("x").orderBy("y"))
-    first = F.min("y").over(Window.partitionBy("x"))
-    return mask.select("y", "x", F.when(F.col("v") > 0, F.col("y") - F.coalesce(breaks, first - 1)).otherwise(0).alias("height"))
+    """(image, y, x, height): how many set pixels end here, going up a column of (image, y, x, v)."""
+    breaks = F.max(F.when(F.col("v") == 0, F.col("y"))).over(Window.partitionBy("image", "x").orderBy("y"))
+    first = F.min("y").over(Window.partitionBy("image", "x"))
+    return mask.select("image", "y", "x", F.when(F.col("v") > 0, F.col("y") - F.coalesce(breaks, first - 1)).otherwise(0).alias("height"))
 
 
 def largest_rectangle(mask: DataFrame) -> DataFrame:
-    """(area, y, x, width, height) of the largest all-set rectangle; of equals the uppermost, then leftmost.
+    """(image, area, y, x, width, height) of each mask's largest all-set rectangle; of equals the uppermost, then leftmost.
 
     Column heights are a window; each row then finds its best rectangle with a stack, rows in parallel.
     """
@@ -141,15 +141,16 @@ def largest_rectangle(mask: DataFrame) -> DataFrame:
             start = i
             while stack and stack[-1][1] >= h:
                 at, tall = stack.pop()
-                found = (tall * (i - at), int(key[0]) - tall + 1, xs[at] if at < len(xs) else 0, i - at, tall)
+                found = (tall * (i - at), int(key[1]) - tall + 1, xs[at], i - at, tall)
                 if tall and (found[0], -found[1], -found[2]) > (out[0], -out[1], -out[2]):
                     out = found
                 start = at
             stack.append((start, h))
-        return pd.DataFrame([out], columns=["area", "y", "x", "width", "height"])
+        return pd.DataFrame([(key[0], *out)], columns=["image", "area", "y", "x", "width", "height"])
 
-    rows = column_heights(mask).groupBy("y").applyInPandas(best, "area long, y long, x long, width long, height long")
-    return rows.where("area > 0").orderBy(F.desc("area"), "y", "x").limit(1)
+    rows = column_heights(mask).groupBy("image", "y").applyInPandas(best, "image long, area long, y long, x long, width long, height long")
+    top = F.max_by(F.struct("area", "y", "x", "width", "height"), F.struct("area", -F.col("y"), -F.col("x"))).alias("r")
+    return rows.where("area > 0").groupBy("image").agg(top).select("image", "r.*")
 
 
 def local_maxima(pixels: DataFrame) -> DataFrame:

@@ -15,9 +15,11 @@ INPUTS = {
     "evidence": """SELECT o_orderkey AS seq, least(o_custkey % 40, o_orderkey % 40) AS a, greatest(o_custkey % 40, o_orderkey % 40) AS b,
         CAST(floor(o_totalprice) AS BIGINT) % 97 AS inliers, o_orderstatus = 'F' AS verified, o_orderpriority AS source
         FROM {orders} WHERE o_custkey % 40 <> o_orderkey % 40""",
-    "links": """SELECT least(o_custkey % 60, o_orderkey % 60) AS a, greatest(o_custkey % 60, o_orderkey % 60) AS b, sum(CAST(floor(o_totalprice) AS BIGINT) % 97) AS inliers
-        FROM {orders} WHERE o_custkey % 60 <> o_orderkey % 60 AND o_orderkey < 20000 AND o_orderstatus = 'F' AND (o_custkey * 7 + o_orderkey) % 61 = 0 GROUP BY 1, 2""",
-    "vertices": "SELECT DISTINCT o_orderkey % 60 AS id FROM {orders}",
+    "links": """SELECT least(x, y) AS a, greatest(x, y) AS b, max(inliers) AS inliers FROM (
+        SELECT s_suppkey AS x, (s_suppkey * 7 + 3) % (SELECT count(*) FROM {supplier}) AS y, CAST(floor(s_acctbal) AS BIGINT) % 97 AS inliers, s_acctbal FROM {supplier}
+        UNION ALL SELECT s_suppkey, (s_suppkey + 1) % (SELECT count(*) FROM {supplier}), CAST(floor(s_acctbal) AS BIGINT) % 89, 10000 - s_acctbal FROM {supplier}) AS w
+        WHERE x <> y AND s_acctbal > 4000 GROUP BY 1, 2""",
+    "vertices": "SELECT s_suppkey AS id FROM {supplier}",
     "matches": """SELECT l_suppkey % 12 AS pair, l_orderkey * 8 + l_linenumber AS idx, l_quantity * 20 AS ax, CAST(l_partkey % 97 AS DOUBLE) * 8 AS ay,
         l_quantity * 20 + l_discount * 100 AS bx, CAST(l_partkey % 97 AS DOUBLE) * 8 + l_tax * 100 AS by_, l_extendedprice AS sigma, l_discount AS score,
         l_returnflag AS kind FROM {lineitem}""",
@@ -27,8 +29,8 @@ INPUTS = {
     "pixels": """SELECT CAST(floor(o_orderkey / 2000) AS BIGINT) AS image, CAST(floor((o_orderkey % 2000) / 50) AS BIGINT) AS y, o_orderkey % 50 AS x,
         CAST(CAST(floor(o_totalprice) AS BIGINT) % 256 AS DOUBLE) AS value FROM {orders}""",
     "frames": "SELECT user_id AS video, event_id AS idx, value / 1000 AS shift, CAST(event_id % 50 AS DOUBLE) / 100 AS peak, value AS sharpness FROM {events}",
-    "boxes": """SELECT c_custkey AS id, CAST(c_custkey % 40 AS DOUBLE) * 25 AS x0, CAST((c_custkey * 7) % 40 AS DOUBLE) * 25 AS y0,
-        CAST(20 + c_custkey % 30 AS DOUBLE) AS w, CAST(15 + c_custkey % 20 AS DOUBLE) AS h FROM {customer} WHERE c_custkey < 3000""",
+    "boxes": """SELECT c_custkey AS id, CAST(c_custkey % 40 AS DOUBLE) * 25 AS x0, CAST(floor(c_custkey / 40) AS DOUBLE) * 13 AS y0,
+        CAST(20 + c_custkey % 30 AS DOUBLE) AS w, CAST(15 + c_custkey % 20 AS DOUBLE) AS h FROM {customer}""",
 }
 
 

@@ -19,7 +19,7 @@ QUICK = Analysis(max_iterations=200)
 
 def _pairs(spark, sf_dir) -> DataFrame:
     """Matches of twelve pairs of neighbours: photo p and p + 1, a shift with some noise."""
-    m = given(spark, sf_dir, "matches").where("idx % 16 = 1")
+    m = given(spark, sf_dir, "matches")
     size = {k: F.lit(v) for k, v in (("wa", 1000.0), ("ha", 800.0), ("wb", 1000.0), ("hb", 800.0))}
     return m.select(c("pair").alias("a"), (c("pair") + 1).alias("b"), F.lit("s").alias("source"), c("idx").cast("int").alias("idx"), "ax", "ay", (c("bx") + 40 + c("pair")).alias("bx"), (c("by_") - 7).alias("by")).withColumns(size)
 
@@ -147,7 +147,7 @@ def g5_first_layout(spark, sf_dir):
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k.split("_")[0] in ("a4", "v1", "n7", "n2", "k10", "f7", "f6", "g6", "r7", "r5", "v7", "w9", "g5")}
 
 ORACLES = {
-    "n2_translations": over("matches", """, s AS (SELECT pair, avg(ax - bx - 40 - pair) AS dx, avg(ay - by_ + 7) AS dy FROM matches WHERE idx % 16 = 1 GROUP BY 1)
+    "n2_translations": over("matches", """, s AS (SELECT pair, avg(ax - bx - 40 - pair) AS dx, avg(ay - by_ + 7) AS dy FROM matches GROUP BY 1)
         SELECT 0 AS image, 0.0 AS x, 0.0 AS y UNION ALL SELECT pair + 1, round(sum(dx) OVER (ORDER BY pair), 4), round(sum(dy) OVER (ORDER BY pair), 4) FROM s"""),
     "f7_overlap_areas": over("photos", ", s AS (SELECT id, id * 37 % 1500 - 700 AS x, id * 23 % 1200 - 500 AS y FROM photos) SELECT id, (greatest(0, 1000 - abs(x)) * greatest(0, 800 - abs(y)))::DOUBLE AS area FROM s"),
     "f6_clipped_areas": over("boxes", "SELECT id, round(greatest(0, least(600, x0 + w) - greatest(0, x0)) * greatest(0, least(500, y0 + h) - greatest(0, y0)), 3) AS area FROM boxes"),

@@ -338,7 +338,7 @@ def test_largest_rectangle(spark):
         h, w = rng.randint(1, 8), rng.randint(1, 8)
         m = np.array([[rng.random() < 0.7 for _ in range(w)] for _ in range(h)])
         want = max(((y1 - y0) * (x1 - x0) for y0 in range(h) for y1 in range(y0 + 1, h + 1) for x0 in range(w) for x1 in range(x0 + 1, w + 1) if m[y0:y1, x0:x1].all()), default=0)
-        got = raster.largest_rectangle(spark.createDataFrame([(y, x, int(m[y, x])) for y in range(h) for x in range(w)], "y long, x long, v int")).collect()
+        got = raster.largest_rectangle(spark.createDataFrame([(0, y, x, int(m[y, x])) for y in range(h) for x in range(w)], "image long, y long, x long, v int")).collect()
         assert (got[0]["area"] if got else 0) == want
         if got:
             r = got[0]
