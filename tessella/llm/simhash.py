@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import least_reachable
 from tessella.runtime import checkpointed
 
 SHINGLE = 3
@@ -234,32 +235,10 @@ def linked(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     return pairs.groupBy("pair").applyInPandas(walked, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): for each node u that has an edge, but for the roots, the least node v of its component.
-
-    Alternating large-star and small-star steps, each round checkpointed, until nothing changes; the
-    rounds grow with the logarithm of the longest path.
-    """
-    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        summed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        new_state = tuple(now.agg(F.count("*"), summed).first())
-        if new_state == state or not new_state[0]:
-            return now
-        state = new_state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = checkpointed(small.select("e.*").where("u <> v").distinct())
-
-
 def _grouped(narrow: DataFrame, budget: int) -> DataFrame:
     """``narrow`` (id, fp, ...) with ``root``: the same for all rows of a component."""
     classes = checkpointed(narrow.select("fp").distinct())
-    roots = components(linked(classes, budget)).toDF("fp", "root")
+    roots = least_reachable(linked(classes, budget)).toDF("fp", "root")
     named = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return narrow.join(named, "fp")
 
@@ -269,7 +248,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     narrow = checkpointed(with_fingerprints(rows, "text", shingle))
     classes = narrow.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(linked(checkpointed(classes), budget)).toDF("fp", "root")
+    roots = least_reachable(linked(checkpointed(classes), budget)).toDF("fp", "root")
     named = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = narrow.join(named.join(least, "root").select("fp", "component_id"), "fp")
