@@ -40,7 +40,8 @@ def n7_problem(spark, sf_dir):
 
 def _aligned(spark, sf_dir, model: str, rounds: int) -> alignment.Layout:
     m = _pairs(spark, sf_dir).withColumn("sigma", F.lit(1.0)).select("a", "b", "idx", "ax", "ay", "bx", "by", "sigma")
-    return alignment.solve_linear(model, list(range(13)), alignment.problem(m), 0, rounds)
+    pairs = alignment.problem(m)
+    return alignment.solve_linear(model, sorted({x for p in pairs for x in (p.a, p.b)}), pairs, 0, rounds)
 
 
 def n2_translations(spark, sf_dir):
@@ -125,7 +126,8 @@ def r5_seam_rounds(spark, sf_dir):
 def v7_model_choice(spark, sf_dir):
     """The kind of map that a chain of photos takes."""
     m = _pairs(spark, sf_dir).withColumn("sigma", F.lit(1.0)).select("a", "b", "idx", "ax", "ay", "bx", "by", "sigma")
-    layout = alignment.choose(list(range(13)), alignment.problem(m), 0)
+    pairs = alignment.problem(m)
+    layout = alignment.choose(sorted({x for p in pairs for x in (p.a, p.b)}), pairs, 0)
     return spark.createDataFrame([(layout.model, bool(layout.rms < 10))], "model string, near boolean")
 
 
