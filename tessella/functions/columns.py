@@ -121,3 +121,8 @@ def rescaled(v: Column, factor: Column | float) -> Column:
 def track_orientation(b: Column, a: Column) -> Column:
     """0, 90, 180 or 270 degrees from the first column (a, b) of an affine map."""
     return F.pmod(F.round(F.degrees(F.atan2(b, a)) / 90).cast("int") * 90, F.lit(360))
+
+
+def facing(depth_behind: Column, points: Column) -> Column:
+    """-1 where most of a pair's points lie behind the plane, so that its map is turned round; else 1."""
+    return F.when(2 * depth_behind > points, -1).otherwise(1)

@@ -118,3 +118,42 @@ def _descriptor(image: np.ndarray, y: float, x: float, sigma: float, angle: floa
         return None
     flat = np.minimum(flat / length, 0.2)
     return np.sqrt(flat / flat.sum())
+
+
+def ranked_maxima(logits: np.ndarray, ranker: np.ndarray, most: int, margin: int = 256, temperature: float = 0.5) -> np.ndarray:
+    """(n, 3) x, y, logit of the strongest 3x3 maxima, those near the cut chosen by a second map.
+
+    The first ``most + margin`` maxima by logit get sub-pixel places from a softmax over their 3x3
+    neighbours; within ``margin`` of the cut they are ordered again by the ranker there. NaN and
+    infinite logits below are never maxima; ties go to the earlier pixel, row by row.
+    """
+    h, w = logits.shape
+    padded = np.pad(np.where(np.isnan(logits), -np.inf, logits), 1, constant_values=-np.inf)
+    around = np.stack([padded[i : i + h, j : j + w] for i in range(3) for j in range(3)])
+    top = (around[4] >= around.max(axis=0)) & (around[4] > -np.inf)
+    y, x = np.nonzero(top)
+    order = np.lexsort([y * w + x, -around[4][y, x]])[: most + margin]
+    y, x = y[order], x[order]
+    near = around[:, y, x]
+    finite = np.where(np.isfinite(near), near, np.where(near > 0, near[4], -np.inf))
+    weight = np.exp((finite - near[4]) / temperature, where=np.isfinite(near[4])[None], out=np.zeros_like(near))
+    weight[4, ~np.isfinite(near[4])] = 1.0
+    weight /= weight.sum(axis=0)
+    dy, dx = (np.repeat([-1, 0, 1], 3)[:, None] * weight).sum(axis=0), (np.tile([-1, 0, 1], 3)[:, None] * weight).sum(axis=0)
+    points = np.column_stack([x + dx, y + dy, near[4]])
+    low = max(0, most - margin)
+    if len(points) > most:
+        second = _bilinear(ranker, points[low:, 0], points[low:, 1])
+        again = np.argsort(-np.where(np.isnan(second), -np.inf, second), kind="stable")
+        points = np.vstack([points[:low], points[low:][again]])[:most]
+    points[:, :2] += 0.5
+    return points
+
+
+def _bilinear(values: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    h, w = values.shape
+    x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
+    i, j = np.minimum(y.astype(int), max(h - 2, 0)), np.minimum(x.astype(int), max(w - 2, 0))
+    a, b = y - i, x - j
+    k, m = np.minimum(i + 1, h - 1), np.minimum(j + 1, w - 1)
+    return values[i, j] * (1 - a) * (1 - b) + values[k, j] * a * (1 - b) + values[i, m] * (1 - a) * b + values[k, m] * a * b

@@ -165,3 +165,14 @@ def plausible(h: np.ndarray, size_a: tuple[float, float], size_b: tuple[float, f
     s = np.linalg.svd(j, compute_uv=False)
     relative = np.sqrt(det) * max(size_a) / max(size_b)
     return bool(s[0] / s[1] < 2 and 1 / 3 < relative < 3)
+
+
+def tangent_affine(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The affine map that a homography looks like at the centroid of its matches."""
+    centre = points.mean(axis=0)
+    z = h[2] @ np.append(centre, 1.0)
+    at = apply(h, centre[None])[0]
+    linear = (h[:2, :2] - np.outer(at, h[2, :2])) / z
+    out = np.eye(3)
+    out[:2, :2], out[:2, 2] = linear, at - linear @ centre
+    return out

@@ -120,3 +120,32 @@ def latest_events(events: DataFrame) -> DataFrame:
 def timeline(events: DataFrame) -> DataFrame:
     """(stage, first, last) in the order in which stages were first seen."""
     return events.groupBy("stage").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("seq").alias("seen")).orderBy("seen")
+
+
+def measure_frames(images: DataFrame, most_side: int = 320) -> DataFrame:
+    """(video, idx, dx, dy, peak, sharpness) of gray frames (video, idx, height, width, pixels of 8 bits).
+
+    A frame's shift is against the one before it in its video, in widths of the frame; only that
+    one is kept in hand. The first frame has no shift.
+    """
+    dealt = images.select("video", "idx", "height", "width", "pixels").repartition("video").sortWithinPartitions("video", "idx")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        from tessella.operators.raster import phase_shift
+
+        video = before = None
+        for batch in batches:
+            out = []
+            for v, i, h, w, p in zip(batch["video"], batch["idx"], batch["height"], batch["width"], batch["pixels"], strict=True):
+                step = max(1, max(h, w) // most_side)
+                gray = np.frombuffer(p, np.uint8).reshape(h, w)[::step, ::step].astype(float)
+                lap = gray[1:-1, 2:] + gray[1:-1, :-2] + gray[2:, 1:-1] + gray[:-2, 1:-1] - 4 * gray[1:-1, 1:-1]
+                shift = phase_shift(before, gray) if v == video and before.shape == gray.shape else (0.0, 0.0, 0.0)
+                out.append((v, i, -shift[0] / gray.shape[1], -shift[1] / gray.shape[1], shift[2], float(lap.var())))
+                video, before = v, gray
+            yield pd.DataFrame(out, columns=["video", "idx", "dx", "dy", "peak", "sharpness"])
+
+    kind = dealt.schema["video"].dataType.simpleString()
+    return dealt.mapInPandas(walk, f"video {kind}, idx long, dx double, dy double, peak double, sharpness double")

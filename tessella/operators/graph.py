@@ -132,3 +132,15 @@ def exclusions(nodes: DataFrame, edges: DataFrame, least_features: int = 50) ->
         .otherwise("noVerifiedPair")
     )
     return nodes.join(touching, "id", "left").select("id", reason.alias("reason"))
+
+
+def grown_tree(pairs: list[tuple[int, int, float]], anchor: int) -> list[tuple[int, int]]:
+    """Edges of a maximum tree grown from ``anchor``, in the order in which they join; of equals the first pair."""
+    reached, out = {anchor}, []
+    while True:
+        ways = [(weight, -k) for k, (a, b, weight) in enumerate(pairs) if (a in reached) != (b in reached)]
+        if not ways:
+            return out
+        a, b, _ = pairs[-max(ways)[1]]
+        out.append((a, b))
+        reached |= {a, b}
