@@ -30,14 +30,16 @@ from pyspark.sql import functions as F
 
 from tessella.llm import linear
 from tessella.llm.texts import digests, distinct_pairs, slices, tokens
+from tessella.runtime import checkpointed
 
 BEGINNINGS = (4, 5, 6, 7, 8)
-MOST_LABELLED = 8_000
+MOST_LABELLED = 16_000
+LEAST_Z = 5.0
 FOLDS, HELD_OUT = 5, 0
 TOXIC, ABSTAIN, CLEAN = 0, 1, 2
 LEXICONS = 12  # that telling features are dealt to
 FIXED_WEIGHT = 4.0
-SHORT = 20  # features below which finding nothing says nothing
+SHORT = 20  # words below which finding nothing says nothing
 
 # Lexicons of insults.
 INSULTS = {
@@ -96,20 +98,16 @@ def fixed_features() -> list[np.ndarray]:
     return [np.unique(_word_features(pa.array(words))[:, 0]) for words in INSULTS.values()]
 
 
-def voted(rows: list[np.ndarray], patterns: np.ndarray, told: np.ndarray) -> np.ndarray:
-    """(texts, voters): the votes of told lexicons, fixed lexicons and patterns on rows of all features."""
+def voted(rows: list[np.ndarray], patterns: np.ndarray, long: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """(texts, voters): the votes of told lexicons, fixed lexicons and patterns; ``long`` texts may vote clean."""
     lexicons = [told[told % LEXICONS == k] for k in range(LEXICONS)]
     out = np.full((len(rows), LEXICONS + len(INSULTS) + len(PATTERNS)), ABSTAIN, dtype=np.int64)
     fixed = fixed_features()
+    out[long, :LEXICONS] = CLEAN
     for i, own in enumerate(rows):
-        for k, lexicon in enumerate(lexicons):
+        for k, lexicon in enumerate([*lexicons, *fixed]):
             if linear.chosen(own, lexicon)[0].any():
                 out[i, k] = TOXIC
-            elif len(own) >= SHORT:
-                out[i, k] = CLEAN
-        for k, lexicon in enumerate(fixed):
-            if linear.chosen(own, lexicon)[0].any():
-                out[i, LEXICONS + k] = TOXIC
     out[:, LEXICONS + len(INSULTS) :][patterns] = TOXIC
     return out
 
@@ -180,16 +178,14 @@ class Scorer:
         return self.model.scores(own.owner, own.features, len(texts))
 
 
-def fit_scorer(rows: list[np.ndarray], patterns: np.ndarray, annotated: np.ndarray) -> Scorer:
-    """From the features of labelled texts: lexicons, label model, and classifier."""
-    known = annotated >= 0
-    told = linear.telling([r for r, k in zip(rows, known, strict=True) if k], (annotated[known] == 1).astype(float), least_z=5.0)
+def fit_scorer(told: np.ndarray, rows: list[np.ndarray], patterns: np.ndarray, long: np.ndarray, annotated: np.ndarray) -> Scorer:
+    """From telling features and the labelled texts that have them: label model and classifier."""
     fixed = np.unique(np.concatenate(fixed_features()))
     features = np.union1d(told, fixed)
     start = np.where(np.isin(features, fixed), FIXED_WEIGHT, 0.0)  # it stays where no labelled row has the word
     if not len(rows):
         return Scorer(features, linear.Linear(start, -FIXED_WEIGHT / 2))
-    votes = voted(rows, patterns, told)
+    votes = voted(rows, patterns, long, told)
     labels = fit_labels(votes, annotated)
     targets = labels.posterior(_with_annotations(votes, annotated))
     return Scorer(features, linear.fit(linear.restricted(rows, features), targets, start, epochs=20))
@@ -211,22 +207,54 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     # about most_labelled rows of 12 bytes at most
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(usable), "id").select("y", "text")
 
+    told = telling_features(rows)
+    features = np.union1d(told, np.unique(np.concatenate(fixed_features())))
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                own = found_in(part.column(1))
+                own = found_in(part.column(1), features)
                 bounds = np.searchsorted(own.owner, np.arange(part.num_rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(own.features.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(features[own.features]))
                 pattern = own.patterns @ (1 << np.arange(len(PATTERNS)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(pattern.astype(np.int32))], names=["y", "features", "pattern"])
+                long = tokens(part.column(1)).counts >= SHORT
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(pattern.astype(np.int32)), pa.array(long)], names=["y", "features", "pattern", "long"])
 
-    got = rows.mapInArrow(made, "y int, features array<int>, pattern int").toArrow()
-    lists = got["features"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    got = rows.mapInArrow(made, "y int, features array<long>, pattern int, long boolean").toArrow()
+    lists = got["features"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
     flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     own = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    y, long = got["y"].to_numpy(), got["long"].to_numpy().astype(bool)
+    order = np.lexsort([y, long, [len(r) for r in own], [int(r.sum()) for r in own]]) if own else np.empty(0, int)  # the rows come in any order
     pattern = got["pattern"].to_numpy()[:, None] >> np.arange(len(PATTERNS)) & 1
-    order = np.lexsort([[len(r) for r in own], [int(r.sum(dtype=np.int64)) for r in own]]) if own else np.empty(0, int)  # the rows come in any order
-    return fit_scorer([own[i] for i in order], pattern[order].astype(bool), got["y"].to_numpy()[order])
+    return fit_scorer(told, [own[i] for i in order], pattern[order].astype(bool), long[order], y[order])
+
+
+def telling_features(rows: DataFrame, least_z: float = LEAST_Z, least_rows: int = 3, most: int = 4096) -> np.ndarray:
+    """Features whose share of toxic rows is far above the mean, of (y, text); counted where the rows are.
+
+    Tasks send (feature, rows, toxic rows); only features that pass come to the driver.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                own = found_in(part.column(1))
+                y = part.column(0).to_numpy() == 1
+                features, at = np.unique(own.features, return_inverse=True)
+                total = np.bincount(at, minlength=len(features)).astype(np.int64)
+                toxic = np.bincount(at, weights=y[own.owner], minlength=len(features)).astype(np.int64)
+                every = [np.append(x, e) for x, e in ((features, -1), (total, len(y)), (toxic, int(y.sum())))]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in every], names=["feature", "total", "toxic"])
+
+    counts = checkpointed(rows.mapInArrow(counted, "feature long, total long, toxic long").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("toxic").alias("toxic")).where(f"toxic >= {least_rows} OR feature < 0"))
+    every = counts.where("feature < 0").first()
+    if every is None or not 0 < every["toxic"] < every["total"]:
+        return np.empty(0, dtype=np.int64)
+    share = every["toxic"] / every["total"]
+    z = (F.col("toxic") - F.col("total") * share) / F.sqrt(F.col("total") * share * (1 - share))
+    found = counts.where("feature >= 0").withColumn("z", z).where(F.col("z") > least_z).orderBy(F.desc("z"), "feature").limit(most)
+    return np.sort(np.array([r["feature"] for r in found.collect()], dtype=np.int64))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED) -> DataFrame:
