@@ -26,8 +26,7 @@ LEAST_QUALITY = 0.5
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_QUALITY) -> DataFrame:
     """One row per row of ``docs``: its id, the counts, base_failed, kept, and the posterior ``quality``."""
     rows = checkpointed(measured(docs, id_col, text_col))
-    # as many rows as there are different votes, at most 3 ** heuristics
-    judged = rows.join(F.broadcast(posteriors(rows)), "pattern")
+    judged = rows.join(posteriors(rows), "pattern")  # a local table of known size: the planner broadcasts it if it is small
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
