@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.config import DEFAULTS
+from tessella.operators import graph
+from tessella.runtime import checkpointed
 
 
 def natural_key(name):
@@ -43,12 +45,15 @@ def top_partners(affinities: DataFrame, most: int = DEFAULTS.proposal_neighbours
 def spanning_tree(affinities: DataFrame, weight: str = "affinity") -> DataFrame:
     """The maximum spanning forest of (a, b, weight), in order of weight falling, then (a, b).
 
-    Rounds of joining each component by its strongest edge outwards: at most log2 of the vertices.
-    The total order of edges makes the forest the one that taking edges one by one would give.
+    A small graph is taken edge by edge on the driver. Larger ones go in rounds of joining each
+    component by its strongest edge outwards, at most log2 of the vertices; the total order of
+    edges makes that forest the same.
     """
-    from tessella.operators.graph import components
-    from tessella.runtime import checkpointed
-
+    few = graph.small_edges(affinities.select("a", "b", weight))
+    if few is not None:
+        found = graph.Groups()
+        rows = [(a, b) for a, b, _ in sorted(few, key=lambda e: (-e[2], e[0], e[1])) if found.join(a, b)]
+        return affinities.sparkSession.createDataFrame(rows, "a long, b long")
     edges = checkpointed(affinities.select("a", "b", F.struct((-F.col(weight)).alias("w"), "a", "b").alias("key")))
     vertices = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     labels = checkpointed(vertices.withColumn("component", F.col("id")))
@@ -60,11 +65,12 @@ def spanning_tree(affinities: DataFrame, weight: str = "affinity") -> DataFrame:
         if chosen.isEmpty():
             return tree
         tree = checkpointed(tree.unionByName(chosen).distinct())
-        labels = checkpointed(components(vertices, tree))
+        labels = checkpointed(graph.components(vertices, tree))
 
 
 def candidates(photos: DataFrame, affinities: DataFrame, most: int = DEFAULTS.proposal_neighbours) -> DataFrame:
     """(a, b, affinity, reasons): consecutive, neighbour and spanning-tree pairs; all of at most four photos."""
+    affinities = checkpointed(affinities)  # one row per pair; asked three times
     if photos.limit(5).count() <= 4:
         every = photos.select(F.col("id").alias("a")).join(photos.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
         named = every.withColumn("reason", F.lit("all"))

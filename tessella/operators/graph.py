@@ -27,8 +27,46 @@ def least_reachable(edges: DataFrame) -> DataFrame:
     return now
 
 
+#: Photo graphs of up to so many edges, a few MB, are searched on the driver; larger ones by joins.
+SMALL = 100_000
+
+
+def small_edges(edges: DataFrame) -> list | None:
+    """The edges on the driver if there are few, else None."""
+    rows = edges.limit(SMALL + 1).collect()
+    return rows if len(rows) <= SMALL else None
+
+
+class Groups:
+    """Union-find whose roots are the least members."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (up := self.parent.get(x, x)) != x:
+            path.append(x)
+            x = up
+        self.parent.update(dict.fromkeys(path, x))
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        x, y = self.root(a), self.root(b)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least vertex reachable over (a, b); single vertices are their own."""
+    few = small_edges(edges.select("a", "b"))
+    if few is not None:
+        found = Groups()
+        for a, b in few:
+            found.join(a, b)
+        rows = [(x, found.root(x)) for x in found.parent]
+        known = vertices.sparkSession.createDataFrame(rows, "id long, root long")
+        return vertices.join(known, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
     roots = least_reachable(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return vertices.join(roots.toDF("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 

@@ -76,7 +76,9 @@ def test_bridges(spark):
     assert candidates.bridges(many.limit(0), single, tried, limit=30).count() == 0
 
 
-def test_spanning_tree_is_that_of_taking_edges_one_by_one(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_spanning_tree_is_that_of_taking_edges_one_by_one(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(3)
     edges = [(i, j, rng.randint(0, 4)) for i in range(14) for j in range(i + 1, 14) if rng.random() < 0.5]
     root, want = list(range(14)), set()
@@ -99,7 +101,9 @@ def test_quota(spark):
     assert {(r["a"], r["b"]) for r in candidates.quota(o, per_photo=1).collect()} == {(0, 1), (0, 2), (0, 3)}
 
 
-def test_components_prefer_the_lower_member(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components_prefer_the_lower_member(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     v = spark.createDataFrame([(i,) for i in range(5)], "id long")
     for rows in ([(2, 3, 100), (0, 1, 100)], [(0, 1, 100), (2, 3, 100)]):
         e = spark.createDataFrame(rows, "a long, b long, inliers long")
