@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.config import DEFAULTS
 
 _BLOCK = 512
-_SHORTLIST = 4
+_LISTED = 16_384  # distances taken by subtraction at a time
 
 
 def strongest(descriptors: DataFrame, response: str, most: int = DEFAULTS.affinity_descriptors) -> DataFrame:
@@ -29,21 +29,26 @@ def all_pairs(images: DataFrame) -> DataFrame:
 def nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row of ``a``: its nearest row of ``b`` (lowest index on ties) and two smallest squared distances.
 
-    A matrix product finds a short list for each row; the distances on it are then taken by subtraction.
+    A matrix product finds a short list for each row: every row of ``b`` whose rough distance is within a
+    rounding bound of the second smallest. The distances on it are then taken by subtraction.
     """
     best, first, second = np.empty(len(a), dtype=np.int64), np.empty(len(a)), np.empty(len(a))
     square = (b * b).sum(axis=1)
+    unit = 4 * (a.shape[1] + 4) * np.finfo(np.float64).eps
     for at in range(0, len(a), _BLOCK):
         part = a[at : at + _BLOCK]
         rough = square - 2 * part @ b.T
-        few = min(_SHORTLIST, len(b))
-        short = np.sort(np.argpartition(rough, few - 1, axis=1)[:, :few], axis=1)
-        exact = ((part[:, None, :] - b[short]) ** 2).sum(axis=2)
-        order = np.argsort(exact, axis=1, kind="stable")
-        rows = np.arange(len(part))
-        best[at : at + _BLOCK] = short[rows, order[:, 0]]
-        first[at : at + _BLOCK] = exact[rows, order[:, 0]]
-        second[at : at + _BLOCK] = exact[rows, order[:, 1]]
+        bound = np.partition(rough, 1, axis=1)[:, 1] + 2 * unit * ((part * part).sum(axis=1) + square.max())
+        rows, short = np.nonzero(~(rough > bound[:, None]))  # in order of rows, then of columns; not finite: all
+        exact = np.empty(len(rows))
+        for k in range(0, len(rows), _LISTED):
+            own = slice(k, k + _LISTED)
+            exact[own] = ((part[rows[own]] - b[short[own]]) ** 2).sum(axis=1)
+        order = np.lexsort((exact, rows))  # stable: the lowest index first
+        begin = np.searchsorted(rows, np.arange(len(part)))
+        best[at : at + _BLOCK] = short[order[begin]]
+        first[at : at + _BLOCK] = exact[order[begin]]
+        second[at : at + _BLOCK] = exact[order[begin + 1]]
     return best, first, second
 
 
