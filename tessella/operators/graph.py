@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,18 +81,23 @@ def ordered_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return grouped.join(strength, "component", "left").withColumn("strength", F.coalesce("strength", F.lit(0))).withColumn("place", F.row_number().over(by) - 1)
 
 
-def distances(edges: DataFrame, vertices: DataFrame, rounds: int = 64) -> DataFrame:
-    """(source, id, distance) in hops between all connected vertices of a photo graph."""
+def distances(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(source, id, distance) in hops between all connected vertices of a photo graph, however long its paths.
+
+    Links go both ways, so what is next to one front is in that front, the one before or the next.
+    """
     ways = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    seen = checkpointed(vertices.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")))
-    front = seen
-    for hop in range(1, rounds + 1):
+    front = checkpointed(vertices.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")))
+    seen, before = front, front.limit(0)
+    for hop in count(1):
         step = front.select("source", "id").join(ways, F.col("id") == F.col("a")).select("source", F.col("b").alias("id")).distinct()
-        front = checkpointed(step.join(seen, ["source", "id"], "left_anti").withColumn("distance", F.lit(hop)))
+        known = front.unionByName(before)
+        before, front = front, checkpointed(step.join(known, ["source", "id"], "left_anti").withColumn("distance", F.lit(hop)))
         if front.isEmpty():
-            break
-        seen = checkpointed(seen.unionByName(front))
-    return seen
+            return seen
+        seen = seen.unionByName(front)
+        if hop % 32 == 0:  # keeps the plan short
+            seen = checkpointed(seen.repartition("source"))
 
 
 def centre(edges: DataFrame, vertices: DataFrame, weight: str = "weight") -> DataFrame:

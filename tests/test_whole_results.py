@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessella.operators import matching
+from tessella.operators import graph, matching
 
 
 @pytest.mark.parametrize(("copies", "rows"), [(6, 500), (60, 300), (300, 1000), (700, 700)])
@@ -20,3 +20,11 @@ def test_nearest_takes_the_lowest_of_many_copies(copies, rows):
         assert best.tolist() == d.argmin(axis=1).tolist()
         two = np.sort(d, axis=1)[:, :2]
         assert (first == two[:, 0]).all() and (second == two[:, 1]).all()
+
+
+def test_centre_of_a_long_chain(spark):
+    """The end photo has the heaviest link: it wins if far photos tie at a cap."""
+    n = 141
+    edges = spark.createDataFrame([(i, i + 1, 1000 if i == 0 else 1) for i in range(n - 1)], "a long, b long, weight long")
+    first = graph.centre(edges, spark.range(n)).first()
+    assert (first["id"], first["eccentricity"]) == (n // 2, n // 2)
