@@ -7,14 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.config import Analysis
 from tessella.functions import polygons
 from tessella.operators import alignment, frames, problem, stitching, verification
 from tessella.operators.raster import multi_band
 from tessella.plans.inputs import given, over
 
 c = F.col
-QUICK = Analysis(max_iterations=200)
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
@@ -26,16 +24,16 @@ def _pairs(spark, sf_dir) -> DataFrame:
 
 def a4_model_fits(spark, sf_dir):
     """Robust translations of each pair."""
-    fits = verification.model_fits(_pairs(spark, sf_dir).withColumn("threshold", F.lit(4.0)), "translation", QUICK)
+    fits = verification.model_fits(_pairs(spark, sf_dir).withColumn("threshold", F.lit(4.0)), "translation")
     return fits.select("a", "b", F.size("inliers").alias("inliers"), F.round("rmse", 4).alias("rmse"))
 
 
 def v1_verify(spark, sf_dir):
-    return verification.verify(_pairs(spark, sf_dir), "automatic", QUICK).select("a", "b", "model", "matches", "verdict")
+    return verification.verify(_pairs(spark, sf_dir), "automatic").select("a", "b", "model", "matches", "verdict")
 
 
 def n7_problem(spark, sf_dir):
-    return problem.build(_pairs(spark, sf_dir).withColumn("rmse", F.lit(1.0)), QUICK).select("a", "b", "idx")
+    return problem.build(_pairs(spark, sf_dir).withColumn("rmse", F.lit(1.0))).select("a", "b", "idx")
 
 
 def _aligned(spark, sf_dir, model: str, rounds: int) -> alignment.Layout:

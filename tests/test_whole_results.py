@@ -3,7 +3,11 @@
 import numpy as np
 import pytest
 
-from tessella.operators import graph, matching
+from tessella.config import DEFAULTS
+from tessella.operators import graph, matching, problem, verification
+from tessella.plans import models as plans
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize(("copies", "rows"), [(6, 500), (60, 300), (300, 1000), (700, 700)])
@@ -28,3 +32,16 @@ def test_centre_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1, 1000 if i == 0 else 1) for i in range(n - 1)], "a long, b long, weight long")
     first = graph.centre(edges, spark.range(n)).first()
     assert (first["id"], first["eccentricity"]) == (n // 2, n // 2)
+
+
+@pytest.mark.parametrize(("name", "module", "step"), [("v1_verify", verification, "verify"), ("a4_model_fits", verification, "model_fits"), ("n7_problem", problem, "build")])
+def test_queries_draw_as_often_as_the_defaults(spark, monkeypatch, name, module, step):
+    got, run = [], getattr(module, step)
+
+    def seen(*args, **named):
+        got.append(next((x for x in (*args, *named.values()) if isinstance(x, type(DEFAULTS))), DEFAULTS))
+        return run(*args, **named)
+
+    monkeypatch.setattr(module, step, seen)
+    plans.QUERIES[name](spark, SF)
+    assert got == [DEFAULTS]
