@@ -89,14 +89,17 @@ def f6_clipped_areas(spark, sf_dir):
 
 
 def g6_local_similarities(spark, sf_dir):
+    """What each photo's map looks like at a point; null where the point is behind the plane."""
+
     def similar(batches):
         for batch in batches:
             t = batch[[f"t{i}" for i in range(9)]].to_numpy(float).reshape(-1, 3, 3)
             s = [problem.local_similarity(h, np.array([300.0, 200.0])) for h in t]
             yield pd.DataFrame({"image": batch["image"], "a": [x[0, 0] for x in s], "b": [x[1, 0] for x in s]})
 
-    maps = given(spark, sf_dir, "maps").where("t6 >= 0")
-    return maps.mapInPandas(similar, "image long, a double, b double").select("image", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"))
+    found = given(spark, sf_dir, "maps").mapInPandas(similar, "image long, a double, b double")
+    known = lambda v: F.when(~F.isnan(v), F.round(v, 5)).alias(v)
+    return found.select("image", known("a"), known("b"))
 
 
 def r7_multi_band(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.config import DEFAULTS
 from tessella.operators import graph, matching, problem, verification
@@ -45,3 +46,13 @@ def test_queries_draw_as_often_as_the_defaults(spark, monkeypatch, name, module,
     monkeypatch.setattr(module, step, seen)
     plans.QUERIES[name](spark, SF)
     assert got == [DEFAULTS]
+
+
+def test_local_similarities_of_all_maps(spark, monkeypatch):
+    maps = plans.given(spark, SF, "maps")
+    got = plans.QUERIES["g6_local_similarities"](spark, SF).collect()
+    assert sorted(r["image"] for r in got) == sorted(r["image"] for r in maps.select("image").collect())
+    assert all(r["a"] is not None and r["b"] is not None for r in got)
+    behind = maps.limit(3).withColumn("t8", F.lit(-2.0))
+    monkeypatch.setattr(plans, "given", lambda *_: behind)
+    assert [(r["a"], r["b"]) for r in plans.QUERIES["g6_local_similarities"](spark, SF).collect()] == [(None, None)] * 3
