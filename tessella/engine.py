@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.config import DEFAULTS, Analysis, Stitching
-from tessella.functions import features
+from tessella.functions import features, models
 from tessella.operators import alignment, candidates, graph, matching, problem, raster, stitching, verification
 from tessella.runtime import stored
 from tessella.sources import images as pixels_of
@@ -21,6 +21,7 @@ from tessella.sources import photos
 
 Progress = Callable[[str, int, int], None]
 VERSION = 1
+_OVERLAP_PHOTOS, _OVERLAP_ROUNDS = 8, 2  # rounds of pairs that the layout predicts, above so many photos
 _KEYPOINTS = "image long, idx long, x double, y double, size double, angle double, response double, vec array<double>"
 
 
@@ -92,16 +93,20 @@ def analyze(spark: SparkSession, path: str, config: Analysis = DEFAULTS, mode: s
     descriptors = points.select("image", "idx", "vec", "response")
     affinities = stored(matching.affinity(matching.strongest(descriptors, "response", config.affinity_descriptors), config.ratio))
     chosen = stored(candidates.candidates(good.select("id", "name", "capture_date"), affinities, config.proposal_neighbours))
-    tried, evidence, matches = chosen.select("a", "b"), None, None
-    fresh = tried
-    for turn in range(config.bridge_rounds + 1):
-        new_matches = stored(_matched(descriptors, points, good, fresh, config))
+    tried, evidence, matches, groups = chosen.select("a", "b"), None, None, None
+
+    def examine(pairs: DataFrame) -> None:
+        nonlocal evidence, matches, groups
+        new_matches = stored(_matched(descriptors, points, good, pairs, config))
         new_evidence = stored(verification.verify(new_matches, mode, config))
         matches = new_matches if matches is None else matches.unionByName(new_matches)
         evidence = new_evidence if evidence is None else evidence.unionByName(new_evidence)
         verified = evidence.where("verdict = 'verified'").select("a", "b")
         groups = stored(graph.components(good.select("id"), verified))
-        if turn == config.bridge_rounds or groups.agg(F.count_distinct("component")).first()[0] <= 1:
+
+    examine(tried)
+    for turn in range(config.bridge_rounds):
+        if groups.agg(F.count_distinct("component")).first()[0] <= 1:
             break
         bridges = stored(candidates.bridges(affinities, groups, tried, config.bridge_pairs, good.count()))
         if bridges.isEmpty():
@@ -110,6 +115,16 @@ def analyze(spark: SparkSession, path: str, config: Analysis = DEFAULTS, mode: s
         tried = stored(tried.unionByName(fresh))
         chosen = chosen.unionByName(bridges.withColumn("reasons", F.array(F.lit("bridge"))))
         progress("bridges", turn + 1, config.bridge_rounds)
+        examine(fresh)
+    if good.count() > _OVERLAP_PHOTOS:
+        for turn in range(_OVERLAP_ROUNDS):
+            fresh = _overlapping(Report(described, points, chosen, evidence, matches, groups, config), tried)
+            if fresh is None:
+                break
+            tried = stored(tried.unionByName(fresh))
+            chosen = chosen.unionByName(fresh.select("a", "b", F.lit(None).cast("long").alias("affinity"), F.array(F.lit("overlap")).alias("reasons")))
+            progress("overlap", turn + 1, _OVERLAP_ROUNDS)
+            examine(fresh)
     progress("verify", 4, 4)
     return Report(described, points, chosen, evidence, matches, groups, config)
 
@@ -122,14 +137,45 @@ def _matched(descriptors: DataFrame, points: DataFrame, good: DataFrame, pairs:
     return rows.select("a", "b", F.lit("rootSIFT").alias("source"), F.col("ia").cast("int").alias("idx"), "ax", "ay", "bx", "by", "wa", "ha", "wb", "hb")
 
 
+def _overlapping(report: Report, tried: DataFrame) -> DataFrame | None:
+    """(a, b) of untried pairs that a provisional layout of the largest group lays over each other; None if there are none."""
+    try:
+        layout, pairs, sizes = _aligned(report)
+    except (ValueError, np.linalg.LinAlgError):
+        return None
+    if len(layout.transforms) < 2:
+        return None
+    # The layout only has to be right locally: homographies that fit the pairs better predict the overlaps.
+    if layout.model != "homography":
+        gone = {k for k, *_ in layout.left_out}
+        kept = [p for p in pairs if p.a in layout.transforms and p.b in layout.transforms and (p.a, p.b) not in gone]
+        try:
+            document = alignment.solve_homography(sorted(layout.transforms), kept, layout.anchor)
+            middle = lambda x: models.upper_median(np.array(list(x.pair_rms.values())))
+            layout = document if middle(document) < middle(layout) else layout
+        except (ValueError, np.linalg.LinAlgError):
+            pass
+    known = {(r["a"], r["b"]) for r in tried.collect()}  # a few per photo of the project
+    rows = [(int(a), int(b), float(v)) for a, b, v in problem.predicted(layout.transforms, sizes) if (a, b) not in known]
+    if not rows:
+        return None
+    overlaps = report.photos.sparkSession.createDataFrame(rows, "a long, b long, overlap double")
+    return stored(candidates.quota(overlaps, report.config.overlap_per_photo, len(layout.transforms)).select("a", "b"))
+
+
 def align(report: Report) -> alignment.Layout:
     """A map for each photo of the largest group."""
+    return _aligned(report)[0]
+
+
+def _aligned(report: Report) -> tuple[alignment.Layout, list[alignment.Pair], dict[int, tuple[float, float]]]:
+    """The layout of the largest group, its pairs and the sizes of its photos."""
     spark = report.photos.sparkSession
     labels = report.groups
     main = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").first()
     members = sorted(r["id"] for r in labels.where(F.col("component") == main["component"]).collect())
     if len(members) == 1:
-        return alignment.Layout("translation", members[0], {members[0]: np.eye(3)}, 0.0, {})
+        return alignment.Layout("translation", members[0], {members[0]: np.eye(3)}, 0.0, {}), [], {}
     group = spark.createDataFrame([(m,) for m in members], "id long")
     verified = report.evidence.where("verdict = 'verified'").join(group, F.col("a") == F.col("id"), "left_semi")
     inliers = verified.select("a", "b", "source", "rmse", F.explode("inliers").alias("idx")).join(report.matches, ["a", "b", "source", "idx"])
@@ -138,7 +184,7 @@ def align(report: Report) -> alignment.Layout:
     thresholds = {(p.a, p.b): report.config.inlier_threshold * (sizes[p.b][0] * sizes[p.b][1] / 1e6) ** 0.5 for p in pairs}
     links = spark.createDataFrame([(p.a, p.b, len(p.pa)) for p in pairs], "a long, b long, weight long")
     anchor = graph.centre(links, group).first()["id"]
-    return alignment.align(members, pairs, anchor, thresholds, sizes)
+    return alignment.align(members, pairs, anchor, thresholds, sizes), pairs, sizes
 
 
 def stitch(report: Report, layout: alignment.Layout, request: Stitching = Stitching()) -> DataFrame:
@@ -169,8 +215,6 @@ def _gains(rows: DataFrame, cells: int = 32) -> dict[int, float]:
     """Exposure gains from coarse samples of where photos overlap."""
 
     def coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tessella.functions import models
-
         for batch in batches:
             for r in batch.itertuples():
                 p = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3).astype(float) @ np.array([0.299, 0.587, 0.114])

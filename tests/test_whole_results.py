@@ -3,10 +3,13 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_engine import CONFIG, scene
 
+from tessella import engine
 from tessella.config import DEFAULTS
 from tessella.operators import graph, matching, problem, verification
 from tessella.plans import models as plans
+from tessella.sources import images
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +59,16 @@ def test_local_similarities_of_all_maps(spark, monkeypatch):
     behind = maps.limit(3).withColumn("t8", F.lit(-2.0))
     monkeypatch.setattr(plans, "given", lambda *_: behind)
     assert [(r["a"], r["b"]) for r in plans.QUERIES["g6_local_similarities"](spark, SF).collect()] == [(None, None)] * 3
+
+
+def test_analysis_compares_the_pairs_that_the_layout_predicts(spark, tmp_path):
+    at = [(190 * (i % 3), 150 * (i // 3)) for i in range(9)]
+    whole = scene(680, 540)
+    for i, (x, y) in enumerate(at):
+        (tmp_path / f"tile{i}.png").write_bytes(images.encode_png(whole[y : y + 240, x : x + 300]))
+    report = engine.analyze(spark, str(tmp_path), CONFIG)
+    rows = {(r["a"], r["b"]): r["reasons"] for r in report.candidates.collect()}
+    shared = {(a, b) for b in range(9) for a in range(b) if max(300 - abs(at[a][0] - at[b][0]), 0) * max(240 - abs(at[a][1] - at[b][1]), 0) > 0.06 * 300 * 240}
+    assert shared <= set(rows) and ["overlap"] in rows.values()
+    assert len(rows) == report.candidates.count()
+    assert {(r["a"], r["b"]) for r in report.evidence.collect()} >= shared
