@@ -1,14 +1,17 @@
 """SimHash near-duplicates: fingerprints, and their self-join over a binary trie.
 
 Equal fingerprints are one class first, so copies cost nothing later. The join walks pairs of trie
-nodes down together: a pair starts at the root, each level adds one to the differing bits where
-the two nodes take different sides, and a pair is dropped once they exceed the budget. The
-uppermost levels are walked on the driver over counts by prefix (at most ``2 ** PREFIX_BITS``
-numbers), which gives pairs of subtrees; each such pair is one group that numpy walks on an
-executor, level by level in bounded chunks. Links become components by alternating star joins.
+nodes down together: each level adds one to the differing bits where the two nodes take different
+sides, and a pair is dropped once they exceed the budget. So that executors walk apart, there are
+``budget + 1`` tries over orders of the bits, each with another block of them on top: fingerprints
+within the budget are equal in some block, so in one of the tries they lie below one node at that
+block's depth. Each such node is walked against itself, many nodes at once in numpy, level by level
+in bounded chunks; a node with more than ``MOST_TOGETHER`` fingerprints is split in the same way by
+its other bits. Copies of a fingerprint are ``budget + 1`` whatever their number. Links become
+components by alternating star joins.
 
 Within ``budget`` 2 a fingerprint has at most 64 + 2016 neighbours, so no group of near copies
-makes a quadratic number of links.
+makes a quadratic number of links. A text is hashed whole, its hashes some thousands at a time.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are
 linked like any other; with fewer words than a shingle the whole sequence is the one shingle;
@@ -35,9 +38,7 @@ from tessella.runtime import checkpointed
 SHINGLE = 3
 BUDGET = 2
 SEED = 42
-PREFIX_BITS = 12
-SUBTREE = 1 << 15  # fingerprints below which a node is not split further on the driver,
-FEWEST = 64  # but for so many nodes, that the work spreads and copies of a fingerprint don't depend on the input's size
+MOST_TOGETHER = 1 << 20  # fingerprints of one node that one task holds, 32 bytes each; larger nodes are split
 _CHUNK = 1 << 18  # node pairs walked at a time
 _BRUTE = 64  # products of node sizes from which a pair is compared directly
 _HASHES = 1 << 16
@@ -88,10 +89,11 @@ def _split(values: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) ->
     return np.clip(np.searchsorted(values, (values[low] & above) | bit), low, high)
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray | None, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(a: np.ndarray, b: np.ndarray | None, budget: int = BUDGET, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of values of ``a`` and ``b`` (of ``a`` itself if None) within ``budget`` bits.
 
-    Both are sorted, unsigned, without repeats. A frontier too long for one pass is cut in two and
+    Both are sorted, unsigned, without repeats. With ``starts`` only pairs inside the nodes of
+    ``a`` that start there are looked for. A frontier too long for one pass is cut in two and
     walked one half after the other.
     """
     own = b is None
@@ -99,7 +101,10 @@ def linked_pairs(a: np.ndarray, b: np.ndarray | None, budget: int = BUDGET) -> t
     found: list[tuple[np.ndarray, np.ndarray]] = []
     if not len(a) or not len(b):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    todo = [(0, np.array([[0, len(a), 0, len(b), 0]], dtype=np.int64))]
+    begin = np.array([0]) if starts is None else starts
+    until = np.append(begin[1:], len(a))
+    other = (begin, until) if own else (np.zeros(1, np.int64), np.array([len(b)]))
+    todo = [(0, np.stack([begin, until, *other, np.zeros(len(begin), np.int64)], axis=1).astype(np.int64))]
     while todo:
         depth, pairs = todo.pop()
         if len(pairs) > _CHUNK:
@@ -164,75 +169,105 @@ def stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _subtrees(counts: dict[int, int], bits: int, least: int) -> list[tuple[int, int]]:
-    """(depth, prefix) of the nodes at which the walk goes over to the executors."""
-    total = np.zeros(1 << bits, dtype=np.int64)
-    for prefix, n in counts.items():
-        total[prefix] = n
-    cumulated = np.concatenate(([0], np.cumsum(total)))
-    out, todo = [], [(0, 0)]
-    while todo:
-        depth, prefix = todo.pop()
-        width = 1 << (bits - depth)
-        n = cumulated[(prefix + 1) * width] - cumulated[prefix * width]
-        if n > least and depth < bits:
-            todo += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
-        elif n:
-            out.append((depth, prefix))
-    return sorted(out, key=lambda x: x[1] << (bits - x[0]))
-
-
-def _near_subtrees(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
-    """Pairs of subtrees whose prefixes, as far as both go, differ in at most ``budget`` bits."""
-    depth = np.array([d for d, _ in nodes], dtype=np.int64)
-    prefix = np.array([p for _, p in nodes], dtype=np.int64)
-    out = []
-    for i in range(len(nodes)):
-        common = np.minimum(depth[i], depth[i:])
-        differing = np.bitwise_count(((prefix[i] >> (depth[i] - common)) ^ (prefix[i:] >> (depth[i:] - common))).astype(np.uint64))
-        out += [(i, i + int(j)) for j in np.flatnonzero(differing <= budget)]
-    return out
-
-
-def linked(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(u, v) star edges that join all fingerprints ``fp`` of ``classes`` linked within subtree pairs."""
-    bits = PREFIX_BITS
-    prefix = F.shiftrightunsigned("fp", 64 - bits).cast("int")
-    counts = {r["p"]: r["n"] for r in classes.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
-    nodes = _subtrees(counts, bits, max(1, min(SUBTREE, sum(counts.values()) // FEWEST)))
-    near = _near_subtrees(nodes, budget)
-    node_of = np.full(1 << bits, -1, dtype=np.int32)
-    for i, (depth, p) in enumerate(nodes):
-        node_of[p << (bits - depth) : (p + 1) << (bits - depth)] = i
-    groups: list[list[int]] = [[] for _ in nodes]
-    for k, (i, j) in enumerate(near):
-        groups[i].append(k)
-        if j != i:
-            groups[j].append(k)
-    sizes = np.array([len(g) for g in groups], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    flat = np.array([k for g in groups for k in g], dtype=np.int64)
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# views: orders of the bits, so that near fingerprints come to share the uppermost ones
+
+
+def _turned(low: np.ndarray, width: int, by: int) -> np.ndarray:
+    """``low`` of ``width`` bits, turned left by ``by``."""
+    mask = np.uint64((1 << width) - 1) if width < 64 else np.uint64(0xFFFFFFFFFFFFFFFF)
+    return low if not by else ((low << np.uint64(by)) | (low >> np.uint64(width - by))) & mask
+
+
+def views(values: np.ndarray, depth: int, budget: int = BUDGET) -> list[tuple[np.ndarray, int]]:
+    """The ``budget + 1`` views of values whose uppermost ``depth`` bits are settled, and their settled depths.
+
+    The other bits fall into ``budget + 1`` blocks. Two values within the budget differ in at most
+    ``budget`` blocks, so some view has a block on top that is equal in both.
+    """
+    rest = 64 - depth
+    cuts = [rest * k // (budget + 1) for k in range(budget + 2)]
+    mask = np.uint64((1 << rest) - 1) if rest < 64 else np.uint64(0xFFFFFFFFFFFFFFFF)
+    return [((values & ~mask) | _turned(values & mask, rest, cuts[k]), depth + cuts[k + 1] - cuts[k]) for k in range(budget + 1)]
+
+
+def _viewed(budget: int):
+    """(path, depth, value, fp) to its views; a view's path has one more digit."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            for i in range(0, len(own), _HASHES):
-                part = own[i : i + _HASHES]
-                node = node_of[(part.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)]
-                row = np.repeat(np.arange(len(part)), sizes[node])
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes[node]) - sizes[node], sizes[node])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[starts[node[row]] + nth]), pa.array(part[row])], names=["pair", "fp"])
-
-    def walked(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = near[int(group["pair"].iloc[0])]
-        own = np.sort(group["fp"].to_numpy().view(np.uint64))
-        node = node_of[(own >> np.uint64(64 - bits)).astype(np.int64)]
-        left, right = linked_pairs(own[node == i], None if i == j else own[node == j], budget)
-        u, v = stars(left, right)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    pairs = classes.select("fp").mapInArrow(dealt, "pair long, fp long")
-    return pairs.groupBy("pair").applyInPandas(walked, "u long, v long")
+            path, depth, value, fp = (c.to_numpy() for c in batch.columns)
+            for d in np.unique(depth):
+                at = depth == d
+                for k, (turned, settled) in enumerate(views(value[at].view(np.uint64), int(d), budget)):
+                    columns = (path[at] * (budget + 2) + k + 1, np.full(at.sum(), settled), turned.view(np.int64), fp[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["path", "depth", "value", "fp"])
+
+    return made
+
+
+def _walked(budget: int):
+    """Rows in order of (path, top, value) to star edges of the links among those that share path and top."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # rows of the last group that may go on
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)  # path, top, value, fp
+            if not len(rows):
+                continue
+            if held and (held[0][0, :2] == rows[-1, :2]).all():
+                held.append(rows)  # all of one group
+                continue
+            last = len(rows) - 1 - int(np.argmax((rows[::-1, :2] != rows[-1, :2]).any(axis=1))) if (rows[:, :2] != rows[-1, :2]).any() else -1
+            yield from _edges(np.concatenate([*held, rows[: last + 1]]), budget)
+            held = [rows[last + 1 :]]
+        if held:
+            yield from _edges(np.concatenate(held), budget)
+
+    return made
+
+
+def _edges(rows: np.ndarray, budget: int) -> Iterator[pa.RecordBatch]:
+    """Star edges among whole groups of rows (path, top, value, fp)."""
+    if not len(rows):
+        return
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+    sizes = np.diff(np.append(first, len(rows)))
+    rows = rows[np.repeat(sizes > 1, sizes)]
+    for path in np.unique(rows[:, 0]):
+        own = rows[rows[:, 0] == path]
+        values, at = np.unique(own[:, 2].view(np.uint64), return_index=True)
+        fps = own[at, 3].view(np.uint64)
+        tops = own[at, 1]
+        starts = np.flatnonzero(np.concatenate(([True], tops[1:] != tops[:-1])))
+        left, right = linked_pairs(values, None, budget, starts)
+        u, v = stars(fps[np.searchsorted(values, left)], fps[np.searchsorted(values, right)])
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+
+def linked(classes: DataFrame, budget: int = BUDGET, most: int = MOST_TOGETHER) -> DataFrame:
+    """(u, v) star edges that join all linked fingerprints ``fp`` of ``classes``.
+
+    Each fingerprint is copied ``budget + 1`` times, at any number of fingerprints. Only those below
+    a node with more than ``most`` of them are copied so often again, by the blocks of their other
+    bits, until no node has more; one with ``budget`` bits left has 2 ** ``budget`` fingerprints at most.
+    """
+    zero = F.lit(0).cast("long")
+    now = classes.select(zero.alias("path"), zero.alias("depth"), F.col("fp").alias("value"), "fp")
+    top = F.expr("shiftrightunsigned(value, cast(64 - depth AS int))")
+    walked = _walked(budget)
+    found = None
+    while True:
+        now = checkpointed(now.mapInArrow(_viewed(budget), "path long, depth long, value long, fp long").withColumn("top", F.when(F.col("depth") == 64, F.col("value")).otherwise(top)))
+        hot = checkpointed(now.where(f"64 - depth > {budget}").groupBy("path", "top").count().where(F.col("count") > most).select("path", "top"))
+        some = not hot.isEmpty()  # at most (budget + 1) * rows / most
+        cool = now.join(hot, ["path", "top"], "left_anti") if some else now
+        dealt = cool.select("path", "top", "value", "fp").repartition("path", "top").sortWithinPartitions("path", "top", "value")
+        edges = dealt.mapInArrow(walked, "u long, v long")
+        found = edges if found is None else found.unionByName(edges)
+        if not some:
+            return found
+        now = now.join(hot, ["path", "top"], "left_semi").select("path", "depth", "value", "fp")
 
 
 def _grouped(narrow: DataFrame, budget: int) -> DataFrame:

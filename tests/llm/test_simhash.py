@@ -74,17 +74,48 @@ def test_trie_join_finds_all_links(monkeypatch, budget, chunk):
         assert both == {(int(x), int(y)) for x in a for y in b if int(x ^ y).bit_count() <= budget}
 
 
-def test_subtrees_lose_no_pair():
-    rng = random.Random(1)
-    counts = {rng.getrandbits(8): rng.randint(1, 50) for _ in range(90)}
-    nodes = simhash._subtrees(counts, 8, 60)
-    of = {p: [i for i, (d, x) in enumerate(nodes) if p >> (8 - d) == x] for p in counts}
-    assert all(len(i) == 1 for i in of.values())
-    near = set(simhash._near_subtrees(nodes, 2))
-    for p in counts:
-        for q in counts:
-            if (p ^ q).bit_count() <= 2:
-                assert tuple(sorted((of[p][0], of[q][0]))) in near
+@pytest.mark.parametrize("budget", [0, 1, 2, 3])
+def test_some_view_has_near_values_together(budget):
+    rng = random.Random(budget)
+    for depth in (0, 21, 43, 60, 63):
+        x = np.array([rng.getrandbits(64) for _ in range(200)], dtype=np.uint64)
+        y = x.copy()
+        for i in range(len(y)):
+            for _ in range(budget):
+                y[i] ^= np.uint64(1) << np.uint64(rng.randrange(64 - depth))
+        together = np.zeros(len(x), dtype=bool)
+        for (u, d), (v, e) in zip(simhash.views(x, depth, budget), simhash.views(y, depth, budget), strict=True):
+            assert d == e and (np.bitwise_count(u ^ v) == np.bitwise_count(x ^ y)).all()
+            together |= (u >> np.uint64(64 - d) if d else u * np.uint64(0)) == (v >> np.uint64(64 - d) if d else v * np.uint64(0))
+        assert together.all()
+
+
+@pytest.mark.parametrize("most", [4, 30, 1 << 20])
+def test_links_are_whole_on_either_side_of_the_split(spark, most):
+    rng = random.Random(most)
+    values = np.unique(np.concatenate([near_values(rng, 400), near_values(rng, 300, 12), np.arange(64, dtype=np.uint64)]))
+    classes = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(5)
+    roots = {r["u"]: r["v"] for r in least_reachable(simhash.linked(classes, 2, most)).collect()}
+    left, right = simhash.linked_pairs(values, None)
+    assert len(set(zip(left.tolist(), right.tolist(), strict=True))) == sum(int(a ^ b).bit_count() <= 2 for i, a in enumerate(values) for b in values[:i])
+    u, v = simhash.stars(left, right)
+    name = lambda pairs: {frozenset(g) for g in pairs}
+    groups = {}
+    for x, root in zip(u.tolist(), v.tolist(), strict=True):
+        groups.setdefault(root, {root}).add(x)
+    mine = {}
+    for x, root in roots.items():
+        mine.setdefault(root, {root % 2**64}).add(x % 2**64)
+    assert name(mine.values()) == name(groups.values())
+
+
+def test_copies_of_a_fingerprint_do_not_depend_on_their_number(spark):
+    rng = np.random.default_rng(2)
+    for n in (200, 20_000):
+        classes = spark.createDataFrame([(int(v),) for v in rng.integers(-(2**63), 2**63 - 1, n)], "fp long")
+        zero = F.lit(0).cast("long")
+        rows = classes.select(zero.alias("path"), zero.alias("depth"), F.col("fp").alias("value"), "fp").mapInArrow(simhash._viewed(2), "path long, depth long, value long, fp long")
+        assert rows.count() == 3 * n
 
 
 def test_components_of_long_paths(spark):
@@ -94,7 +125,7 @@ def test_components_of_long_paths(spark):
 
 
 def test_near_groups(spark, awkward, no_docs, monkeypatch):
-    monkeypatch.setattr(simhash, "SUBTREE", 8)
+    monkeypatch.setattr(simhash.linked, "__defaults__", (2, 8))
     rng = random.Random(4)
     base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(2, 60))] for _ in range(40)]
     texts = []
