@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicons of words and word beginnings that are told from labelled
-rows, fixed lexicons of insults, and patterns. A voter votes toxic or clean, or abstains. A
-generative label model with two classes estimates by expectation-maximisation how often each voter
-gives each vote in each class, the labelled rows' annotations being one more voter, and the
-correlations of the voters within the classes; voters that say the same share their weight. Its
-posterior probabilities train a linear classifier over hashed words and word beginnings, and that
-classifier scores every text.
+Many voters look at a text: lexicons told from labelled rows, one for each kind of feature (whole
+words, and word beginnings of each length) and tier of evidence; fixed lexicons of insults by
+theme and language; and patterns. A voter votes toxic or clean, or abstains. A generative label
+model with two classes estimates by expectation-maximisation how often each voter gives each vote
+in each class, and the correlations of the voters within the classes; voters that say the same
+share their weight. The model sees votes only: annotations give its starting rates and a prior of
+``STRENGTH`` rows, no more. Its posterior probabilities train a linear classifier over hashed words
+and word beginnings, and that classifier scores every text.
 
 The fit takes a bounded sample of labelled rows, at most about ``most_labelled``, chosen by a hash
 of the id; all rows are scored, whole. Nothing but the text is an input of a score.
@@ -14,7 +15,8 @@ of the id; all rows are scored, whole. Nothing but the text is an input of a sco
 Defined cases: a null text counts as empty, and empty texts get the score of a text that has no
 telling word; a null id is never held out and never labelled; labels that repeat an id count as
 toxic if one is; without labels the fixed lexicons alone decide; repeated rows are scored one by
-one; empty tables work; further columns are ignored, whatever their names.
+one and equal texts alike, so ties need no rule; a text is read whole, whatever its length; empty
+tables work; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,13 @@ MOST_LABELLED = 16_000
 LEAST_Z = 5.0
 FOLDS, HELD_OUT = 5, 0
 TOXIC, ABSTAIN, CLEAN = 0, 1, 2
-LEXICONS = 12  # that telling features are dealt to
+KINDS = 1 + len(BEGINNINGS)  # of features; the lowest bits of a feature's number tell its kind
+_KIND_BITS = 7
+TIERS = (0.95, 0.8, 0.0)  # least shares of toxic rows among a lexicon's features' rows
+LEXICONS = len(TIERS) * KINDS
+STRENGTH = 0.05  # of the rows: what the starting rates of a voter count as
+_SMOOTHING = 2.0
+FEEBLE = 0.3
 FIXED_WEIGHT = 4.0
 SHORT = 20  # words below which finding nothing says nothing
 
@@ -50,7 +58,7 @@ INSULTS = {
     "french": ("imbécile", "connard", "salaud", "ordure", "crétin", "débile"),
     "spanish": ("idiota", "estúpido", "imbécil", "basura", "escoria", "asqueroso"),
 }
-PATTERNS = (r"^[a-z]\*{2,}[a-z]+", r"^[a-z]*[@$!][a-z]*t[a-z]*$")
+PATTERNS = (r"^[a-z]\*{2,}[a-z]+", r"^[a-z]*[@$!][a-z]*t[a-z]*$", r"^[a-z]+[0-9@$]+[a-z]+$", r"[!?]{3,}$")
 _TRIMMED = ".,!?;:#*$%&|\"'()"
 
 
@@ -68,7 +76,8 @@ def _word_features(words: pa.Array) -> np.ndarray:
     plain = pc.utf8_trim(words, _TRIMMED)
     columns = [digests(plain.to_pylist(), 1)]
     columns += [digests(pc.utf8_slice_codeunits(plain, 0, k).to_pylist(), 10 + k) for k in BEGINNINGS]
-    return (np.stack(columns, axis=1) & np.uint64(linear.DIMENSIONS - 1)).astype(np.int64)
+    numbers = np.stack(columns, axis=1) & np.uint64(linear.DIMENSIONS - 1 - _KIND_BITS)
+    return (numbers | np.arange(KINDS, dtype=np.uint64)).astype(np.int64)
 
 
 def found_in(texts: pa.Array, only: np.ndarray | None = None) -> Found:
@@ -98,17 +107,30 @@ def fixed_features() -> list[np.ndarray]:
     return [np.unique(_word_features(pa.array(words))[:, 0]) for words in INSULTS.values()]
 
 
-def voted(rows: list[np.ndarray], patterns: np.ndarray, long: np.ndarray, told: np.ndarray) -> np.ndarray:
+@dataclass
+class Told:
+    """Features told from labelled rows, in order, and the share of toxic rows among those that have each."""
+
+    features: np.ndarray
+    shares: np.ndarray
+
+    def lexicons(self) -> list[np.ndarray]:
+        """The features by tier and kind."""
+        kind, tier = self.features & _KIND_BITS, np.searchsorted(-np.array(TIERS), -self.shares)
+        return [self.features[(kind == k) & (tier == t)] for t in range(len(TIERS)) for k in range(KINDS)]
+
+
+def voted(rows: list[np.ndarray], patterns: np.ndarray, long: np.ndarray, told: Told) -> np.ndarray:
     """(texts, voters): the votes of told lexicons, fixed lexicons and patterns; ``long`` texts may vote clean."""
-    lexicons = [told[told % LEXICONS == k] for k in range(LEXICONS)]
-    out = np.full((len(rows), LEXICONS + len(INSULTS) + len(PATTERNS)), ABSTAIN, dtype=np.int64)
-    fixed = fixed_features()
-    out[long, :LEXICONS] = CLEAN
+    lexicons = [*told.lexicons(), *fixed_features()]
+    out = np.full((len(rows), len(lexicons) + len(PATTERNS)), ABSTAIN, dtype=np.int64)
+    for k, lexicon in enumerate(lexicons[:LEXICONS]):
+        out[long, k] = CLEAN if len(lexicon) else ABSTAIN
     for i, own in enumerate(rows):
-        for k, lexicon in enumerate([*lexicons, *fixed]):
+        for k, lexicon in enumerate(lexicons):
             if linear.chosen(own, lexicon)[0].any():
                 out[i, k] = TOXIC
-    out[:, LEXICONS + len(INSULTS) :][patterns] = TOXIC
+    out[:, len(lexicons) :][patterns] = TOXIC
     return out
 
 
@@ -127,42 +149,43 @@ class LabelModel:
 
 
 _BEFORE = np.array([[0.30, 0.40, 0.30], [0.02, 0.40, 0.58]])
-_ANNOTATOR = np.array([[0.95, 0.0, 0.05], [0.03, 0.0, 0.97]])
 
 
-def _with_annotations(votes: np.ndarray, annotated: np.ndarray) -> np.ndarray:
-    return np.column_stack([votes, np.select([annotated == 1, annotated == 0], [TOXIC, CLEAN], ABSTAIN)])
+def measured_rates(votes: np.ndarray, toxic: np.ndarray, weight: float = 0.0, before: np.ndarray | None = None) -> np.ndarray:
+    """(2, voters, 3): how often each voter gives each vote among rows of each class, ``toxic`` being their probabilities."""
+    onehot = (votes[:, :, None] == np.arange(3)).astype(np.float64)
+    rates = np.einsum("cn,njv->cjv", np.stack([toxic, 1 - toxic]), onehot) + (0 if before is None else weight * before)
+    return rates / np.maximum(rates.sum(axis=2, keepdims=True), 1e-300)
+
+
+def shared_weights(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The weight of each voter: within a class voters should not agree beyond chance; those that do share theirs.
+
+    Correlations up to ``FEEBLE`` say nothing: many voters would each lose a little to all others.
+    """
+    said = (votes == TOXIC).astype(np.float64)
+    excess = np.zeros((votes.shape[1],) * 2)
+    for weight in (toxic, 1 - toxic):
+        size = max(weight.sum(), 1e-9)
+        apart = said - weight @ said / size
+        covariance = (apart * weight[:, None]).T @ apart / size
+        deviation = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+        excess += np.maximum(covariance / np.outer(deviation, deviation) - FEEBLE, 0) / (1 - FEEBLE) / 2
+    np.fill_diagonal(excess, 0)
+    return 1 / (1 + excess.sum(axis=1))
 
 
 def fit_labels(votes: np.ndarray, annotated: np.ndarray, rounds: int = 30) -> LabelModel:
-    """The label model of ``votes`` with the annotations (1 toxic, 0 clean, -1 none) as last voter."""
-    every = _with_annotations(votes, annotated)
-    before = np.concatenate([np.repeat(_BEFORE[:, None, :], votes.shape[1], axis=1), _ANNOTATOR[:, None, :]], axis=1) + 1e-6
-    strength = np.full(every.shape[1], 10.0)
-    strength[-1] = max(200.0, len(every) / 5)  # how far annotations are trusted is mostly given
-    share = (annotated == 1).sum() / max((annotated >= 0).sum(), 1)
-    model = LabelModel(float(np.clip(share, 0.01, 0.5)), before / before.sum(axis=2, keepdims=True), np.ones(every.shape[1]))
-    onehot = (every[:, :, None] == np.arange(3)).astype(np.float64)
-    toxic_votes = onehot[:, :, TOXIC]
+    """The label model of ``votes``; the annotations (1 toxic, 0 clean, -1 none) give the start and a weak prior."""
+    known = annotated >= 0
+    before = measured_rates(votes[known], (annotated[known] == 1).astype(np.float64), _SMOOTHING, np.broadcast_to(_BEFORE[:, None, :] + 1e-6, (2, votes.shape[1], 3)))
+    share = float(np.clip((annotated == 1).sum() / max(known.sum(), 1), 0.01, 0.5))
+    model = LabelModel(share, before, np.ones(votes.shape[1]))
     for _ in range(rounds):
-        toxic = model.posterior(every)
-        own = np.stack([toxic, 1 - toxic])
-        rates = np.einsum("cn,njv->cjv", own, onehot) + strength[None, :, None] * before
-        rates /= rates.sum(axis=2, keepdims=True)
-        rates[1, :, TOXIC] = np.minimum(rates[1, :, TOXIC], rates[0, :, TOXIC])
-        # within a class voters should not agree beyond chance; those that do share their weight
-        excess = np.zeros((every.shape[1],) * 2)
-        for weight in own:
-            size = max(weight.sum(), 1e-9)
-            mean = weight @ toxic_votes / size
-            apart = toxic_votes - mean
-            covariance = (apart * weight[:, None]).T @ apart / size
-            deviation = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-            excess += np.maximum(covariance / np.outer(deviation, deviation), 0) * (size / max(len(every), 1))
-        np.fill_diagonal(excess, 0)
-        weights = 1 / (1 + excess.sum(axis=1))
-        weights[-1] = 1.0
-        model = LabelModel(float(np.clip(toxic.mean(), 0.005, 0.5)), rates, weights)
+        toxic = model.posterior(votes)
+        rates = measured_rates(votes, toxic, STRENGTH * len(votes), before)
+        rates[1, :, TOXIC] = np.minimum(rates[1, :, TOXIC], rates[0, :, TOXIC])  # no voter for toxic speaks against it
+        model = LabelModel(float(np.clip(toxic.mean(), 0.005, 0.5)), rates, shared_weights(votes, toxic))
     return model
 
 
@@ -178,16 +201,15 @@ class Scorer:
         return self.model.scores(own.owner, own.features, len(texts))
 
 
-def fit_scorer(told: np.ndarray, rows: list[np.ndarray], patterns: np.ndarray, long: np.ndarray, annotated: np.ndarray) -> Scorer:
+def fit_scorer(told: Told, rows: list[np.ndarray], patterns: np.ndarray, long: np.ndarray, annotated: np.ndarray) -> Scorer:
     """From telling features and the labelled texts that have them: label model and classifier."""
     fixed = np.unique(np.concatenate(fixed_features()))
-    features = np.union1d(told, fixed)
+    features = np.union1d(told.features, fixed)
     start = np.where(np.isin(features, fixed), FIXED_WEIGHT, 0.0)  # it stays where no labelled row has the word
     if not len(rows):
         return Scorer(features, linear.Linear(start, -FIXED_WEIGHT / 2))
     votes = voted(rows, patterns, long, told)
-    labels = fit_labels(votes, annotated)
-    targets = labels.posterior(_with_annotations(votes, annotated))
+    targets = fit_labels(votes, annotated).posterior(votes)
     return Scorer(features, linear.fit(linear.restricted(rows, features), targets, start, epochs=20))
 
 
@@ -208,7 +230,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(usable), "id").select("y", "text")
 
     told = telling_features(rows)
-    features = np.union1d(told, np.unique(np.concatenate(fixed_features())))
+    features = np.union1d(told.features, np.unique(np.concatenate(fixed_features())))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,10 +252,11 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return fit_scorer(told, [own[i] for i in order], pattern[order].astype(bool), long[order], y[order])
 
 
-def telling_features(rows: DataFrame, least_z: float = LEAST_Z, least_rows: int = 3, most: int = 4096) -> np.ndarray:
+def telling_features(rows: DataFrame, least_z: float = LEAST_Z, least_rows: int = 3) -> Told:
     """Features whose share of toxic rows is far above the mean, of (y, text); counted where the rows are.
 
-    Tasks send (feature, rows, toxic rows); only features that pass come to the driver.
+    Tasks send (feature, rows, toxic rows); only features that pass come to the driver, some of
+    those of a bounded number of rows.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +273,11 @@ def telling_features(rows: DataFrame, least_z: float = LEAST_Z, least_rows: int
     counts = checkpointed(rows.mapInArrow(counted, "feature long, total long, toxic long").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("toxic").alias("toxic")).where(f"toxic >= {least_rows} OR feature < 0"))
     every = counts.where("feature < 0").first()
     if every is None or not 0 < every["toxic"] < every["total"]:
-        return np.empty(0, dtype=np.int64)
+        return Told(np.empty(0, dtype=np.int64), np.empty(0))
     share = every["toxic"] / every["total"]
     z = (F.col("toxic") - F.col("total") * share) / F.sqrt(F.col("total") * share * (1 - share))
-    found = counts.where("feature >= 0").withColumn("z", z).where(F.col("z") > least_z).orderBy(F.desc("z"), "feature").limit(most)
-    return np.sort(np.array([r["feature"] for r in found.collect()], dtype=np.int64))
+    found = counts.where("feature >= 0").withColumn("z", z).where(F.col("z") > least_z).select("feature", (F.col("toxic") / F.col("total")).alias("share")).toArrow().sort_by("feature")
+    return Told(found["feature"].to_numpy().astype(np.int64), found["share"].to_numpy())
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED) -> DataFrame:
