@@ -58,7 +58,7 @@ def fit(rows: list[np.ndarray], targets: np.ndarray, start: np.ndarray, epochs:
     return model
 
 
-def telling(rows: list[np.ndarray], targets: np.ndarray, least_z: float, least_rows: float = 3, most: int = 4096, two_sided: bool = False) -> np.ndarray:
+def telling(rows: list[np.ndarray], targets: np.ndarray, least_z: float, least_rows: float = 3, two_sided: bool = False) -> np.ndarray:
     """The features whose share of positive rows is far above the mean (or below, if two-sided)."""
     if not len(rows):
         return np.empty(0, dtype=np.int64)
@@ -70,8 +70,7 @@ def telling(rows: list[np.ndarray], targets: np.ndarray, least_z: float, least_r
     good = (z > least_z) & (positive >= least_rows)
     if two_sided:
         good |= (z < -least_z) & (total - positive >= least_rows)
-    found = np.flatnonzero(good)
-    return np.sort(features[found[np.argsort(-np.abs(z[found]), kind="stable")[:most]]]).astype(np.int64)
+    return features[good].astype(np.int64)
 
 
 def restricted(rows: list[np.ndarray], features: np.ndarray) -> list[np.ndarray]:

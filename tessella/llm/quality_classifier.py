@@ -2,13 +2,14 @@
 
 Overlapping heuristic labellers vote on every text. Expectation-maximisation over the counts of
 all different rows of votes estimates their accuracies, and the posterior labels of a bounded
-sample, about ``most_rows`` rows chosen by a hash of the text, train a hashed linear scorer that
+sample, about ``most_rows`` different texts chosen by their hash, train a hashed linear scorer that
 then judges every text by itself: by its words, the shapes of its words and lines, and how much it
 repeats. No annotation is used.
 
 Defined cases: a null text counts as empty; a text without words has only the features of an
-empty text; repeated rows are judged one by one; an empty table gives an empty result; further
-columns are ignored, whatever their names; texts are read whole, whatever their length.
+empty text; repeated rows are judged one by one and equal texts alike, so ties need no rule; an
+empty table gives an empty result; further columns are ignored, whatever their names; texts are read
+whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     number = patterns.count()
     steps = 1 << 30
     share = min(1.0, most_rows / max(number, 1))
-    sample = rows.select("text", F.lit(0).alias("z")).where(F.pmod(F.xxhash64("text"), F.lit(steps)) < int(steps * share))
+    # copies of a text share its hash, so a hot text could fill the sample: each text counts once, and meets its copies where they are
+    sample = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(steps)) < int(steps * share)).distinct()
     sorted_patterns = np.array(sorted(known), dtype=np.int64)
     sorted_posteriors = np.array([known[p] for p in sorted(known)])
 
@@ -83,7 +85,6 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(features.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([lists, pa.array(pattern)], names=["features", "pattern"])
 
-    # copies of a text share its hash, so a hot text could fill the sample: each text counts once
     got = sample.mapInArrow(prepared, "features array<int>, pattern long").toArrow()
     telling, model = _fitted(got, sorted_patterns, sorted_posteriors)
 
@@ -106,8 +107,9 @@ def _fitted(got: pa.Table, patterns: np.ndarray, posterior: np.ndarray) -> tuple
     lists = got["features"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     label = posterior[np.searchsorted(patterns, got["pattern"].to_numpy())] if got.num_rows else np.empty(0)
+    # texts come in any order: by their features, and texts alike in all of them once
     once = {flat[a:b].tobytes(): (flat[a:b], y) for a, b, y in zip(bounds[:-1], bounds[1:], label, strict=True)}
     rows = [once[k][0] for k in sorted(once)]
     targets = np.array([once[k][1] for k in sorted(once)])
-    telling = linear.telling(rows, targets, least_z=4.0, most=1 << 15, two_sided=True)
+    telling = linear.telling(rows, targets, least_z=4.0, two_sided=True)
     return telling, linear.fit(linear.restricted(rows, telling), targets, np.zeros(len(telling)), epochs=10)

@@ -164,8 +164,22 @@ class LabelModel:
 BEFORE = np.array([[0.25, 0.25, 0.50], [0.01, 0.14, 0.85]])
 STRENGTH = 20.0
 PRIOR = 0.85
-#: The largest share of good texts that one heuristic may call bad.
+#: The largest share of good texts that one heuristic may call bad, unless the texts speak against it.
 MOST_FALSE = 0.005
+#: Of texts that no other heuristic objects to, the largest share that one may object to and be believed.
+LONE = 0.05
+
+
+def allowed_false(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each voter the share of good texts that it may call bad.
+
+    ``MOST_FALSE`` for those whose lone objections are rare. A voter that alone objects to more than
+    ``LONE`` of the texts that all others let pass may be wrong about all of them.
+    """
+    bad = table == BAD
+    calm = (bad.sum(axis=1)[:, None] - bad == 0) * counts[:, None]
+    lone = (bad * calm).sum(axis=0) / np.maximum(calm.sum(axis=0), 1)
+    return np.where(lone > LONE, lone, MOST_FALSE)
 
 
 def fit(table: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
@@ -173,6 +187,7 @@ def fit(table: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
     width = table.shape[1]
     model = LabelModel(PRIOR, np.repeat(BEFORE[:, None, :], width, axis=1))
     onehot = (table[:, :, None] == np.arange(3)).astype(np.float64)
+    most_false = allowed_false(table, counts)
     for _ in range(rounds):
         good = model.posterior(table)
         own = np.stack([counts * (1 - good), counts * good])
@@ -180,8 +195,8 @@ def fit(table: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
         rates /= rates.sum(axis=2, keepdims=True)
         # without this, the two classes may part texts by whatever else sets them apart: the good
         # class holds no voter that calls more than a few of its texts bad, and none is worse than chance
-        rates[1, :, BAD] = np.minimum(rates[1, :, BAD], MOST_FALSE)
-        rates[0, :, BAD] = np.maximum(rates[0, :, BAD], 2 * rates[1, :, BAD])
+        rates[1, :, BAD] = np.minimum(rates[1, :, BAD], most_false)
+        rates[0, :, BAD] = np.maximum(rates[0, :, BAD], rates[1, :, BAD])
         rates /= rates.sum(axis=2, keepdims=True)
         prior = (own[1].sum() + STRENGTH * PRIOR) / (counts.sum() + STRENGTH)
         done = abs(prior - model.prior) < 1e-10 and np.abs(rates - model.rates).max() < 1e-9
