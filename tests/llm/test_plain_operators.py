@@ -31,11 +31,14 @@ def direct_groups(rows):
     groups = defaultdict(list)
     for r in rows:
         groups[lowered(r["text"])].append(r["doc_id"])
-    out = []
+    out, done = [], set()
     for r in rows:
         own = groups[lowered(r["text"])]
         keep = max((x for x in own if x is not None), default=None)
-        out.append((r["doc_id"], keep, len(own), r["doc_id"] == keep, hashlib.sha256(lowered(r["text"]).encode()).hexdigest()))
+        kept = r["doc_id"] == keep and lowered(r["text"]) not in done  # one row of a group stays
+        if kept:
+            done.add(lowered(r["text"]))
+        out.append((r["doc_id"], keep, len(own), kept, hashlib.sha256(lowered(r["text"]).encode()).hexdigest()))
     return Counter(out)
 
 
@@ -50,6 +53,21 @@ def test_exact_groups_tell_texts_of_one_digest_apart(awkward, monkeypatch):
     assert Counter(got) == Counter(x[:4] for x in direct_groups(awkward.collect()).elements())
 
 
+def test_a_text_that_is_most_rows(spark):
+    rows = [(i if i % 3 else None, "Hot text") for i in range(3000)] + [(None, "hot TEXT")] * 1000 + [(None, "no id")] * 500 + [(9000 + i, f"own {i}") for i in range(500)] + [(2999, "hot text")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = exact_dedup.exact_groups(docs).collect()
+    assert Counter(map(tuple, got)) == direct_groups([{"doc_id": i, "text": t} for i, t in rows])
+    assert Counter(r["text_sha256"] for r in got if r["kept"]).most_common(1)[0][1] == 1 and sum(r["kept"] for r in got) == 502
+    assert Counter(lowered(r["text"]) for r in exact_dedup.drop_exact_copies(docs).collect()) == Counter({lowered(t): 1 for _, t in rows})
+
+
+def test_a_hot_text_meets_its_group_by_salt(awkward):
+    plan = exact_dedup.exact_groups(awkward)._jdf.queryExecution().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("digest" in line for line in joins) and any("salt" in line for line in joins)
+
+
 def test_dropping_copies_keeps_one_row_each_and_all_columns(awkward, no_docs):
     wide = awkward.withColumns({"digest": F.lit("x"), "row": F.lit(1), "salt": F.array(F.lit(2))})
     kept = exact_dedup.drop_exact_copies(wide)
@@ -192,6 +210,17 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages, RULES).count() == len(urls)
 
 
+def test_many_rules_and_long_urls(spark):
+    rng = random.Random(8)
+    hosts = [f"{a}.{b}" for a in ("x", "y.z", "shop") for b in ("com", "org", "co.uk")]
+    rules = list({f"{rng.choice(hosts)}/{'p' * rng.randint(0, 300)}": None for _ in range(400)})
+    rules = [(rng.choice(["allow", "block"]), r) for r in rules]
+    urls = [f"https://{rng.choice(['', 'www.'])}{rng.choice(hosts)}/{'p' * rng.randint(0, 400)}{'?' + 'q' * 9000 if i % 9 == 0 else ''}" for i in range(400)] + ["http://x.com/" + "p" * 70_000, "http://" + "a." * 3000 + "com/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge_urls(pages, rules).collect()}
+    assert all(got[i] == direct_verdict(u, rules) for i, u in enumerate(urls))
+
+
 def test_index_confirms_strings_behind_equal_digests(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s, *a: len(s) % 3)
     index = url_filter.RuleIndex(url_filter.write_index([("block", f"r{i}.org/") for i in range(30)], str(tmp_path)))
