@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the
 last return documents in their own columns. ``run`` stores each stage's result in the cluster's
-shared folder and reads it again, so a lost executor costs one stage's tasks at most.
+shared folder and reads it again, so a lost executor costs one stage's tasks at most; the table of
+the stage before then goes, and the one that the packing reads stays for the caller's use.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import exact_dedup, mixing, packing, simhash
 from tessella.llm import toxicity as toxic
-from tessella.runtime import stored, table
+from tessella.runtime import removed, stored_at, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, path = stored_at(stage(spark, docs, sf_dir))
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
