@@ -76,6 +76,68 @@ def even_odd(points: Column, x: Column, y: Column) -> Column:
     return F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+def clipped(points: Column, window: Column) -> Column:
+    """A convex polygon within a convex window of either orientation, both arrays of (x, y) structs."""
+    turn = F.when(signed_area(window) >= 0, 1.0).otherwise(-1.0)
+    following = F.concat(F.slice(window, 2, F.greatest(F.size(window) - 1, F.lit(0))), F.slice(window, 1, 1))
+    edges = F.zip_with(window, following, lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), (q["x"] - p["x"]).alias("u"), (q["y"] - p["y"]).alias("v")))
+
+    def half(polygon: Column, edge: Column) -> Column:
+        side = lambda p: turn * (edge["u"] * (p["y"] - edge["y"]) - edge["v"] * (p["x"] - edge["x"]))
+        sided = F.transform(polygon, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(p).alias("s")))
+        after = F.concat(F.slice(sided, 2, F.greatest(F.size(sided) - 1, F.lit(0))), F.slice(sided, 1, 1))
+
+        def step(p: Column, q: Column) -> Column:
+            share = p["s"] / (p["s"] - q["s"])
+            own = F.struct(p["x"].alias("x"), p["y"].alias("y"))
+            cut = F.struct((p["x"] + (q["x"] - p["x"]) * share).alias("x"), (p["y"] + (q["y"] - p["y"]) * share).alias("y"))
+            crosses = (p["s"] < 0) != (q["s"] < 0)
+            return F.when((p["s"] >= 0) & crosses, F.array(own, cut)).when(p["s"] >= 0, F.array(own)).when(crosses, F.array(cut)).otherwise(F.slice(F.array(own), 1, 0))
+
+        return F.flatten(F.zip_with(sided, after, step))
+
+    return F.aggregate(edges, points, half)
+
+
+def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The corners of a box, in order."""
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))
+
+
+def normalised(x: Column, y: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """A keypoint about the photo's middle, in halves of its long side."""
+    half = F.greatest(width, height) / 2
+    return (x - width / 2) / half, (y - height / 2) / half
+
+
+def learned_rescaled(v: Column, middle: float, correction: float = 0.42) -> Column:
+    """A learned extractor's coordinate with its stretch about the canvas centre taken back."""
+    return (v - middle) * (1 + correction / middle) + middle
+
+
+def local_similarity(t: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """(a, b) of the similarity ((a, -b), (b, a)) that a map looks like at a point."""
+    a, b, c, d = jacobian(t, x, y)
+    return (a + d) / 2, (c - b) / 2
+
+
+def l2_normalised(vector: Column) -> Column:
+    """A vector by its length; zero stays zero."""
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return F.transform(vector, lambda v: F.when(length > 0, v.cast("double") / length).otherwise(0.0))
+
+
+def percent_encoded(text: Column) -> Column:
+    """A path component for a URL."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def projection_of(extent: Column, widest: float = 330.0, flat: float = 100.0) -> Column:
+    """How a sweep of so many degrees is drawn; ``refused`` beyond the widest."""
+    return F.when(extent > widest, "refused").when(extent > flat, "cylindrical").otherwise("rectilinear")
+
+
 def huber(s: Column, k: float = 2.0) -> Column:
     return F.when(s <= k, 1.0).otherwise(k / s)
 

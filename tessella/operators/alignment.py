@@ -11,12 +11,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import models
+from tessella.functions.columns import inverse, mapped, product, stretch
 from tessella.operators.graph import inconsistent
+from tessella.operators.ordering import numbered
+from tessella.operators.verification import upper_median
 
 HUBER = 2.0
 PARAMETERS = {"translation": 2, "similarity": 4, "affine": 6}
@@ -444,22 +446,44 @@ def align(photos: list[int], pairs: list[Pair], anchor: int, thresholds: dict[tu
     return layout
 
 
+def _basis_columns(model: str, x: Column, y: Column) -> tuple[list[Column], list[Column]]:
+    """The rows of ``_basis`` as columns."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return {
+        "translation": ([one, zero], [zero, one]),
+        "similarity": ([x, -y, one, zero], [y, x, zero, one]),
+        "affine": ([x, y, one, zero, zero, zero], [zero, zero, zero, x, y, one]),
+    }[model]
+
+
 def normal_blocks(matches: DataFrame, model: str) -> DataFrame:
-    """(a, b, block, side): each pair's normal equations at the identity, computed where its matches are."""
+    """(a, b, block, side): each pair's normal equations at the identity, as sums where its matches are."""
+    ua, va = _basis_columns(model, F.col("ax"), F.col("ay"))
+    ub, vb = _basis_columns(model, F.col("bx"), F.col("by"))
+    u, v = [*ua, *(-x for x in ub)], [*va, *(-x for x in vb)]
+    weight, n = 1 / (F.col("sigma") * F.col("sigma")), len(u)
+    ru, rv = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    upper = {(i, j): F.sum(weight * (u[i] * u[j] + v[i] * v[j])) for i in range(n) for j in range(i, n)}
+    side = F.array(*(F.sum(weight * (u[i] * ru + v[i] * rv)) for i in range(n)))
+    return matches.groupBy("a", "b").agg(F.array(*(upper[min(i, j), max(i, j)] for i in range(n) for j in range(n))).alias("block"), side.alias("side"))
 
-    def blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        pair = Pair(*key, rows[["ax", "ay"]].to_numpy(float), rows[["bx", "by"]].to_numpy(float), rows["sigma"].to_numpy(float))
-        block, side = pair_block(model, pair, _identity(model), _identity(model), robust=False)
-        return pd.DataFrame([[*key, block.ravel(), side]], columns=["a", "b", "block", "side"])
 
-    return matches.groupBy("a", "b").applyInPandas(blocks, "a long, b long, block array<double>, side array<double>")
+def best_anchors(maps: DataFrame, group: str = "project") -> DataFrame:
+    """(group, anchor, worst): of each project's photos the one from which the worst stretch of any photo's corner is least.
+
+    ``maps``: group, image, width, height, transform. Photos meet within their project only.
+    """
+    anchors = maps.select(group, F.col("image").alias("anchor"), inverse(F.col("transform")).alias("back"))
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    seen = maps.join(anchors, group).select(group, "anchor", "image", "width", "height", product(F.col("back"), F.col("transform")).alias("t"), corner.alias("k"))
+    s = stretch(F.col("t"), (F.col("k.i") * F.col("width")).cast("double"), (F.col("k.j") * F.col("height")).cast("double"))
+    worst = seen.groupBy(group, "anchor").agg(F.max(F.coalesce(F.greatest(s, 1 / s), F.lit(1e9))).alias("worst"))
+    rounded = worst.withColumn("worst", F.round("worst", 4))
+    return rounded.groupBy(group).agg(F.min(F.struct("worst", "anchor")).alias("best")).select(group, "best.anchor", "best.worst")
 
 
 def transfer_rms(matches: DataFrame, layout: DataFrame) -> DataFrame:
     """(a, b, n, rms) of matches through the maps (image, transform) of their photos; 1e6 for points behind."""
-    from tessella.functions.columns import mapped
-
     rows = matches.join(layout.toDF("a", "ta"), "a").join(layout.toDF("b", "tb"), "b")
     xa, ya = mapped(F.col("ta"), F.col("ax"), F.col("ay"))
     xb, yb = mapped(F.col("tb"), F.col("bx"), F.col("by"))
@@ -469,14 +493,13 @@ def transfer_rms(matches: DataFrame, layout: DataFrame) -> DataFrame:
 
 def grows_with_distance(pairs: DataFrame, least: int = 12, ratio: float = 1.5) -> DataFrame:
     """One row: whether the upper-median error of the furthest third of pairs is well above the nearest's."""
-    ranked = pairs.withColumns({"turn": F.row_number().over(Window.orderBy("distance", "a", "b")) - 1, "number": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    placed = numbered(pairs, [F.col("distance"), F.col("a"), F.col("b")], "turn")
+    number = placed.agg(F.count("*").alias("number"))  # one row
     third = F.floor(F.col("number") / 3)
-    near = F.sort_array(F.collect_list(F.when(F.col("turn") < third, F.col("rms"))))
-    far = F.sort_array(F.collect_list(F.when(F.col("turn") >= F.col("number") - third, F.col("rms"))))
-    middle = lambda v: F.element_at(v, F.floor(F.size(v) / 2).cast("int") + 1)
-    got = ranked.agg(F.count("*").alias("pairs"), near.alias("near"), far.alias("far"))
-    enough = (F.col("pairs") >= least) & (F.size("near") >= 4)
-    return got.select("pairs", F.coalesce(F.when(enough, middle(F.col("far")) >= ratio * middle(F.col("near"))), F.lit(False)).alias("grows"))
+    rows = placed.join(F.broadcast(number)).select(F.when(F.col("turn") < third, F.col("rms")).alias("near"), F.when(F.col("turn") >= F.col("number") - third, F.col("rms")).alias("far"))
+    got = rows.agg(F.count("*").alias("pairs"), F.count("near").alias("n"), upper_median("near").alias("near"), upper_median("far").alias("far"))
+    enough = (F.col("pairs") >= least) & (F.col("n") >= 4)
+    return got.select("pairs", F.coalesce(F.when(enough, F.col("far") >= ratio * F.col("near")), F.lit(False)).alias("grows"))
 
 
 def expected_seconds(model: Column, matches: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.config import DEFAULTS
+from tessella.functions import columns as C
 from tessella.operators import graph
+from tessella.operators.ordering import beside, numbered
 from tessella.runtime import checkpointed
 
 
@@ -20,14 +22,14 @@ def shooting_order(photos: DataFrame) -> DataFrame:
     """(id, place): by capture date if every photo has one, else by natural name; ties by id."""
     dated = photos.agg(F.coalesce(F.min(F.col("capture_date").isNotNull()), F.lit(False)).alias("dated"))  # one row
     keyed = photos.join(F.broadcast(dated))
-    by = Window.orderBy(F.when(F.col("dated"), F.col("capture_date")), F.when(~F.col("dated"), natural_key(F.col("name"))), "id")
-    return keyed.select("id", (F.row_number().over(by) - 1).alias("place"))
+    by = [F.when(F.col("dated"), F.col("capture_date")), F.when(~F.col("dated"), natural_key(F.col("name"))), F.col("id")]
+    return numbered(keyed, by).select("id", "place")
 
 
 def consecutive(order: DataFrame) -> DataFrame:
     """(a, b) of neighbours in (id, place)."""
-    following = F.lead("id").over(Window.orderBy("place"))
-    return order.select(F.col("id").alias("x"), following.alias("y")).where("y IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    both = beside(order, ["id"]).where("id_before IS NOT NULL")
+    return both.select(F.least("id", "id_before").alias("a"), F.greatest("id", "id_before").alias("b"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -98,24 +100,107 @@ def bridges(affinities: DataFrame, groups: DataFrame, tried: DataFrame, per_grou
 
 
 def quota(overlaps: DataFrame, per_photo: int = DEFAULTS.overlap_per_photo, photos: int | None = None) -> DataFrame:
-    """Pairs of (a, b, overlap) taken in order of overlap while either photo has room.
+    """Pairs of (a, b, overlap) taken in order of overlap while either photo has room, four times the photos at most.
 
-    The order decides, so the walk is sequential: over one row per predicted pair of one layout.
+    The order decides within a group of photos that hang together, so each is walked by itself; what
+    one takes doesn't bear on the others, and the limit keeps the first of all that were taken.
     """
     import pandas as pd
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["overlap", "a", "b"], ascending=[False, True, True])
-        number = photos if photos is not None else len(set(rows["a"]) | set(rows["b"]))
         used: dict[int, int] = {}
         kept = []
         for i, (a, b) in enumerate(zip(rows["a"], rows["b"], strict=True)):
-            if len(kept) >= 4 * number:
-                break
-            if used.get(a, 0) >= per_photo and used.get(b, 0) >= per_photo:
-                continue
-            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-            kept.append(i)
+            if used.get(a, 0) < per_photo or used.get(b, 0) < per_photo:
+                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+                kept.append(i)
         return rows.iloc[kept][["a", "b", "overlap"]]
 
-    return overlaps.select("a", "b", "overlap", F.lit(0).alias("one")).groupBy("one").applyInPandas(walk, "a long, b long, overlap double")
+    ends = overlaps.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    labels = graph.components(ends, overlaps).toDF("a", "component")
+    taken = overlaps.join(labels, "a").select("a", "b", "overlap", "component").groupBy("component").applyInPandas(walk, "a long, b long, overlap double")
+    limit = 4 * (photos if photos is not None else ends.count())
+    return taken.orderBy(F.desc("overlap"), "a", "b").limit(limit)
+
+
+def _box_cells(shapes: DataFrame, cell: float) -> DataFrame:
+    """Shapes (id, points) with their box, once for each grid cell that it meets."""
+    end = lambda f, k: F.aggregate("points", F.lit(None).cast("double"), lambda s, p: f(s, p[k]))  # noqa: E731  nulls are skipped
+    boxed = shapes.select("id", "points", end(F.least, "x").alias("x0"), end(F.least, "y").alias("y0"), end(F.greatest, "x").alias("x1"), end(F.greatest, "y").alias("y1"))
+    return boxed.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
+
+
+def overlapping(shapes: DataFrame, cell: float, least: float = 0.05) -> DataFrame:
+    """(a, b, share) of convex shapes (id, points) that cover each other by more than ``least`` of the smaller's area.
+
+    Boxes meet in grid cells of about a shape's size; a pair goes on from the cell of its boxes' common corner only, and is
+    then clipped.
+    """
+    celled = _box_cells(shapes, cell)
+    a, b = (celled.select("gx", "gy", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "points", "x0", "y0", "x1", "y1"))) for s in "ab")
+    left, top = F.greatest("x0_a", "x0_b"), F.greatest("y0_a", "y0_b")
+    own = (F.floor(left / cell) == F.col("gx")) & (F.floor(top / cell) == F.col("gy"))
+    meet = (F.col("id_a") < F.col("id_b")) & (left < F.least("x1_a", "x1_b")) & (top < F.least("y1_a", "y1_b"))
+    both = a.join(b, ["gx", "gy"]).where(own & meet)
+    smaller = F.least(F.abs(C.signed_area(F.col("points_a"))), F.abs(C.signed_area(F.col("points_b"))))
+    share = F.abs(C.signed_area(C.clipped(F.col("points_a"), F.col("points_b")))) / F.greatest(smaller, F.lit(1e-9))
+    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), share.alias("share")).where(F.col("share") > least)
+
+
+def near_axes(axes: DataFrame) -> DataFrame:
+    """(a, b, score) of optical axes (id, x, y, z, half) that lie nearer than their half fields of view together.
+
+    Axes meet in cells of space as wide as the largest reach, so the cells follow the data.
+    """
+    widest = axes.agg((2 * F.max("half")).alias("reach"))  # one row
+    chord = F.greatest(2 * F.sin(F.least(F.col("reach"), F.lit(3.141592653589793)) / 2), F.lit(1e-6))
+    sized = axes.join(F.broadcast(widest)).withColumn("cell", chord)
+    at = lambda k: F.floor(F.col(k) / F.col("cell"))
+    home = sized.select(F.col("id").alias("b"), *(F.col(k).alias(f"{k}b") for k in ("x", "y", "z", "half")), *(at(k).alias(f"g{k}") for k in "xyz"))
+    away = sized.select(F.col("id").alias("a"), *(F.col(k).alias(f"{k}a") for k in ("x", "y", "z", "half")), *(at(k).alias(f"g{k}") for k in "xyz"))
+    for k in "xyz":
+        away = away.withColumn(f"g{k}", F.explode(F.sequence(F.col(f"g{k}") - 1, F.col(f"g{k}") + 1)))
+    both = away.join(home, ["gx", "gy", "gz"]).where("a < b")
+    dot = F.col("xa") * F.col("xb") + F.col("ya") * F.col("yb") + F.col("za") * F.col("zb")
+    angle, reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))), F.col("halfa") + F.col("halfb")
+    return both.where(angle < reach).select("a", "b", (1 - angle / reach).alias("score"))
+
+
+def nearest_line(asked: DataFrame, lines: DataFrame, radius: float) -> DataFrame:
+    """(q, a, b, distance): for each point (q, x, y) the nearest line (a, b, x0, y0, x1, y1) within ``radius``.
+
+    A line stands in the cells of its box widened by the radius; points look into their own.
+    """
+    widened = lines.withColumn("gx", F.explode(F.sequence(F.floor((F.least("x0", "x1") - radius) / (2 * radius)), F.floor((F.greatest("x0", "x1") + radius) / (2 * radius)))))
+    widened = widened.withColumn("gy", F.explode(F.sequence(F.floor((F.least("y0", "y1") - radius) / (2 * radius)), F.floor((F.greatest("y0", "y1") + radius) / (2 * radius)))))
+    homes = asked.withColumns({"gx": F.floor(F.col("x") / (2 * radius)), "gy": F.floor(F.col("y") / (2 * radius))})
+    both = homes.join(widened, ["gx", "gy"])
+    u, v = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    along = F.when(u * u + v * v > 0, ((F.col("x") - F.col("x0")) * u + (F.col("y") - F.col("y0")) * v) / (u * u + v * v)).otherwise(0.0)
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    distance = F.sqrt((F.col("x") - F.col("x0") - s * u) ** 2 + (F.col("y") - F.col("y0") - s * v) ** 2)
+    near = both.withColumn("distance", distance).where(F.col("distance") <= radius)
+    return near.groupBy("q").agg(F.min(F.struct(F.round("distance", 9).alias("distance"), "a", "b")).alias("best")).select("q", "best.a", "best.b", "best.distance")
+
+
+def closest_distance(points: DataFrame) -> DataFrame:
+    """One row: the least distance of two of (id, x, y), null for fewer than two.
+
+    Cells start at the mean spacing and are doubled until a pair in neighbouring cells is no further apart than a cell is
+    wide: no other pair can then be nearer. The first round nearly always is the last.
+    """
+    spark = points.sparkSession
+    box = points.agg(F.count("*").alias("n"), *(f(k).alias(f"{k}{i}") for k in ("x", "y") for i, f in enumerate((F.min, F.max)))).first()
+    if box["n"] < 2:
+        return spark.createDataFrame([(None,)], "distance double")
+    wide = max(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    cell = max(wide / box["n"] ** 0.5, 1e-9)
+    while True:
+        placed = points.withColumns({"gx": F.floor((F.col("x") - box["x0"]) / cell), "gy": F.floor((F.col("y") - box["y0"]) / cell)})
+        away = placed.withColumn("gx", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1))).withColumn("gy", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)))
+        both = away.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "gx", "gy").join(placed.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "gx", "gy"), ["gx", "gy"]).where("i < j")
+        least = both.agg(F.min(F.sqrt((F.col("xi") - F.col("xj")) ** 2 + (F.col("yi") - F.col("yj")) ** 2)).alias("distance")).first()["distance"]
+        if least is not None and least <= cell or cell > wide:
+            return spark.createDataFrame([(least,)], "distance double")
+        cell *= 2

@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import numbered
 from tessella.runtime import checkpointed
 
 
@@ -29,7 +30,8 @@ def least_reachable(edges: DataFrame) -> DataFrame:
     return now
 
 
-#: Photo graphs of up to so many edges, a few MB, are searched on the driver; larger ones by joins.
+#: Photo graphs of up to so many edges, a few MB, are searched on the driver; larger ones by joins, with the same result.
+#: A project's graph is that small, and rounds of joins cost some seconds whatever their rows (see the README's figures).
 SMALL = 100_000
 
 
@@ -77,8 +79,8 @@ def ordered_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, place, members, size, strength): by size, then the sum of inliers, then the least member."""
     strength = edges.join(labels.toDF("a", "component"), "a").groupBy("component").agg(F.sum("inliers").alias("strength"))
     grouped = labels.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"), F.count("*").alias("size"))
-    by = Window.orderBy(F.desc("size"), F.desc("strength"), "component")
-    return grouped.join(strength, "component", "left").withColumn("strength", F.coalesce("strength", F.lit(0))).withColumn("place", F.row_number().over(by) - 1)
+    both = grouped.join(strength, "component", "left").withColumn("strength", F.coalesce("strength", F.lit(0)))
+    return numbered(both, [-F.col("size"), -F.col("strength"), F.col("component")])
 
 
 def distances(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -118,20 +120,58 @@ def degrees(edges: DataFrame, weight: str = "inliers") -> DataFrame:
 
 
 def breadth_first(edges: DataFrame, start: int, count: int) -> list[int]:
-    """The first ``count`` vertices from ``start``, strongest links first; edges of one photo graph."""
-    near: dict[int, list[tuple[float, int]]] = {}
-    for r in edges.select("a", "b", "weight").collect():  # one row per verified pair of a project
-        near.setdefault(r["a"], []).append((-r["weight"], r["b"]))
-        near.setdefault(r["b"], []).append((-r["weight"], r["a"]))
-    seen, queue = [start], [start]
-    while queue and len(seen) < count:
-        for _, other in sorted(near.get(queue.pop(0), [])):
-            if other not in seen and len(seen) < count:
-                seen.append(other)
-                queue.append(other)
+    """The first ``count`` vertices from ``start``, strongest links first.
+
+    The front of each round asks for its neighbours, ``2 * count`` of each vertex at most: no more can be new.
+    """
+    ways = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
+    seen, front = [start], [start]
+    while front and len(seen) < count:
+        turn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "other"))
+        near: dict[int, list[int]] = {}
+        asked = ways.where(F.col("id").isin(front)).groupBy("id", "other").agg(F.max("weight").alias("weight")).withColumn("turn", turn)
+        for r in asked.where(F.col("turn") <= 2 * count).orderBy("id", "turn").collect():
+            near.setdefault(r["id"], []).append(r["other"])
+        new = []
+        for x in front:
+            new += [other for other in near.get(x, []) if other not in seen and other not in new]
+        front = new[: count - len(seen)]
+        seen += front
     return seen
 
 
+def still_joined(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Those of ``chosen`` (a, b) whose ends hang together without them; a front for each, all fronts at once."""
+    ways = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    front = checkpointed(chosen.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("a").alias("id")).distinct())
+    seen = front
+    while not front.isEmpty():
+        own = ((F.col("a") == F.col("ea")) & (F.col("b") == F.col("eb"))) | ((F.col("a") == F.col("eb")) & (F.col("b") == F.col("ea")))
+        step = front.join(ways, F.col("id") == F.col("a")).where(~own).select("ea", "eb", F.col("b").alias("id")).distinct()
+        front = checkpointed(step.join(seen, ["ea", "eb", "id"], "left_anti"))
+        seen = checkpointed(seen.unionByName(front))
+    return seen.where("id = eb").select(F.col("ea").alias("a"), F.col("eb").alias("b")).distinct()
+
+
+def offenders(links: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """(a, b, error) of links whose error exceeds three upper medians, the threshold and half of the worst, and without
+    which their ends still hang together."""
+    stats = links.agg(F.expr("percentile_disc(0.5D) WITHIN GROUP (ORDER BY error DESC)").alias("middle"), F.max("error").alias("worst"))  # one row
+    far = checkpointed(links.join(F.broadcast(stats)).where(F.col("error") > F.greatest(3 * F.col("middle"), F.lit(threshold), F.col("worst") / 2)).select("a", "b", "error"))
+    return far.join(still_joined(links, far), ["a", "b"])
+
+
+def closing(triangles_: DataFrame, shifts: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """(i, j, k, closes) of triangles whose links have shifts (a, b, dx, dy): whether the way round ends where it began.
+
+    The three ways round have the same error where maps are shifts; it must be within eight thresholds.
+    """
+    side = lambda p, q, n: shifts.toDF(p, q, f"x{n}", f"y{n}")
+    rows = triangles_.join(side("i", "j", 1), ["i", "j"]).join(side("j", "k", 2), ["j", "k"]).join(side("i", "k", 3), ["i", "k"])
+    off = F.sqrt((F.col("x1") + F.col("x2") - F.col("x3")) ** 2 + (F.col("y1") + F.col("y2") - F.col("y3")) ** 2)
+    return rows.select("i", "j", "k", (off <= 8 * threshold).alias("closes"))
+
+
 def loop_votes(triangles_: DataFrame, closes: str = "closes") -> DataFrame:
     """(a, b, agree, disagree): how many triangles with each side close, and how many do not."""
     sides = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("k").alias("b")), F.struct(F.col("i").alias("a"), F.col("k").alias("b")))

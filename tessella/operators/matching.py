@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import DEFAULTS
 
+BLOCK = 8192  # descriptors of one image that travel together; a photo has 6000 at most
 _BLOCK = 512
 _LISTED = 16_384  # distances taken by subtraction at a time
 
@@ -71,30 +72,69 @@ def match_pair(a: np.ndarray, b: np.ndarray, ratio: float, mutual: bool) -> tupl
     return usable_a[rows], usable_b[best[rows]], 1 - first[rows] / second[rows]
 
 
-def descriptor_join(descriptors: DataFrame, pairs: DataFrame | None = None, ratio: float = DEFAULTS.ratio, mutual: bool = DEFAULTS.mutual) -> DataFrame:
+def descriptor_join(descriptors: DataFrame, pairs: DataFrame | None = None, ratio: float = DEFAULTS.ratio, mutual: bool = DEFAULTS.mutual, block: int = BLOCK) -> DataFrame:
     """(a, b, ia, ib, score): matches of descriptors (image, idx, vec) between the images of ``pairs``.
 
-    An image's descriptors travel as one row to each pair that compares it; the pairs spread over
-    the cluster, so work follows the number of pairs and memory that of two images.
+    Descriptors travel in packed blocks of at most ``block`` to the pairs of blocks that meet, so work
+    follows the number of pairs and memory that of two blocks. Where every image is one block, as a
+    photo is, its pair is finished at once; else each row's two nearest in every block of the other
+    image are brought together again.
     """
-    packed = descriptors.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("idx", "vec"))).alias("d"))
+    finite = descriptors.where(F.forall("vec", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    counts = descriptors.groupBy("image").agg(F.count("*").alias("n"))
+    pairs = all_pairs(counts.select("image")) if pairs is None else pairs.select("a", "b").distinct()
+    many = (counts.agg(F.max("n")).first()[0] or 0) > block
+    if many:
+        turn = F.row_number().over(Window.partitionBy("image").orderBy("idx")) - 1
+        given = finite.withColumn("block", F.floor(turn / block))
+    else:
+        given = descriptors.withColumn("block", F.lit(0).cast("long"))
+    packed = given.groupBy("image", "block").agg(F.sort_array(F.collect_list(F.struct("idx", "vec"))).alias("d")).drop("block")
     packed = packed.select("image", F.col("d.idx").alias("idx"), F.flatten("d.vec").alias("flat"))
-    pairs = all_pairs(packed) if pairs is None else pairs.select("a", "b").distinct()
     left, right = packed.toDF("a", "ids_a", "flat_a"), packed.toDF("b", "ids_b", "flat_b")
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ids_a", "flat_a", "ids_b", "flat_b")
+    kind = rows.schema["a"].dataType.simpleString()
+    if not many:
+        return rows.mapInArrow(_each_pair(lambda x, y: match_pair(x, y, ratio, mutual)), f"a {kind}, b {kind}, ia long, ib long, score double")
+    found = rows.mapInArrow(_each_pair(_both_nearest), f"a {kind}, b {kind}, ia long, ib long, first double, second double, forward boolean")
+    best = F.min(F.struct("first", "other")).alias("best")
+    ahead = found.where("forward").select("a", "b", "ia", F.col("ib").alias("other"), "first", "second").groupBy("a", "b", "ia").agg(best, F.element_at(F.array_sort(F.flatten(F.collect_list(F.array("first", "second")))), 2).alias("second"))
+    ahead = ahead.select("a", "b", "ia", F.col("best.other").alias("ib"), F.sqrt("best.first").alias("first"), F.sqrt("second").alias("second"))
+    good = ahead.where((F.col("second") > 0) & (F.col("second") < float("inf")) & (F.col("first") < ratio * F.col("second")))
+    if mutual:
+        back = found.where("NOT forward").select("a", "b", "ib", F.col("ia").alias("other"), "first").groupBy("a", "b", "ib").agg(best)
+        good = good.join(back.select("a", "b", "ib", F.col("best.other").alias("ia")), ["a", "b", "ia", "ib"], "left_semi")
+    return good.select("a", "b", "ia", "ib", (1 - F.col("first") / F.col("second")).alias("score"))
+
 
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _each_pair(kernel):
+    """Rows (a, b, ids and vectors of either) to the rows that ``kernel`` finds, its indices turned into ids."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids_a, flat_a, ids_b, flat_b = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(2, 6))
                 x, y = flat_a.astype(np.float64).reshape(len(ids_a), -1), flat_b.astype(np.float64).reshape(len(ids_b), -1)
-                ra, rb, score = match_pair(x, y, ratio, mutual)
-                many = len(ra)
-                ends = [pa.array([batch.column(k)[i].as_py()] * many, batch.schema.field(k).type) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ends, pa.array(ids_a[ra]).cast(pa.int64()), pa.array(ids_b[rb]).cast(pa.int64()), pa.array(score)], names=["a", "b", "ia", "ib", "score"])
+                ra, rb, *others = kernel(x, y)
+                ends = [pa.array([batch.column(k)[i].as_py()] * len(ra), batch.schema.field(k).type) for k in (0, 1)]
+                names = ["a", "b", "ia", "ib", *(["score"] if len(others) == 1 else ["first", "second", "forward"])]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(ids_a[ra]).cast(pa.int64()), pa.array(ids_b[rb]).cast(pa.int64()), *map(pa.array, others)], names=names)
 
-    kind = rows.schema["a"].dataType.simpleString()
-    return rows.mapInArrow(matched, f"a {kind}, b {kind}, ia long, ib long, score double")
+    return made
+
+
+def _both_nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each row of ``a`` its nearest of ``b`` and two least squared distances, then the other way round."""
+
+    def one_way(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(y) == 1:
+            return np.zeros(len(x), np.int64), ((x - y) ** 2).sum(axis=1), np.full(len(x), np.inf)
+        return nearest(x, y)
+
+    to, first, second = one_way(a, b)
+    back, first_back, second_back = one_way(b, a)
+    forward = np.concatenate([np.ones(len(a), bool), np.zeros(len(b), bool)])
+    return np.concatenate([np.arange(len(a)), back]), np.concatenate([to, np.arange(len(b))]), np.concatenate([first, first_back]), np.concatenate([second, second_back]), forward
 
 
 def affinity(descriptors: DataFrame, ratio: float = DEFAULTS.ratio, mutual: bool = True) -> DataFrame:

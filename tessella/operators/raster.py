@@ -230,11 +230,18 @@ def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     return float(dx - w if dx > w / 2 else dx), float(dy - h if dy > h / 2 else dy), float(surface[y, x])
 
 
-def circular_gap(yaws: DataFrame) -> DataFrame:
-    """One row (gap, extent, middle) of angles (id, yaw) in degrees: the widest empty arc, and the rest."""
-    order = Window.orderBy("yaw")
-    rows = yaws.withColumns({"before": F.lag("yaw").over(order), "last": F.max("yaw").over(Window.partitionBy(F.lit(1)))})
-    gap = F.col("yaw") - F.coalesce(F.col("before"), F.col("last") - 360)
-    best = rows.withColumn("gap", gap).agg(F.max_by(F.struct("gap", "yaw"), F.struct("gap", -F.col("yaw"))).alias("g"))
+def bilinear(pixels: DataFrame, asked: DataFrame) -> DataFrame:
+    """(image, q, value) of pixels (image, y, x, value) at points (image, q, x, y): each asks for the pixels around it."""
+    at = asked.select("image", "q", F.col("x").alias("px"), F.col("y").alias("py"))
+    near = at.withColumn("x", F.explode(F.array(F.floor("px"), F.floor("px") + 1))).withColumn("y", F.explode(F.array(F.floor("py"), F.floor("py") + 1)))
+    weight = (1 - F.abs(F.col("px") - F.col("x"))) * (1 - F.abs(F.col("py") - F.col("y")))
+    return near.withColumn("weight", weight).join(pixels, ["image", "y", "x"]).groupBy("image", "q").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+
+
+def circular_gap(yaws: DataFrame, group: str = "project") -> DataFrame:
+    """(group, gap, extent, middle) of angles (group, yaw) in degrees: each project's widest empty arc, and the rest."""
+    rows = yaws.withColumn("before", F.lag("yaw").over(Window.partitionBy(group).orderBy("yaw")))
+    last = F.max("yaw").over(Window.partitionBy(group))
+    best = rows.withColumn("gap", F.col("yaw") - F.coalesce(F.col("before"), last - 360)).groupBy(group).agg(F.max_by(F.struct("gap", "yaw"), F.struct("gap", -F.col("yaw"))).alias("g"))
     extent = 360 - F.col("g.gap")
-    return best.select(F.col("g.gap").alias("gap"), extent.alias("extent"), F.pmod(F.col("g.yaw") + extent / 2, F.lit(360.0)).alias("middle"))
+    return best.select(group, F.col("g.gap").alias("gap"), extent.alias("extent"), F.pmod(F.col("g.yaw") + extent / 2, F.lit(360.0)).alias("middle"))

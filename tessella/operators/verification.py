@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import DEFAULTS, MODELS, MODES, Analysis
 from tessella.functions import models, polygons
+from tessella.functions.columns import finite, focal_prior, jacobian, singular_values
 
 VERDICT_FIELDS = (
     "a long, b long, source string, model string, transform array<double>, inliers array<int>, rmse double, median_error double, "
@@ -159,6 +160,55 @@ def stratified(matches: DataFrame, cap: int = DEFAULTS.match_cap, grid: int = DE
 
 
 def upper_median(values: str) -> Column:
-    """The element at position n/2 of the sorted values: no interpolation."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
+    """The element at position n/2 of the sorted values: no interpolation. Counts by value are combined, not lists.
+
+    The half-way value from above: for an even number the upper of the two in the middle.
+    """
+    return F.expr(f"percentile_disc(0.5D) WITHIN GROUP (ORDER BY `{values}` DESC)")
+
+
+def plausible(t: Column, width: Column, height: Column, long_a: Column, long_b: Column) -> Column:
+    """Whether a planar map keeps orientation, hardly shears at the photo's middle, and scales by less than three."""
+    a, b, c, d = jacobian(t, width / 2.0, height / 2.0)
+    large, small = singular_values(a, b, c, d)
+    relative = F.sqrt(F.abs(a * d - b * c)) * long_a / long_b
+    return F.coalesce((a * d - b * c > 0) & (large < 2 * small) & (relative > 1 / 3) & (relative < 3), F.lit(False))
+
+
+def trimmed(matches: DataFrame, group: str, least: int = 8, most_gone: float = 0.3) -> DataFrame:
+    """(group, pair, left) of matches (group, pair, error) within three upper medians, two pixels at least.
+
+    A pair stays if it keeps ``least`` matches, or all of its own; a group of which nothing or more than
+    ``most_gone`` would go is left as it is and gives no rows. Whether the rest still hangs together is the caller's to ask.
+    """
+    limits = matches.groupBy(group).agg(F.greatest(3 * upper_median("error"), F.lit(2.0)).alias("limit"), F.count("*").alias("number"))
+    pairs = matches.join(limits, group).groupBy(group, "pair", "number").agg(F.count("*").alias("own"), F.count_if(F.col("error") <= F.col("limit")).alias("left"))
+    kept = pairs.where(F.col("left") >= F.least(F.lit(least), F.col("own")))
+    gone = kept.groupBy(group, "number").agg((F.col("number") - F.sum("left")).alias("gone")).where((F.col("gone") > 0) & (F.col("gone") <= most_gone * F.col("number")))
+    return kept.join(gone.select(group), group).select(group, "pair", "left")
+
+
+def focals_usable(focals: DataFrame, group: str, least: float = 0.67, most: float = 1.5, apart: float = 1.05) -> DataFrame:
+    """(group, usable) of (group, focal, prior, trusted, exif): all finite and above zero, the upper median near a trusted
+    prior, and alike where they come from EXIF."""
+    got = focals.groupBy(group).agg(
+        F.bool_and(finite(F.col("focal")) & (F.col("focal") > 0)).alias("sound"), upper_median("focal").alias("middle"), F.max("prior").alias("prior"),
+        F.bool_and("trusted").alias("trusted"), F.bool_and("exif").alias("exif"), (F.max("focal") <= apart * F.min("focal")).alias("alike"),
+    )
+    near = ~F.col("trusted") | F.col("middle").between(least * F.col("prior"), most * F.col("prior"))
+    return got.select(group, (F.col("sound") & near & (~F.col("exif") | F.col("alike"))).alias("usable"))
+
+
+def focal_priors(photos: DataFrame, group: str) -> DataFrame:
+    """(group, id, focal): by EXIF where all photos of the group have it, else the upper median of the focal lengths that
+    homographies give and that see more than 5 and less than 150 degrees, else a view of 72 degrees.
+
+    ``photos``: group, id, f35, width, height, from_homography (null where there is none).
+    """
+    longest = F.greatest("width", "height")
+    view = 2 * F.degrees(F.atan(longest / (2 * F.col("from_homography"))))
+    rows = photos.withColumn("seen", F.when((view > 5) & (view < 150), F.col("from_homography")))
+    known = rows.groupBy(group).agg(F.bool_and(F.col("f35").isNotNull()).alias("every"), upper_median("seen").alias("middle"))
+    fallback = longest / (2 * F.tan(F.radians(F.lit(36.0))))
+    focal = F.when(F.col("every"), focal_prior(F.col("f35"), F.col("width"), F.col("height"))).otherwise(F.coalesce("middle", fallback))
+    return rows.join(known, group).select(group, "id", focal.alias("focal"))

@@ -15,10 +15,12 @@ INPUTS = {
     "evidence": """SELECT o_orderkey AS seq, least(o_custkey % 40, o_orderkey % 40) AS a, greatest(o_custkey % 40, o_orderkey % 40) AS b,
         CAST(floor(o_totalprice) AS BIGINT) % 97 AS inliers, o_orderstatus = 'F' AS verified, o_orderpriority AS source
         FROM {orders} WHERE o_custkey % 40 <> o_orderkey % 40""",
+    # groups of sixteen in a ring with chords, and one photo alone after each; every supplier takes part
     "links": """SELECT least(x, y) AS a, greatest(x, y) AS b, max(inliers) AS inliers FROM (
-        SELECT s_suppkey AS x, (s_suppkey * 7 + 3) % (SELECT count(*) FROM {supplier}) AS y, CAST(floor(s_acctbal) AS BIGINT) % 97 AS inliers, s_acctbal FROM {supplier}
-        UNION ALL SELECT s_suppkey, (s_suppkey + 1) % (SELECT count(*) FROM {supplier}), CAST(floor(s_acctbal) AS BIGINT) % 89, 10000 - s_acctbal FROM {supplier}) AS w
-        WHERE x <> y AND s_acctbal > 4000 GROUP BY 1, 2""",
+        SELECT x, least(CASE WHEN x % 17 = 16 THEN x ELSE x - x % 17 + (x % 17 * k + d) % 16 END, last) AS y, abs(CAST(floor(s_acctbal) AS BIGINT)) % m AS inliers
+        FROM (SELECT s_suppkey AS x, s_acctbal, (SELECT max(s_suppkey) FROM {supplier}) AS last FROM {supplier}) AS s
+        CROSS JOIN (SELECT 1 AS k, 1 AS d, 97 AS m UNION ALL SELECT 1, 2, 89 UNION ALL SELECT 7, 3, 61) AS steps) AS w
+        WHERE x <> y GROUP BY 1, 2""",
     "vertices": "SELECT s_suppkey AS id FROM {supplier}",
     "matches": """SELECT l_suppkey % 12 AS pair, l_orderkey * 8 + l_linenumber AS idx, l_quantity * 20 AS ax, CAST(l_partkey % 97 AS DOUBLE) * 8 AS ay,
         l_quantity * 20 + l_discount * 100 AS bx, CAST(l_partkey % 97 AS DOUBLE) * 8 + l_tax * 100 AS by_, l_extendedprice AS sigma, l_discount AS score,

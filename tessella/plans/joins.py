@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import DEFAULTS
 from tessella.functions import columns as C
-from tessella.operators import candidates, matching
+from tessella.operators import candidates, matching, verification
 from tessella.plans.inputs import given, over
 from tessella.runtime import table
 
@@ -53,36 +53,30 @@ def j6_untried(spark, sf_dir):
 CELL = 50
 
 
+def _shapes(spark, sf_dir) -> DataFrame:
+    """Tilted four-cornered shapes (id, points)."""
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, w, h = (F.col(k) for k in ("x0", "y0", "w", "h"))
+    return given(spark, sf_dir, "boxes").select("id", F.array(corner(x0, y0), corner(x0 + w, y0 + 3), corner(x0 + w + 2, y0 + h), corner(x0 + 1, y0 + h - 2)).alias("points"))
+
+
 def j7_box_overlap(spark, sf_dir):
-    """Boxes meet in grid cells; a pair is reported from the cell of its overlap's corner only."""
-    boxes = given(spark, sf_dir, "boxes")
-    celled = boxes.withColumns({
-        "cx": F.explode(F.sequence(F.floor(F.col("x0") / CELL), F.floor((F.col("x0") + F.col("w")) / CELL))),
-    }).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / CELL), F.floor((F.col("y0") + F.col("h")) / CELL))))
-    a, b = (celled.select("cx", "cy", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "x0", "y0", "w", "h"))) for s in "ab")
-    both = a.join(b, ["cx", "cy"]).where("id_a < id_b")
-    left, top = F.greatest("x0_a", "x0_b"), F.greatest("y0_a", "y0_b")
-    right, low = F.least(F.col("x0_a") + F.col("w_a"), F.col("x0_b") + F.col("w_b")), F.least(F.col("y0_a") + F.col("h_a"), F.col("y0_b") + F.col("h_b"))
-    share = (right - left) * (low - top) / F.least(F.col("w_a") * F.col("h_a"), F.col("w_b") * F.col("h_b"))
-    own = (F.floor(left / CELL) == F.col("cx")) & (F.floor(top / CELL) == F.col("cy"))
-    return both.where((right > left) & (low > top) & own).withColumn("share", F.round(share, 6)).where(share > 0.05).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "share")
+    """Convex shapes that lie over each other."""
+    return candidates.overlapping(_shapes(spark, sf_dir), CELL).select("a", "b", F.round("share", 6).alias("share"))
 
 
 def j8_near_axes(spark, sf_dir):
-    """Optical axes nearer than their half fields of view together; cells of one degree of yaw join first."""
-    p = given(spark, sf_dir, "photos").select("id", (F.col("id") * 37 % 360).cast("double").alias("yaw"), (F.lit(5.0) + F.col("id") % 7).alias("half"))
-    near = p.withColumn("cell", F.explode(F.sequence(F.floor(F.col("yaw") / 24) - 1, F.floor(F.col("yaw") / 24) + 1))).withColumn("cell", F.pmod("cell", F.lit(15)))
-    home = p.withColumn("cell", F.floor(F.col("yaw") / 24))
-    both = near.toDF("a", "ya", "ha", "cell").join(home.toDF("b", "yb", "hb", "cell"), "cell").where("a < b")
-    turn = F.abs(F.col("ya") - F.col("yb"))
-    angle = F.least(turn, 360 - turn)
-    return both.where(angle < F.col("ha") + F.col("hb")).select("a", "b", F.round(1 - angle / (F.col("ha") + F.col("hb")), 6).alias("score"))
+    """Optical axes nearer than their half fields of view together, by yaw and pitch."""
+    p = given(spark, sf_dir, "photos").select("id", F.radians(F.col("id") * 37 % 360).alias("yaw"), F.radians(F.col("id") * 11 % 41 - 20).alias("pitch"), F.radians(5.0 + F.col("id") % 7).alias("half"))
+    axes = p.select("id", (F.sin("yaw") * F.cos("pitch")).alias("x"), F.sin("pitch").alias("y"), (F.cos("yaw") * F.cos("pitch")).alias("z"), "half")
+    return candidates.near_axes(axes).select("a", "b", F.round("score", 5).alias("score"))
 
 
 def j10_best_evidence_lookup(spark, sf_dir):
+    """The best evidence of pairs asked for in either order."""
     asked = given(spark, sf_dir, "links").select(F.col("b").alias("p"), F.col("a").alias("q"))
-    e = given(spark, sf_dir, "evidence").where("source = '1-URGENT'").groupBy("a", "b").agg(F.max("inliers").alias("inliers"))
-    return asked.join(e, (F.least("p", "q") == e["a"]) & (F.greatest("p", "q") == e["b"])).select("p", "q", "inliers")
+    best = verification.best_evidence(given(spark, sf_dir, "evidence")).select("a", "b", "source", "verified", F.col("inliers").alias("inliers"))
+    return asked.join(best, (F.least("p", "q") == best["a"]) & (F.greatest("p", "q") == best["b"])).select("p", "q", "source", "verified", "inliers")
 
 
 def j11_oriented_evidence(spark, sf_dir):
@@ -113,13 +107,28 @@ def j14_smallest_outline(spark, sf_dir):
     return inside.groupBy("q").agg(F.min_by("id", F.struct(F.abs(C.signed_area(F.col("points"))), "id")).alias("id"))
 
 
+def j13_nearest_edge(spark, sf_dir):
+    """For each query point the nearest link within 30, links being drawn between their photos' places."""
+    at = given(spark, sf_dir, "vertices").select("id", (F.col("id") * 29 % 400).cast("double").alias("x"), (F.col("id") * 13 % 300).cast("double").alias("y"))
+    lines = given(spark, sf_dir, "links").select("a", "b").join(at.toDF("a", "x0", "y0"), "a").join(at.toDF("b", "x1", "y1"), "b")
+    asked = given(spark, sf_dir, "photos").select(F.col("id").alias("q"), (F.col("id") * 31 % 400).cast("double").alias("x"), (F.col("id") * 17 % 300).cast("double").alias("y"))
+    return candidates.nearest_line(asked, lines, 30).select("q", "a", "b", F.round("distance", 6).alias("distance"))
+
+
+def j13_nearest_match(spark, sf_dir):
+    """For each pair and cursor the nearest match within 12 of it."""
+    m = given(spark, sf_dir, "matches").select("pair", "idx", F.col("ax").alias("mx"), F.col("ay").alias("my"), F.floor(F.col("ax") / 12).alias("gx"), F.floor(F.col("ay") / 12).alias("gy"))
+    asked = m.select("pair").distinct().withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(19)))).select("pair", "q", (F.col("q") * 53 % 1000).cast("double").alias("x"), (F.col("q") * 37 % 700).cast("double").alias("y"))
+    around = lambda v: F.explode(F.sequence(F.floor(F.col(v) / 12) - 1, F.floor(F.col(v) / 12) + 1))
+    near = asked.withColumn("gx", around("x")).withColumn("gy", around("y")).join(m, ["pair", "gx", "gy"])
+    d = F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2)
+    return near.withColumn("d", d).where("d <= 12").groupBy("pair", "q").agg(F.min_by("idx", F.struct("d", "idx")).alias("idx"))
+
+
 def j15_closest_distance(spark, sf_dir):
-    """The least distance of two centres: each meets those in its own and neighbouring cells; cells of 60 hold it."""
+    """The least distance of two centres, however far apart they lie."""
     c = given(spark, sf_dir, "boxes").select("id", (F.col("x0") + F.col("w") / 2).alias("x"), (F.col("y0") + F.col("h") / 2).alias("y"))
-    cell = c.withColumns({"gx": F.floor(F.col("x") / 60), "gy": F.floor(F.col("y") / 60)})
-    near = cell.withColumn("gx", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1))).withColumn("gy", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)))
-    both = near.toDF("i", "xi", "yi", "gx", "gy").join(cell.toDF("j", "xj", "yj", "gx", "gy"), ["gx", "gy"]).where("i < j")
-    return both.agg(F.round(F.min(F.sqrt((F.col("xi") - F.col("xj")) ** 2 + (F.col("yi") - F.col("yj")) ** 2)), 6).alias("distance"))
+    return candidates.closest_distance(c).select(F.round("distance", 6).alias("distance"))
 
 
 def a1_affinity(spark, sf_dir):
@@ -183,8 +192,16 @@ def t_of():
 
 
 p2_sift_rescale = _column_query("matches", "idx", lambda: F.round(C.rescaled(c("ax"), F.lit(1.5)), 6).alias("x"), lambda: F.round(C.rescaled(c("ay"), F.lit(1.5)), 6).alias("y"))
-p3_learned_rescale = _column_query("matches", "idx", lambda: F.round((c("ax") - 500) * (1 + 0.42 / 500) + 500, 6).alias("x"))
-p5_normalised = _column_query("photos", "id", lambda: F.round((c("id") - c("width") / 2) / (F.greatest("width", "height") / 2), 6).alias("x"))
+p3_learned_rescale = _column_query("matches", "idx", lambda: F.round(C.learned_rescaled(c("ax"), 512), 6).alias("x"), lambda: F.round(C.learned_rescaled(c("ay"), 384), 6).alias("y"))
+
+
+def p5_normalised(spark, sf_dir):
+    """Keypoints of matches about the middle of their photo."""
+    size = given(spark, sf_dir, "photos").select(c("id").alias("pair"), "width", "height")
+    x, y = C.normalised(c("ax"), c("ay"), c("width"), c("height"))
+    return given(spark, sf_dir, "matches").join(size, "pair").select("idx", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
 p9_canvas = _column_query("photos", "id", lambda: F.when(c("width") >= c("height"), "landscape").otherwise("portrait").alias("canvas"), lambda: F.round(F.least(F.when(c("width") >= c("height"), 1024).otherwise(768) / c("width"), F.when(c("width") >= c("height"), 768).otherwise(1024) / c("height")), 9).alias("fit"))
 p10_threshold = _column_query("photos", "id", lambda: F.round(C.inlier_threshold(c("width"), c("height"), DEFAULTS.inlier_threshold), 6).alias("threshold"))
 p11_focal = _column_query("photos", "id", lambda: F.round(C.focal_prior(c("f35"), c("width"), c("height")), 6).alias("focal"))
@@ -242,13 +259,34 @@ ORACLES = {
     "j2_all_pairs": over("descriptors", "SELECT DISTINCT x.image AS a, y.image AS b FROM descriptors x JOIN descriptors y ON x.image < y.image"),
     "j3_pair_lookup": over("links photos", "SELECT l.a, l.b, p.name AS name_a, q.name AS name_b FROM links l JOIN photos p ON l.a = p.id JOIN photos q ON l.b = q.id"),
     "j6_untried": over("links", "SELECT a, b, inliers FROM links l WHERE NOT EXISTS (SELECT 1 FROM links t WHERE t.inliers > 50 AND t.a = l.a AND t.b = l.b)"),
-    "j7_box_overlap": over("boxes", """, p AS (SELECT a.id AS a, b.id AS b, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0) AS ow, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0) AS oh,
-        least(a.w * a.h, b.w * b.h) AS least_area FROM boxes a JOIN boxes b ON a.id < b.id)
-        SELECT a, b, round(ow * oh / least_area, 6) AS share FROM p WHERE ow > 0 AND oh > 0 AND ow * oh / least_area > 0.05"""),
-    "j8_near_axes": over("photos", """, p AS (SELECT id, (id * 37 % 360)::DOUBLE AS yaw, 5.0::DOUBLE + id % 7 AS half FROM photos),
-        q AS (SELECT a.id AS a, b.id AS b, least(abs(a.yaw - b.yaw), 360 - abs(a.yaw - b.yaw)) AS angle, a.half + b.half AS reach FROM p a JOIN p b ON a.id < b.id)
-        SELECT a, b, round(1 - angle / reach, 6) AS score FROM q WHERE angle < reach"""),
-    "j10_best_evidence_lookup": over("links evidence", "SELECT l.b AS p, l.a AS q, max(e.inliers) AS inliers FROM links l JOIN evidence e ON e.a = least(l.a, l.b) AND e.b = greatest(l.a, l.b) WHERE e.source = '1-URGENT' GROUP BY ALL"),
+    # the corners of a convex overlap are corners of one shape inside the other and crossings of their edges; in order of their angle they give its area
+    "j7_box_overlap": over("boxes", """, k AS (SELECT id, n, CASE n WHEN 0 THEN x0 WHEN 1 THEN x0 + w WHEN 2 THEN x0 + w + 2 ELSE x0 + 1 END AS x, CASE n WHEN 0 THEN y0 WHEN 1 THEN y0 + 3 WHEN 2 THEN y0 + h ELSE y0 + h - 2 END AS y FROM boxes, (SELECT unnest(range(4)) AS n)),
+        e AS (SELECT p.id, p.n, p.x, p.y, q.x AS u, q.y AS v FROM k p JOIN k q ON p.id = q.id AND q.n = (p.n + 1) % 4), areas AS (SELECT id, sum(x * v - u * y) / 2 AS area FROM e GROUP BY 1),
+        c AS (SELECT a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.id < b.id AND a.x0 < b.x0 + b.w + 2 AND b.x0 < a.x0 + a.w + 2 AND a.y0 < b.y0 + b.h AND b.y0 < a.y0 + a.h),
+        ways AS (SELECT a, b, a AS one, b AS other FROM c UNION ALL SELECT a, b, b, a FROM c),
+        inside AS (SELECT t.a, t.b, k.x, k.y FROM ways t JOIN k ON k.id = t.one JOIN e ON e.id = t.other GROUP BY t.a, t.b, t.one, k.n, k.x, k.y HAVING min((e.u - e.x) * (k.y - e.y) - (e.v - e.y) * (k.x - e.x)) >= 0),
+        d AS (SELECT c.a, c.b, p.x, p.y, p.u - p.x AS px, p.v - p.y AS py, q.x AS qx0, q.y AS qy0, q.u - q.x AS qx, q.v - q.y AS qy FROM c JOIN e p ON p.id = c.a JOIN e q ON q.id = c.b),
+        f AS (SELECT *, ((qx0 - x) * qy - (qy0 - y) * qx) / nullif(px * qy - py * qx, 0) AS s, ((qx0 - x) * py - (qy0 - y) * px) / nullif(px * qy - py * qx, 0) AS t FROM d),
+        pts AS (SELECT * FROM inside UNION ALL SELECT a, b, x + s * px, y + s * py FROM f WHERE s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1),
+        m AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy FROM pts WINDOW w AS (PARTITION BY a, b)), o AS (SELECT *, row_number() OVER w AS n, lead(x) OVER w AS u, lead(y) OVER w AS v, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy
+          FROM m WINDOW w AS (PARTITION BY a, b ORDER BY atan2(y - cy, x - cx), x, y)),
+        s AS (SELECT o.a, o.b, sum(x * coalesce(v, fy) - coalesce(u, fx) * y) / 2 AS area FROM o GROUP BY 1, 2)
+        SELECT s.a, s.b, round(s.area / least(p.area, q.area), 6) AS share FROM s JOIN areas p ON p.id = s.a JOIN areas q ON q.id = s.b WHERE s.area / least(p.area, q.area) > 0.05"""),
+    "j8_near_axes": over("photos", """, p AS (SELECT id, radians(id * 37 % 360) AS yaw, radians(id * 11 % 41 - 20) AS pitch, radians(5.0::DOUBLE + id % 7) AS half FROM photos),
+        q AS (SELECT a.id AS a, b.id AS b, acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, sin(a.pitch) * sin(b.pitch) + cos(a.pitch) * cos(b.pitch) * cos(a.yaw - b.yaw)))) AS angle, a.half + b.half AS reach FROM p a JOIN p b ON a.id < b.id)
+        SELECT a, b, round(1 - angle / reach, 5) AS score FROM q WHERE angle < reach"""),
+    "j10_best_evidence_lookup": over("links evidence", """, e AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY verified DESC, inliers DESC, seq) AS turn FROM evidence)
+        SELECT l.b AS p, l.a AS q, e.source, e.verified, e.inliers FROM links l JOIN e ON e.a = least(l.a, l.b) AND e.b = greatest(l.a, l.b) WHERE e.turn = 1"""),
+    "j13_nearest_edge": over("links vertices photos", """, spots AS (SELECT id, (id * 29 % 400)::DOUBLE AS x, (id * 13 % 300)::DOUBLE AS y FROM vertices), l AS (SELECT k.a, k.b, p.x, p.y, q.x - p.x AS u, q.y - p.y AS v FROM links k JOIN spots p ON p.id = k.a JOIN spots q ON q.id = k.b),
+        c AS (SELECT id AS q, (id * 31 % 400)::DOUBLE AS px, (id * 17 % 300)::DOUBLE AS py FROM photos), t AS (SELECT q, a, b, px, py, x, y, u, v, greatest(0, least(1, CASE WHEN u * u + v * v > 0 THEN ((px - x) * u + (py - y) * v) / (u * u + v * v) ELSE 0 END)) AS s FROM c, l),
+        d AS (SELECT q, a, b, sqrt((px - x - s * u) ** 2 + (py - y - s * v) ** 2) AS d FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d, 9), a, b) AS turn FROM d WHERE d <= 30) SELECT q, a, b, round(d, 6) AS distance FROM r WHERE turn = 1"""),
+    "j13_nearest_match": over("matches", """, c AS (SELECT pair, q, (q * 53 % 1000)::DOUBLE AS x, (q * 37 % 700)::DOUBLE AS y FROM (SELECT DISTINCT pair FROM matches), (SELECT unnest(range(20)) AS q)),
+        d AS (SELECT c.pair, c.q, m.idx, sqrt((c.x - ax) ** 2 + (c.y - ay) ** 2) AS d FROM c JOIN matches m ON m.pair = c.pair) SELECT pair, q, min_by(idx, (d, idx)) AS idx FROM d WHERE d <= 12 GROUP BY 1, 2"""),
+    "l2_overlap_quota": over("links", """, o AS (SELECT a, b, row_number() OVER (ORDER BY inliers DESC, a, b) AS n FROM links), photos AS (SELECT count(*) AS n FROM (SELECT a FROM links UNION SELECT b FROM links)),
+        walk(n, used, ok, a, b) AS (SELECT 0, []::BIGINT[], false, 0::BIGINT, 0::BIGINT UNION ALL
+          SELECT o.n, CASE WHEN t.take THEN list_concat(t.used, [o.a, o.b]) ELSE t.used END, t.take, o.a, o.b FROM (SELECT w.n, w.used, o2.a, o2.b,
+            (len(list_filter(w.used, lambda x: x = o2.a)) < 2 OR len(list_filter(w.used, lambda x: x = o2.b)) < 2) AND len(w.used) < 8 * (SELECT n FROM photos) AS take FROM walk w JOIN o o2 ON o2.n = w.n + 1) t JOIN o ON o.n = t.n + 1)
+        SELECT a, b FROM walk WHERE ok"""),
     "j11_oriented_evidence": over("evidence", "SELECT seq, CASE WHEN a % 3 > b % 3 THEN b ELSE a END AS a, CASE WHEN a % 3 > b % 3 THEN a ELSE b END AS b, a % 3 > b % 3 AS flipped FROM evidence"),
     "j12_grid_dedup": None,
     "j13_nearest_node": over("boxes photos", """, d AS (SELECT p.id AS q, b.id, sqrt((p.id * 31 % 1000 - b.x0 - b.w / 2) ** 2 + (p.id * 17 % 1000 - b.y0 - b.h / 2) ** 2) AS d FROM photos p, boxes b)
@@ -267,9 +305,9 @@ ORACLES = {
     "w4_strongest": over("descriptors", "SELECT image, idx FROM (SELECT image, idx, row_number() OVER (PARTITION BY image ORDER BY abs(vec[1]::DOUBLE) DESC, idx) AS turn FROM descriptors) WHERE turn <= 20"),
     "p1_active": over("photos", "SELECT id FROM photos WHERE height > 900 AND s_nationkey % 5 <> 0"),
     "p2_sift_rescale": over("matches", "SELECT idx, round((ax + 0.5) * 1.5 - 0.5, 6) AS x, round((ay + 0.5) * 1.5 - 0.5, 6) AS y FROM matches"),
-    "p3_learned_rescale": over("matches", "SELECT idx, round((ax - 500) * (1 + 0.42::DOUBLE / 500) + 500, 6) AS x FROM matches"),
+    "p3_learned_rescale": over("matches", "SELECT idx, round((ax - 512) * (1 + 0.42::DOUBLE / 512) + 512, 6) AS x, round((ay - 384) * (1 + 0.42::DOUBLE / 384) + 384, 6) AS y FROM matches"),
     "p4_in_content": over("matches", "SELECT pair, idx FROM matches WHERE ax < 900 AND ay < 600"),
-    "p5_normalised": over("photos", "SELECT id, round((id - width / 2) / (greatest(width, height) / 2), 6) AS x FROM photos"),
+    "p5_normalised": over("matches photos", "SELECT m.idx, round((ax - width / 2) / (greatest(width, height) / 2), 6) AS x, round((ay - height / 2) / (greatest(width, height) / 2), 6) AS y FROM matches m JOIN photos p ON p.id = m.pair"),
     "p6_confident": over("matches", "SELECT pair AS a, idx AS ia, idx % 60 - 3 AS ib FROM matches WHERE score > 0.05::DOUBLE AND idx % 60 - 3 BETWEEN 0 AND 49"),
     "p7_finite": over("matches", "SELECT pair, idx FROM matches WHERE idx % 7 <> 0 AND idx % 11 <> 0"),
     "p8_visible": over("evidence", "SELECT CASE WHEN verified THEN 'verified' ELSE 'failed' END AS state, count(*) AS n FROM evidence WHERE verified OR inliers < 15 GROUP BY 1"),

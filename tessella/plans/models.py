@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import polygons
+from tessella.functions import columns as C
 from tessella.operators import alignment, frames, problem, stitching, verification
 from tessella.operators.raster import multi_band
 from tessella.plans.inputs import given, over
+from tessella.plans.joins import t_of
 
 c = F.col
 
@@ -64,42 +65,24 @@ def k10_alignment_summary(spark, sf_dir):
 
 
 def f7_overlap_areas(spark, sf_dir):
-    """Overlap areas of photos under pure shifts, by half-planes."""
-
-    def areas(batches):
-        for batch in batches:
-            batch["area"] = [abs(polygons.area(polygons.overlap(np.array([[1, 0, x], [0, 1, y], [0, 0, 1.0]]), (1000, 800), (1000, 800)))) for x, y in zip(batch["x"], batch["y"], strict=True)]
-            yield batch[["id", "area"]]
-
+    """Overlap areas of photos under pure shifts: the rectangle of one in the other's, by half-planes."""
     p = given(spark, sf_dir, "photos").select("id", (c("id") * 37 % 1500 - 700).cast("double").alias("x"), (c("id") * 23 % 1200 - 500).cast("double").alias("y"))
-    return p.mapInPandas(areas, "id long, area double").withColumn("area", F.round("area", 3))
+    moved = C.rectangle(c("x"), c("y"), c("x") + 1000, c("y") + 800)
+    own = C.rectangle(F.lit(0), F.lit(0), F.lit(1000), F.lit(800))
+    return p.select("id", F.round(F.abs(C.signed_area(C.clipped(moved, own))), 3).alias("area"))
 
 
 def f6_clipped_areas(spark, sf_dir):
     """Boxes clipped to a window, by half-planes."""
-    window = polygons.rectangle(600, 500)
-
-    def areas(batches):
-        for batch in batches:
-            shapes = (polygons.rectangle(w, h) + (x, y) for x, y, w, h in zip(batch["x0"], batch["y0"], batch["w"], batch["h"], strict=True))
-            batch["area"] = [abs(polygons.area(polygons.clip(s, window))) for s in shapes]
-            yield batch[["id", "area"]]
-
-    return given(spark, sf_dir, "boxes").mapInPandas(areas, "id long, area double").withColumn("area", F.round("area", 3))
+    window = C.rectangle(F.lit(0), F.lit(0), F.lit(600), F.lit(500))
+    shape = C.rectangle(c("x0"), c("y0"), c("x0") + c("w"), c("y0") + c("h"))
+    return given(spark, sf_dir, "boxes").select("id", F.round(F.abs(C.signed_area(C.clipped(shape, window))), 3).alias("area"))
 
 
 def g6_local_similarities(spark, sf_dir):
     """What each photo's map looks like at a point; null where the point is behind the plane."""
-
-    def similar(batches):
-        for batch in batches:
-            t = batch[[f"t{i}" for i in range(9)]].to_numpy(float).reshape(-1, 3, 3)
-            s = [problem.local_similarity(h, np.array([300.0, 200.0])) for h in t]
-            yield pd.DataFrame({"image": batch["image"], "a": [x[0, 0] for x in s], "b": [x[1, 0] for x in s]})
-
-    found = given(spark, sf_dir, "maps").mapInPandas(similar, "image long, a double, b double")
-    known = lambda v: F.when(~F.isnan(v), F.round(v, 5)).alias(v)
-    return found.select("image", known("a"), known("b"))
+    a, b = C.local_similarity(c("t"), F.lit(300.0), F.lit(200.0))
+    return given(spark, sf_dir, "maps").select("image", t_of().alias("t")).select("image", F.round(a, 5).alias("a"), F.round(b, 5).alias("b"))
 
 
 def r7_multi_band(spark, sf_dir):
