@@ -6,8 +6,12 @@ source, and a document is emitted once for each integer that its step crosses. I
 the taken words of a source stay within one largest document of its target.
 
 Defined cases: a null text has size 0 and is taken with 0 words; sources of size 0 get target 0;
-a null source is a source of its own, last in order; repeated rows are rows of their own; an empty
-table gives an empty mix; further columns are kept, or ignored, whatever their names.
+a null source is a source of its own, last in order; rows of a source of equal size go by their id,
+null first, and rows equal in both are told apart by nobody; repeated rows are rows of their own; a
+text is counted whole, whatever its length; an empty table gives an empty mix; further columns are
+kept, or ignored, whatever their names. A broadcast of the sources' steps, one row each, is used up
+to ``MOST_BROADCAST`` sources and gives the same rows as the join beyond. All windows over sources
+hold one row per source in one task: sources are names, not addresses of pages.
 """
 
 from __future__ import annotations
@@ -63,7 +67,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: its id, source, size, source_size, target, and ``copies`` to take."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))  # the one pass over the texts
     return _mixed(sized, weights, most, seed).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
 
 
@@ -77,7 +81,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     at_id, at_text, at_source = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
     sized = fields.withColumns({"id": F.col(at_id), "source": F.col(at_source), "size": word_count(F.col(at_text))})
     key = [F.col("id"), F.col("source"), F.col("size")]
-    taken = _mixed(sized.select(*key), weights, most, seed)
+    taken = _mixed(checkpointed(sized.select(*key)), weights, most, seed)
     # rows of one key are neighbours in the order, so their copies are dealt out among them again
     per_key = taken.groupBy("id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     found = sized.join(

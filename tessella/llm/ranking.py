@@ -17,7 +17,8 @@ def ranked(rows: DataFrame, group: str, order: Sequence[str]) -> tuple[DataFrame
 
     Rows are dealt by range of (group, order), so a hot group spreads over many partitions. Only
     the counts of (partition, group) slices meet in a window: as many rows as partitions and groups
-    together. The dealt rows are checkpointed first, as another run may deal them otherwise.
+    together. The dealt rows are checkpointed first, as another run may deal them otherwise. Finding
+    the ranges reads ``rows`` once more, so rows that are dear to make should be stored.
     """
     keys = [group, *order]
     dealt = checkpointed(
