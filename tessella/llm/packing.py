@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.mixing import word_count
 from tessella.llm.ranking import ranked
+from tessella.runtime import checkpointed
 
 CAPACITIES = (512, 1024, 2048, 4096)
 
@@ -123,7 +124,7 @@ def best_plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES, co
 
 def pieces_of(docs: DataFrame, largest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length): the words of each text in pieces of at most ``largest``."""
-    sized = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
+    sized = checkpointed(docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size")))  # the one pass over the texts
     last = F.greatest(F.ceil(F.col("size") / largest) - 1, F.lit(0))
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     return cut.select("id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest), F.col("size") - F.col("piece") * largest).cast("long").alias("length"))
