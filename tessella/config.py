@@ -34,11 +34,11 @@ class Analysis:
 class Stitching:
     """Rendering of a layout."""
 
-    projection: str = "automatic"
-    blending: str = "multiband"
-    exposure: str = "gain"
-    similarity_threshold: float = 0.15
-    straighten: bool = True
+    projection: str = "automatic"  # or rectilinear, cylindrical, spherical: for turned cameras
+    blending: str = "multiband"  # or hard, none
+    exposure: str = "gain"  # or channels, blocks, none
+    seams: str = "voronoi"  # or path
+    crop: bool = False
 
 
 DEFAULTS = Analysis()

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.config import DEFAULTS, Analysis, Stitching
-from tessella.functions import features, models
+from tessella.functions import columns, features, models
 from tessella.operators import alignment, candidates, graph, matching, problem, raster, stitching, verification
+from tessella.operators.ordering import numbered
 from tessella.runtime import stored
 from tessella.sources import images as pixels_of
 from tessella.sources import photos
@@ -22,7 +25,7 @@ from tessella.sources import photos
 Progress = Callable[[str, int, int], None]
 VERSION = 1
 _OVERLAP_PHOTOS, _OVERLAP_ROUNDS = 8, 2  # rounds of pairs that the layout predicts, above so many photos
-_KEYPOINTS = "image long, idx long, x double, y double, size double, angle double, response double, vec array<double>"
+_KEYPOINTS = "image long, idx long, x double, y double, size double, angle double, response double, vec array<double>, error string"
 
 
 @dataclass
@@ -62,33 +65,40 @@ class Report:
 
 
 def extracted(files: DataFrame, megapixels: float = 1.5, most: int = 6000) -> DataFrame:
-    """Keypoints and descriptors of (id, content): photos are spread over the cluster, one at a time in a task."""
+    """Keypoints and descriptors of photos (id, orientation and what ``pixel_rows`` gives): spread over the cluster, one at a time in a task.
+
+    A photo whose pixels can't be decoded is one row with its ``error`` and nothing else.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for image, content in zip(batch["id"], batch["content"], strict=True):
+            for r in batch.itertuples():
+                image = r.id
                 try:
-                    gray = pixels_of.gray(pixels_of.decode_png(bytes(content)))
-                except ValueError:
+                    gray = pixels_of.gray(pixels_of.decoded(r.content, r.raw, r.rows, r.columns, r.bands, r.orientation))
+                except (ValueError, zlib.error, struct.error) as problem_:
+                    yield pd.DataFrame([[image, *[None] * 7, str(problem_) or "the pixels can't be decoded"]], columns=[f.split()[0] for f in _KEYPOINTS.split(", ")])
                     continue
                 h, w = gray.shape
                 small_w, small_h = pixels_of.working_size(w, h, megapixels)
                 points, vectors = features.keypoints(pixels_of.reduced(gray, small_w, small_h), most)
                 points[:, 0] = (points[:, 0] + 0.5) * (w / small_w) - 0.5
                 points[:, 1] = (points[:, 1] + 0.5) * (h / small_h) - 0.5
-                yield pd.DataFrame({"image": image, "idx": np.arange(len(points)), **{n: points[:, k] for k, n in enumerate(("x", "y", "size", "angle", "response"))}, "vec": list(vectors)})
+                yield pd.DataFrame({"image": image, "idx": np.arange(len(points)), **{n: points[:, k] for k, n in enumerate(("x", "y", "size", "angle", "response"))}, "vec": list(vectors), "error": None})
 
-    return files.select("id", "content").mapInPandas(run, _KEYPOINTS)
+    return files.select("id", "orientation", "content", "raw", "rows", "columns", "bands").mapInPandas(run, _KEYPOINTS)
 
 
 def analyze(spark: SparkSession, path: str, config: Analysis = DEFAULTS, mode: str = "automatic", progress: Progress = lambda *_: None) -> Report:
     """Photos of a folder to a report: keypoints, candidate pairs, verified evidence, groups."""
-    described = photos.describe(spark, path).withColumn("id", (F.row_number().over(Window.orderBy(candidates.natural_key(F.col("name")), "path")) - 1).cast("long"))
+    described = numbered(photos.describe(spark, path), [candidates.natural_key(F.col("name")), F.col("path")], "id")
     described = stored(described)
     progress("scan", 1, 4)
     good = described.where("NOT unreadable")
-    contents = spark.read.format("binaryFile").load(path).select("path", "content").join(good.select("id", "path"), "path").repartition("id")
-    points = stored(extracted(contents))
+    found = stored(extracted(pixels_of.pixel_rows(spark, path, good.select("id", "path", "orientation")).repartition("id")))
+    points, failed = found.where("error IS NULL").drop("error"), found.where("error IS NOT NULL").select(F.col("image").alias("id")).withColumn("failed", F.lit(True))
+    described = stored(described.join(failed, "id", "left").withColumn("unreadable", F.col("unreadable") | F.coalesce("failed", F.lit(False))).drop("failed"))
+    good = described.where("NOT unreadable")
     progress("extract", 2, 4)
     descriptors = points.select("image", "idx", "vec", "response")
     affinities = stored(matching.affinity(matching.strongest(descriptors, "response", config.affinity_descriptors), config.ratio))
@@ -163,12 +173,18 @@ def _overlapping(report: Report, tried: DataFrame) -> DataFrame | None:
     return stored(candidates.quota(overlaps, report.config.overlap_per_photo, len(layout.transforms)).select("a", "b"))
 
 
-def align(report: Report) -> alignment.Layout:
-    """A map for each photo of the largest group."""
-    return _aligned(report)[0]
+def align(report: Report, mode: str = "automatic", straighten: bool = True, provisional: bool = False) -> alignment.Layout:
+    """A map for each photo of the largest group, or turned cameras.
+
+    ``straighten`` levels turned cameras of wide sweeps; a ``provisional`` layout keeps pairs that are far off, for a first look.
+    """
+    layout = _aligned(report, mode, provisional)[0]
+    if straighten and layout.cameras is not None:
+        layout.cameras.rotations = problem.straightened(layout.cameras.rotations)
+    return layout
 
 
-def _aligned(report: Report) -> tuple[alignment.Layout, list[alignment.Pair], dict[int, tuple[float, float]]]:
+def _aligned(report: Report, mode: str = "automatic", provisional: bool = False) -> tuple[alignment.Layout, list[alignment.Pair], dict[int, tuple[float, float]]]:
     """The layout of the largest group, its pairs and the sizes of its photos."""
     spark = report.photos.sparkSession
     labels = report.groups
@@ -180,51 +196,125 @@ def _aligned(report: Report) -> tuple[alignment.Layout, list[alignment.Pair], di
     verified = report.evidence.where("verdict = 'verified'").join(group, F.col("a") == F.col("id"), "left_semi")
     inliers = verified.select("a", "b", "source", "rmse", F.explode("inliers").alias("idx")).join(report.matches, ["a", "b", "source", "idx"])
     pairs = alignment.problem(problem.build(inliers, report.config))
-    sizes = {r["id"]: (float(r["width"]), float(r["height"])) for r in report.photos.join(group, "id").select("id", "width", "height").collect()}
+    known = report.photos.join(group, "id").select("id", "width", "height", "focal_35mm").collect()
+    sizes = {r["id"]: (float(r["width"]), float(r["height"])) for r in known}
+    exif = [r["focal_35mm"] * float(np.hypot(r["width"], r["height"])) / 43.2666 for r in known if r["focal_35mm"]]
+    focal = models.upper_median(np.array(exif)) if len(exif) == len(known) else alignment.focal_from_pairs(pairs, sizes)
     thresholds = {(p.a, p.b): report.config.inlier_threshold * (sizes[p.b][0] * sizes[p.b][1] / 1e6) ** 0.5 for p in pairs}
     links = spark.createDataFrame([(p.a, p.b, len(p.pa)) for p in pairs], "a long, b long, weight long")
     anchor = graph.centre(links, group).first()["id"]
-    return alignment.align(members, pairs, anchor, thresholds, sizes), pairs, sizes
+    if provisional:
+        return alignment.choose(members, pairs, anchor, sizes, mode, alignment.Solves(sizes, focal)), pairs, sizes
+    return alignment.align(members, pairs, anchor, thresholds, sizes, mode, focal), pairs, sizes
+
+
+def projected(spark: SparkSession, layout: alignment.Layout, request: Stitching = Stitching()) -> tuple[str, np.ndarray]:
+    """How a layout is drawn, and the turn that brings its middle to the front.
+
+    Turned cameras are drawn by the arc that their middles leave empty; more than 330 degrees are refused.
+    """
+    if layout.cameras is None:
+        return "planar", np.eye(3)
+    forward = {p: r[:, 2] for p, r in layout.cameras.rotations.items()}
+    yaws = spark.createDataFrame([(0, float(np.degrees(np.arctan2(d[0], d[2])) % 360)) for d in forward.values()], "project int, yaw double")
+    drawn = raster.circular_gap(yaws).select("extent", "middle", columns.projection_of(F.col("extent")).alias("projection")).first()
+    if drawn["projection"] == "refused":
+        raise ValueError("the sweep is wider than 330 degrees")
+    middle = np.radians(drawn["middle"])
+    turn = np.array([[np.cos(middle), 0, -np.sin(middle)], [0, 1, 0], [np.sin(middle), 0, np.cos(middle)]])
+    return (drawn["projection"] if request.projection == "automatic" else request.projection), turn
 
 
 def stitch(report: Report, layout: alignment.Layout, request: Stitching = Stitching()) -> DataFrame:
-    """16-bit RGBA tiles of the panorama in the layout's plane."""
+    """16-bit RGBA tiles of the panorama, in the layout's plane or drawn from turned cameras."""
     spark = report.photos.sparkSession
-    maps = spark.createDataFrame(list(alignment.rows_of(layout)), "id long, transform array<double>")
-    placed = report.photos.join(maps, "id")
-    files = spark.read.format("binaryFile").load([r["path"] for r in placed.select("path").collect()])
-    rows = placed.select("id", "path", "width", "height", "transform").join(files.select("path", "content"), "path")
+    projection, turn = projected(spark, layout, request)
+    if layout.cameras is None:
+        placed = [(p, t, "planar", 0.0) for p, t in alignment.rows_of(layout)]
+    else:
+        placed = [(p, (turn @ r).ravel().tolist(), projection, float(layout.cameras.focal)) for p, r in sorted(layout.cameras.rotations.items())]
+    maps = spark.createDataFrame(placed, "id long, transform array<double>, projection string, focal double")
+    wanted = report.photos.select("id", "path", "width", "height", "orientation").join(maps, "id")
+    rows = pixels_of.pixel_rows(spark, [r["path"] for r in wanted.select("path").collect()], wanted)
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                p = pixels_of.decode_png(bytes(r.content))
+                p = pixels_of.decoded(r.content, r.raw, r.rows, r.columns, r.bands, r.orientation)
                 if p.shape[:2] != (r.height, r.width):
                     raise ValueError(f"{r.path} has changed since the analysis")
-                p = p >> 8 if p.dtype == np.uint16 else p
+                depth = 16 if p.dtype == np.uint16 else 8
                 p = np.repeat(p[..., :1], 3, axis=2) if p.shape[2] < 3 else p[..., :3]
-                yield pd.DataFrame([[r.id, r.width, r.height, r.transform, p.astype(np.uint8).tobytes()]], columns=["id", "width", "height", "transform", "pixels"])
+                yield pd.DataFrame([[r.id, r.width, r.height, r.transform, r.projection, r.focal, depth, p.astype("<u2" if depth == 16 else np.uint8).tobytes()]], columns=[f.split()[0] for f in _DECODED.split(", ")])
 
-    decoded_rows = stored(rows.repartition("id").mapInPandas(decoded, "id long, width int, height int, transform array<double>, pixels binary"))
-    gains = _gains(decoded_rows) if request.exposure == "gain" else {}
-    gain_rows = spark.createDataFrame([(p, float(gains.get(p, 1.0))) for p in layout.transforms], "id long, gain double")
-    return stitching.composite(decoded_rows.join(gain_rows, "id"), request.blending)
+    decoded_rows = stored(rows.repartition("id").mapInPandas(decoded, _DECODED))
+    gains = _gains(decoded_rows, request.exposure) if request.exposure != "none" else {}
+    gain_rows = spark.createDataFrame([(p, [float(g) for g in gains.get(p, [1.0])]) for p, *_ in placed], "id long, gain array<double>")
+    seams = _seams(decoded_rows) if request.seams == "path" else None
+    tiles = stitching.composite(decoded_rows.join(gain_rows, "id"), request.blending, seams=seams)
+    return stitching.cropped(stored(tiles))[0] if request.crop else tiles
 
 
-def _gains(rows: DataFrame, cells: int = 32) -> dict[int, float]:
-    """Exposure gains from coarse samples of where photos overlap."""
+_DECODED = "id long, width int, height int, transform array<double>, projection string, focal double, depth int, pixels binary"
+
+
+def _pixels(row) -> np.ndarray:
+    """(height, width, 3) samples from 0 to 255."""
+    p = np.frombuffer(row.pixels, "<u2" if row.depth == 16 else np.uint8).reshape(row.height, row.width, 3)
+    return p.astype(float) / (257 if row.depth == 16 else 1)
+
+
+def _gains(rows: DataFrame, exposure: str = "gain", step: int = 8, cell: int = 16) -> dict[int, list[float]]:
+    """Exposure gains from coarse samples of where photos overlap: one a photo, one a channel, or a grid of blocks a photo."""
+    if exposure not in ("gain", "channels", "blocks"):
+        raise ValueError(f"unknown exposure {exposure!r}")
 
     def coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                p = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3).astype(float) @ np.array([0.299, 0.587, 0.114])
-                y, x = np.mgrid[4 : r.height : 8, 4 : r.width : 8]
-                at = models.apply(np.array(r.transform).reshape(3, 3), np.column_stack([x.ravel(), y.ravel()]).astype(float))
-                yield pd.DataFrame({"image": r.id, "u": np.floor(at[:, 0] / 16).astype(np.int64), "v": np.floor(at[:, 1] / 16).astype(np.int64), "value": p[y, x].ravel()})
-
-    samples = rows.mapInPandas(coarse, "image long, u long, v long, value double").groupBy("image", "u", "v").agg(F.avg("value").alias("value"))
-    means = raster.overlap_means(samples).orderBy("i", "j").collect()  # one row per overlapping pair of photos
-    return raster.gains([tuple(r) for r in means])
+                p, placed = _pixels(r), stitching.Placed.of(r)
+                y, x = (k.ravel() for k in np.mgrid[step // 2 : r.height : step, step // 2 : r.width : step])
+                at = placed.target(np.column_stack([x, y]).astype(float))
+                seen = np.isfinite(at).all(axis=1)
+                u, v = (np.floor(at[seen, k] / cell).astype(np.int64) for k in (0, 1))
+                x, y = x[seen], y[seen]
+                block = (y * BLOCKS // r.height * BLOCKS + x * BLOCKS // r.width) if exposure == "blocks" else 0
+                luma = p[y, x] @ np.array([0.299, 0.587, 0.114])
+                values = p[y, x].T if exposure == "channels" else [luma]
+                for channel, value in enumerate(values):
+                    yield pd.DataFrame({"image": r.id * BLOCKS * BLOCKS + block, "photo": r.id, "channel": channel, "u": u, "v": v, "value": value})
+
+    samples = rows.mapInPandas(coarse, "image long, photo long, channel int, u long, v long, value double").groupBy("image", "photo", "channel", "u", "v").agg(F.avg("value").alias("value"))
+    means = raster.overlap_means(samples, ["channel"], "photo").orderBy("channel", "i", "j").collect()  # one row per overlapping pair of photos or blocks
+    found = [raster.gains([(m["i"], m["j"], m["n"], m["mi"], m["mj"]) for m in means if m["channel"] == k]) for k in range(3 if exposure == "channels" else 1)]
+    size = BLOCKS * BLOCKS
+    photos_ = sorted({k // size for f in found for k in f})
+    if exposure != "blocks":
+        return {p: [f.get(p * size, 1.0) for f in found] for p in photos_}
+    own = {p: {k % size: g for k, g in found[0].items() if k // size == p} for p in photos_}
+    return {p: [known.get(b, float(np.mean(list(known.values())))) for b in range(size)] for p, known in own.items()}  # a block that nothing overlaps goes with its photo
+
+
+BLOCKS = 8  # of a photo, either way, with a gain of their own
+
+
+def _seams(rows: DataFrame) -> dict[int, stitching.Seam]:
+    """Seams of all photos at a low resolution of the whole panorama, which the driver holds."""
+    boxes = [stitching.Placed.of(r).box() for r in rows.select("id", "width", "height", "transform", "projection", "focal").toLocalIterator()]
+    step = stitching.coarse_step(boxes)
+
+    def copied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                luma = (_pixels(r) @ np.array([0.299, 0.587, 0.114]))[..., None]
+                small, inside, x0, y0 = stitching.coarse_copy(luma, stitching.Placed.of(r), step)
+                yield pd.DataFrame([[r.id, x0, y0, *small.shape, small.astype("<f4").tobytes(), np.packbits(inside).tobytes()]], columns=["id", "x0", "y0", "rows", "cols", "values", "mask"])
+
+    copies = {}
+    for r in rows.mapInPandas(copied, "id long, x0 int, y0 int, rows int, cols int, values binary, mask binary").toLocalIterator():
+        inside = np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["rows"] * r["cols"]).reshape(r["rows"], r["cols"]).astype(bool)
+        copies[r["id"]] = (np.frombuffer(r["values"], "<f4").reshape(r["rows"], r["cols"]).astype(float), inside, r["x0"], r["y0"])
+    return stitching.found_seams(copies, step)
 
 
 def text_report(report: Report) -> str:

@@ -7,17 +7,20 @@ equations per pair, summed in pair order so that results don't depend on the num
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.config import MODES
 from tessella.functions import models
+from tessella.functions.blocks import BlockSystem
 from tessella.functions.columns import inverse, mapped, product, stretch
-from tessella.operators.graph import inconsistent
+from tessella.operators.graph import grown_tree, inconsistent
 from tessella.operators.ordering import numbered
+from tessella.operators.problem import camera_homography
 from tessella.operators.verification import upper_median
 
 HUBER = 2.0
@@ -33,6 +36,8 @@ class Layout:
     pair_rms: dict[tuple[int, int], float]
     left_out: list[tuple[tuple[int, int], str, float | None]] = field(default_factory=list)
     notes: list[str] = field(default_factory=list)
+    misplaced: list[int] = field(default_factory=list)
+    cameras: Cameras | None = None  # of a rotation layout
 
 
 @dataclass
@@ -124,26 +129,20 @@ def solve_linear(model: str, photos: list[int], pairs: list[Pair], anchor: int,
     scale = max((float(np.abs(p.pa).max()) for p in pairs if len(p.pa)), default=1.0) or 1.0
     small = [Pair(p.a, p.b, p.pa / scale, p.pb / scale, p.sigma / scale) for p in pairs]
     size, free = PARAMETERS[model], [p for p in photos if p != anchor]
-    place = {p: i * size for i, p in enumerate(free)}
+    place = {p: i for i, p in enumerate(free)}
     x = {p: _identity(model) for p in photos}
     for turn in range(rounds):
-        h, g = np.zeros((len(free) * size,) * 2), np.zeros(len(free) * size)
+        system = BlockSystem([size] * len(free))
         for p in small:
             block, side = pair_block(model, p, x[p.a], x[p.b], robust=turn > 0)
-            for i, u in enumerate((p.a, p.b)):
-                if u == anchor:
-                    continue
-                at = slice(place[u], place[u] + size)
-                g[at] += side[i * size : (i + 1) * size]
-                for k, v in enumerate((p.a, p.b)):
-                    if v != anchor:
-                        h[at, place[v] : place[v] + size] += block[i * size : (i + 1) * size, k * size : (k + 1) * size]
+            _add_pair(system, place, (p.a, p.b), (size, size), block, side)
+        extra = np.zeros(len(free) * size)
         if model != "translation":
-            linear = [place[p] + i for p in free for i in ((0, 1) if model == "similarity" else (0, 1, 3, 4))]
-            h[linear, linear] += 1e-9 * max(np.trace(h) / max(len(h), 1), 1e-12)
-        step = np.linalg.lstsq(h, -g, rcond=None)[0] if len(g) else g
+            linear = [place[p] * size + i for p in free for i in ((0, 1) if model == "similarity" else (0, 1, 3, 4))]
+            extra[linear] = 1e-9 * max(float(np.mean(system.diagonal())) if free else 0.0, 1e-12)
+        step = system.solved_safely(extra)
         for p in free:
-            x[p] = x[p] + step[place[p] : place[p] + size]
+            x[p] = x[p] + step[place[p] * size : (place[p] + 1) * size]
         if not len(step) or np.abs(step).max() < 1e-9:
             break
     grow = np.diag([scale, scale, 1.0])
@@ -151,6 +150,18 @@ def solve_linear(model: str, photos: list[int], pairs: list[Pair], anchor: int,
     return _layout(model, anchor, transforms, pairs)
 
 
+def _add_pair(system: BlockSystem, place: dict, ends: tuple, sizes: tuple[int, ...], block: np.ndarray, side: np.ndarray) -> None:
+    """Adds the normal equations of some unknowns, in order; those without a place are fixed."""
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for i, u in enumerate(ends):
+        if u not in place:
+            continue
+        system.add_side(place[u], side[at[i] : at[i + 1]])
+        for k, v in enumerate(ends):
+            if v in place:
+                system.add(place[u], place[v], block[at[i] : at[i + 1], at[k] : at[k + 1]])
+
+
 def transfer(pair: Pair, ta: np.ndarray, tb: np.ndarray) -> np.ndarray:
     """Distances of the matches in the common plane; 1e6 where a point can't be mapped."""
     d = np.sqrt(((models.apply(ta, pair.pa) - models.apply(tb, pair.pb)) ** 2).sum(axis=1))
@@ -164,14 +175,31 @@ def _layout(model: str, anchor: int, transforms: dict[int, np.ndarray], pairs: l
     return Layout(model, anchor, transforms, float(np.sqrt((every**2).mean())) if len(every) else 0.0, pair_rms)
 
 
+def chained(photos: list[int], pairs: list[Pair], anchor: int) -> dict[int, np.ndarray] | None:
+    """Maps along the tree of most matches from the anchor, each by its pair's own map; None where one is missing."""
+    maps = {k: h for k, p in ((k, p) for k, p in enumerate(pairs)) if (h := pair_map(p)) is not None and np.isfinite(h).all() and abs(np.linalg.det(h)) > 1e-12}
+    known = {anchor: np.eye(3)}
+    for a, b in grown_tree([(pairs[k].a, pairs[k].b, float(len(pairs[k].pa))) for k in maps], anchor):
+        h = next(maps[k] for k in maps if (pairs[k].a, pairs[k].b) == (a, b))
+        new = known[a] @ np.linalg.inv(h) if a in known else known[b] @ h
+        if abs(new[2, 2]) < 1e-9:
+            return None
+        known[b if a in known else a] = new / new[2, 2]
+    return known if len(known) == len(photos) else None
+
+
 def solve_homography(photos: list[int], pairs: list[Pair], anchor: int, rounds: int = 60) -> Layout:
-    """Levenberg-Marquardt over eight parameters a photo, from the affine layout."""
+    """Levenberg-Marquardt over eight parameters a photo, from the affine layout or the chained maps, whichever fits better.
+
+    Residuals count in photo pixels: those in the plane are divided by how much the pair's maps stretch there, so that maps
+    don't fit by shrinking.
+    """
     start = solve_linear("affine", photos, pairs, anchor)
     scale = max((float(np.abs(p.pa).max()) for p in pairs if len(p.pa)), default=1.0) or 1.0
     grow = np.diag([scale, scale, 1.0])
     small = [Pair(p.a, p.b, p.pa / scale, p.pb / scale, p.sigma / scale) for p in pairs]
     free = [p for p in photos if p != anchor]
-    place = {p: 8 * i for i, p in enumerate(free)}
+    place = {p: i for i, p in enumerate(free)}
     x = {p: (np.linalg.inv(grow) @ start.transforms[p] @ grow).ravel()[:8] for p in photos}
 
     def mapped(v, points):
@@ -185,32 +213,42 @@ def solve_homography(photos: list[int], pairs: list[Pair], anchor: int, rounds:
         jv = np.column_stack([np.column_stack([zero] * 3), row, -out[:, 1:] * row[:, :2]])
         return out, np.stack([ju, jv], axis=1)
 
+    def stretched(values, p):
+        """The stretch of the pair's maps at the middle of its matches."""
+        out = []
+        for v, points in ((values[p.a], p.pa), (values[p.b], p.pb)):
+            middle = points.mean(axis=0)
+            z, at = middle @ v[6:8] + 1.0, mapped(v, middle[None])[0][0]
+            linear = (np.array([[v[0], v[1]], [v[3], v[4]]]) - np.outer(at, v[6:8])) / z
+            out.append(np.sqrt(abs(np.linalg.det(linear))))
+        return max(float(np.mean(out)), 1e-6)
+
     def cost(values):
         total = 0.0
         for p in small:
-            r = np.sqrt(((mapped(values[p.a], p.pa)[0] - mapped(values[p.b], p.pb)[0]) ** 2).sum(axis=1)) / p.sigma
+            r = np.sqrt(((mapped(values[p.a], p.pa)[0] - mapped(values[p.b], p.pb)[0]) ** 2).sum(axis=1)) / (p.sigma * stretched(values, p))
             total += float(np.where(r <= HUBER, r * r, 2 * HUBER * r - HUBER**2).sum())
         return total
 
+    along = chained(photos, pairs, anchor)
+    if along is not None:
+        other = {p: (lambda t: (t / t[2, 2]).ravel()[:8])(np.linalg.inv(grow) @ along[p] @ grow) for p in photos}
+        x = other if cost(other) < cost(x) else x
     now, damping = cost(x), 1e-3
     for _ in range(rounds):
-        h, g = np.zeros((8 * len(free),) * 2), np.zeros(8 * len(free))
+        system = BlockSystem([8] * len(free))
         for p in small:
             (ua, ja), (ub, jb) = mapped(x[p.a], p.pa), mapped(x[p.b], p.pb)
             r = ua - ub
-            s = np.sqrt((r**2).sum(axis=1)) / p.sigma
-            w = np.where(s <= HUBER, 1.0, HUBER / np.maximum(s, 1e-12)) / p.sigma**2
-            parts = ((p.a, ja), (p.b, -jb))
-            for u, ju in parts:
-                if u != anchor:
-                    g[place[u] : place[u] + 8] += np.einsum("n,nki,nk->i", w, ju, r)
-                    for v, jv in parts:
-                        if v != anchor:
-                            h[place[u] : place[u] + 8, place[v] : place[v] + 8] += np.einsum("n,nki,nkj->ij", w, ju, jv)
+            sigma = p.sigma * stretched(x, p)
+            s = np.sqrt((r**2).sum(axis=1)) / sigma
+            w = np.where(s <= HUBER, 1.0, HUBER / np.maximum(s, 1e-12)) / sigma**2
+            j = np.concatenate([ja, -jb], axis=2)
+            _add_pair(system, place, (p.a, p.b), (8, 8), np.einsum("n,nki,nkj->ij", w, j, j, optimize=True), np.einsum("n,nki,nk->i", w, j, r, optimize=True))
         before, better = now, False
         for _ in range(10):
-            step = np.linalg.lstsq(h + damping * np.diag(np.diag(h) + 1e-12), -g, rcond=None)[0]
-            tried = {p: x[p] + step[place[p] : place[p] + 8] if p != anchor else x[p] for p in photos}
+            step = system.solved_safely(damping * (system.diagonal() + 1e-12))
+            tried = {p: x[p] + step[8 * place[p] : 8 * place[p] + 8] if p != anchor else x[p] for p in photos}
             if (new := cost(tried)) < now:
                 x, now, damping, better = tried, new, damping / 10, True
                 break
@@ -246,6 +284,9 @@ def rays(points: np.ndarray, focal: float, centre: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+LEAST_VIEW, MOST_VIEW = 5.0, 150.0  # degrees that a photo's long side may see
+
+
 def solve_rotation(photos: list[int], pairs: list[Pair], sizes: dict[int, tuple[float, float]], anchor: int, focal: float | None = None, rounds: int = 60) -> Cameras:
     """Rays of matched points are brought together over rotations and a common focal length.
 
@@ -267,6 +308,9 @@ def solve_rotation(photos: list[int], pairs: list[Pair], sizes: dict[int, tuple[
     if 0 < removed <= 0.3 * len(each) and connected(photos, kept):
         best = _bundle(photos, kept, centre, anchor, best.focal, rounds, best.rotations)
     best.pair_rms |= {(p.a, p.b): 0.0 for p in pairs if (p.a, p.b) not in best.pair_rms}
+    view = np.degrees(2 * np.arctan(max(max(sizes[p]) for p in photos) / (2 * best.focal)))
+    if not LEAST_VIEW * 1.2 < view < MOST_VIEW * 0.9:  # driven to the bound: the photos aren't views of turned cameras
+        best.rms = float("inf")
     best.method = 0 if focal is None or 0.67 <= best.focal / focal <= 1.5 else 1
     return best
 
@@ -279,7 +323,7 @@ def _apart(pair: Pair, cameras: Cameras, centre: dict[int, np.ndarray]) -> np.nd
 
 def _bundle(photos, pairs, centre, anchor, focal, rounds, rotations=None) -> Cameras:
     free = [p for p in photos if p != anchor]
-    place = {p: 3 * i for i, p in enumerate(free)}
+    place = {p: i for i, p in enumerate(free)} | {"focal": len(free)}
     turn = dict(rotations or _chained(photos, pairs, centre, anchor, focal))
     log_f = np.log(focal)
 
@@ -287,11 +331,12 @@ def _bundle(photos, pairs, centre, anchor, focal, rounds, rotations=None) -> Cam
         cameras = Cameras(float(np.exp(log_f)), turn, 0, {}, 0)
         return sum(float(np.where(s <= HUBER, s * s, 2 * HUBER * s - HUBER**2).sum()) for p in pairs for s in [_apart(p, cameras, centre) / p.sigma])
 
+    longest = 2 * max(float(c.max()) for c in centre.values())
+    seen = lambda log_f: np.degrees(2 * np.arctan(longest / (2 * np.exp(log_f))))
     now, damping = value(turn, log_f), 1e-3
     for _ in range(rounds):
         f = float(np.exp(log_f))
-        n = 3 * len(free) + 1
-        h, g = np.zeros((n, n)), np.zeros(n)
+        system = BlockSystem([3] * len(free) + [1])
         for p in pairs:
             u = rays(p.pa, f, centre[p.a]) @ turn[p.a].T
             v = rays(p.pb, f, centre[p.b]) @ turn[p.b].T
@@ -299,23 +344,18 @@ def _bundle(photos, pairs, centre, anchor, focal, rounds, rotations=None) -> Cam
             e = 1e-6
             moved = np.exp(log_f + e)
             jf = ((rays(p.pa, moved, centre[p.a]) @ turn[p.a].T - rays(p.pb, moved, centre[p.b]) @ turn[p.b].T) * moved - r) / e
-            cols, at = [jf[:, :, None]], [n - 1]
-            for photo, ray, sign in ((p.a, u, 1), (p.b, v, -1)):
-                if photo != anchor:
-                    # a turn by w moves a ray by w x ray
-                    j = np.stack([np.cross(np.broadcast_to(axis, ray.shape), ray) for axis in np.eye(3)], axis=2) * sign * f
-                    cols.append(j)
-                    at += [place[photo] + i for i in range(3)]
-            j = np.concatenate(cols, axis=2)
+            # a turn by w moves a ray by w x ray
+            moves = [np.stack([np.cross(np.broadcast_to(axis, ray.shape), ray) for axis in np.eye(3)], axis=2) * sign * f for ray, sign in ((u, 1), (v, -1))]
+            j = np.concatenate([jf[:, :, None], *moves], axis=2)
             s = np.linalg.norm(r, axis=1) / p.sigma
             w = np.where(s <= HUBER, 1.0, HUBER / np.maximum(s, 1e-12)) / p.sigma**2
-            h[np.ix_(at, at)] += np.einsum("n,nki,nkj->ij", w, j, j)
-            g[at] += np.einsum("n,nki,nk->i", w, j, r)
+            _add_pair(system, place, ("focal", p.a, p.b), (1, 3, 3), np.einsum("n,nki,nkj->ij", w, j, j, optimize=True), np.einsum("n,nki,nk->i", w, j, r, optimize=True))
         before, better = now, False
         for _ in range(10):
-            step = np.linalg.lstsq(h + damping * np.diag(np.diag(h) + 1e-12), -g, rcond=None)[0]
-            tried = {p: rotation_matrix(step[place[p] : place[p] + 3]) @ turn[p] if p != anchor else turn[p] for p in photos}
-            if (new := value(tried, log_f + step[-1])) < now:
+            step = system.solved_safely(damping * (system.diagonal() + 1e-12))
+            tried = {p: rotation_matrix(step[3 * place[p] : 3 * place[p] + 3]) @ turn[p] if p != anchor else turn[p] for p in photos}
+            # without a bound all rays come together as the focal length goes to nothing
+            if LEAST_VIEW < seen(log_f + step[-1]) < MOST_VIEW and (new := value(tried, log_f + step[-1])) < now:
                 turn, log_f, now, damping, better = tried, log_f + step[-1], new, damping / 10, True
                 break
             damping *= 10
@@ -356,25 +396,139 @@ def worst_stretch(layout: Layout, sizes: dict[int, tuple[float, float]]) -> dict
     return out
 
 
-def choose(photos: list[int], pairs: list[Pair], anchor: int, sizes: dict[int, tuple[float, float]] | None = None) -> Layout:
-    """The simplest kind of map that explains the matches nearly as well as the best."""
-    translation = solve_linear("translation", photos, pairs, anchor)
+def rotation_layout(photos: list[int], pairs: list[Pair], anchor: int, sizes: dict[int, tuple[float, float]], focal: float | None = None) -> Layout:
+    """Turned cameras; the transforms are what they imply in the anchor's plane, where that can be seen."""
+    cameras = solve_rotation(photos, pairs, sizes, anchor, focal)
+    centre = {p: np.array(sizes[p]) / 2 for p in photos}
+    maps = {p: camera_homography(cameras.focal, cameras.rotations[p], centre[p], cameras.focal, cameras.rotations[anchor], centre[anchor]) for p in photos}
+    return Layout("rotation", anchor, maps, cameras.rms, dict(cameras.pair_rms), cameras=cameras)
+
+
+class Solves:
+    """The layouts of some pairs by kind of map, each solved once."""
+
+    def __init__(self, sizes: dict[int, tuple[float, float]] | None = None, focal: float | None = None):
+        self.sizes, self.focal = sizes, focal
+        self.known: dict[tuple, Layout] = {}
+
+    def get(self, kind: str, photos: list[int], pairs: list[Pair], anchor: int) -> Layout:
+        key = (kind, anchor, tuple(photos), tuple((p.a, p.b, len(p.pa)) for p in pairs))
+        if key not in self.known:
+            if kind == "rotation":
+                self.known[key] = rotation_layout(photos, pairs, anchor, self.sizes, self.focal)
+            elif kind == "homography":
+                self.known[key] = solve_homography(photos, pairs, anchor)
+            else:
+                self.known[key] = solve_linear(kind, photos, pairs, anchor)
+        found = self.known[key]
+        return replace(found, pair_rms=dict(found.pair_rms), left_out=[], notes=[], misplaced=[])
+
+
+ROTATION_PHOTOS = 60  # above so many, automatic mode tries turned cameras on a part of them first
+ROTATION_TRIAL = 40
+
+
+def choose(photos: list[int], pairs: list[Pair], anchor: int, sizes: dict[int, tuple[float, float]] | None = None, mode: str = "automatic", solves: Solves | None = None) -> Layout:
+    """The simplest kind of map of the mode that explains the matches nearly as well as the best.
+
+    ``plane`` has no perspective, ``document`` no turned cameras, ``rotation`` these alone.
+    """
+    solves = solves or Solves(sizes)
+    get = lambda kind: solves.get(kind, photos, pairs, anchor)
+    if mode == "rotation":
+        return get("rotation")
+    translation = get("translation")
     if translation.rms <= 0.5:
         return translation
-    similarity = solve_linear("similarity", photos, pairs, anchor)
+    similarity = get("similarity")
     if similarity.rms <= 0.5 and translation.rms > 1.25 * similarity.rms + 0.5:
         return similarity
-    affine = solve_linear("affine", photos, pairs, anchor)
-    document = solve_homography(photos, pairs, anchor)
-    within = 1.25 * min(translation.rms, similarity.rms, affine.rms, document.rms) + 0.5
-    stretched = sizes is not None and max(worst_stretch(document, sizes).values()) > 4
-    earned = not stretched and document.rms < 0.5 * min(translation.rms, similarity.rms, affine.rms)
+    affine = get("affine")
+    planar = (translation, similarity, affine)
+    if mode == "plane":
+        within = 1.25 * min(k.rms for k in planar) + 0.5
+        return next(k for k in planar if k.rms <= within)
+    document = get("homography")
+    every = [*planar, document]
+    turned = None
+    if mode == "automatic" and sizes is not None and affine.rms > 1.25 * document.rms + 0.5 and _turns(photos, pairs, anchor, solves, document.rms):
+        turned = get("rotation")
+        every.append(turned)
+    within = 1.25 * min(k.rms for k in every) + 0.5
+    stretched = sizes is not None and max(worst_stretch(document, sizes).values()) > OVERSTRETCHED
+    earned = not stretched and document.rms < 0.5 * min(k.rms for k in planar)
     for kind in (translation, similarity):
         if kind.rms <= within:
             return kind
-    if affine.rms <= within or not earned:
+    if affine.rms <= within:
         return affine
-    return document
+    if turned is not None and turned.rms <= within:  # three numbers a photo instead of eight
+        return turned
+    return document if earned else affine
+
+
+def _turns(photos: list[int], pairs: list[Pair], anchor: int, solves: Solves, within: float) -> bool:
+    """Whether turned cameras are worth a solve of all photos: they fit the ones around the anchor."""
+    if len(photos) <= ROTATION_PHOTOS:
+        return True
+    near, front = [anchor], [anchor]
+    links: dict[int, list[tuple[int, int]]] = {}
+    for p in pairs:
+        links.setdefault(p.a, []).append((-len(p.pa), p.b))
+        links.setdefault(p.b, []).append((-len(p.pa), p.a))
+    while front and len(near) < ROTATION_TRIAL:
+        new = [b for a in front for _, b in sorted(links.get(a, [])) if b not in near]
+        front = list(dict.fromkeys(new))[: ROTATION_TRIAL - len(near)]
+        near += front
+    some = set(near)
+    trial = solves.get("rotation", sorted(near), [p for p in pairs if p.a in some and p.b in some], anchor)
+    return trial.rms <= 2 * within + 1.0
+
+
+OVERSTRETCHED = 4.0
+
+
+def without_misplaced(layout: Layout, photos: list[int], pairs: list[Pair], anchor: int, mode: str, solves: Solves, least_photos: int = 40, most_share: float = 0.05) -> tuple[Layout, list[int]]:
+    """The layout without the few photos that keep perspective from being earned, where that is the case; and these photos."""
+    if mode not in ("automatic", "document") or solves.sizes is None or len(photos) < least_photos or layout.model not in ("affine",):
+        return layout, []
+    document = solves.get("homography", photos, pairs, anchor)
+    off = [p for p, s in worst_stretch(document, solves.sizes).items() if s > OVERSTRETCHED]
+    if not off or anchor in off or len(off) > most_share * len(photos):
+        return layout, []
+    rest = [p for p in photos if p not in off]
+    kept = [p for p in pairs if p.a not in off and p.b not in off]
+    if not connected(rest, kept):
+        return layout, []
+    trial = choose(rest, kept, anchor, solves.sizes, mode, solves)
+    return (trial, sorted(off)) if trial.model == "homography" else (layout, [])
+
+
+def focal_of(h: np.ndarray, centre_a: np.ndarray, centre_b: np.ndarray) -> float | None:
+    """The focal length that a turning camera's map between two photos implies, if it does.
+
+    About the photos' middles the map is K R / K; the first two rows of R are of equal length and at a right angle, which
+    gives the square of the focal length twice; the better conditioned one counts.
+    """
+    to = lambda c: np.array([[1, 0, c[0]], [0, 1, c[1]], [0, 0, 1.0]])
+    m = np.linalg.inv(to(centre_b)) @ h @ to(centre_a)
+    p, q = m[0], m[1]
+    below = np.array([p[0] * q[0] + p[1] * q[1], p[0] ** 2 + p[1] ** 2 - q[0] ** 2 - q[1] ** 2])
+    above = np.array([-p[2] * q[2], q[2] ** 2 - p[2] ** 2])
+    k = int(np.argmax(np.abs(below)))
+    square = above[k] / below[k] if abs(below[k]) > 1e-12 else -1.0
+    return float(np.sqrt(square)) if np.isfinite(square) and square > 0 else None
+
+
+def focal_from_pairs(pairs: list[Pair], sizes: dict[int, tuple[float, float]]) -> float | None:
+    """The upper median of the focal lengths that pairs imply and that see more than 5 and less than 150 degrees."""
+    found = []
+    for p in pairs:
+        h = pair_map(p)
+        f = focal_of(h, np.array(sizes[p.a]) / 2, np.array(sizes[p.b]) / 2) if h is not None and np.isfinite(h).all() else None
+        if f and LEAST_VIEW < np.degrees(2 * np.arctan(max(sizes[p.a]) / (2 * f))) < MOST_VIEW:
+            found.append(f)
+    return models.upper_median(np.array(found)) if found else None
 
 
 def offenders(layout: Layout, thresholds: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
@@ -418,29 +572,51 @@ def loops(pairs: list[Pair], threshold: float = 3.0) -> list[tuple[int, int, int
     return out
 
 
-def align(photos: list[int], pairs: list[Pair], anchor: int, thresholds: dict[tuple[int, int], float] | None = None, sizes: dict[int, tuple[float, float]] | None = None) -> Layout:
-    """Leave out pairs that break loops, choose a model, then leave out pairs that are far off.
+class Cancelled(Exception):
+    """The caller no longer wants the layout."""
+
+
+def align(
+    photos: list[int], pairs: list[Pair], anchor: int, thresholds: dict[tuple[int, int], float] | None = None, sizes: dict[int, tuple[float, float]] | None = None,
+    mode: str = "automatic", focal: float | None = None, cancelled: Callable[[], bool] = lambda: False,
+) -> Layout:
+    """Leave out pairs that break loops, choose a model, leave out misplaced photos, then pairs that are far off.
 
-    Photos that a removal cuts off the anchor's group are noted and not placed.
+    Photos that a removal cuts off the anchor's group are noted and not placed. ``focal`` is a prior for turned cameras.
     """
     thresholds = thresholds or {}
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if anchor not in photos or any(p.a not in photos or p.b not in photos or p.a == p.b for p in pairs):
+        raise ValueError("the anchor or a pair names a photo that isn't there")
+    if mode == "rotation" and sizes is None:
+        raise ValueError("turned cameras need the photos' sizes")
+    solves = Solves(sizes, focal)
     broken = inconsistent([(p.a, p.b) for p in pairs], loops(pairs, max(thresholds.values(), default=3.0)))
     out: list[tuple[tuple[int, int], str, float | None]] = [(k, "brokenLoops", None) for k in broken]
     pairs = [p for p in pairs if (p.a, p.b) not in broken]
     group = next(g for g in groups(photos, [(p.a, p.b) for p in pairs]) if anchor in g)
     lost, photos = [p for p in photos if p not in group], group
     pairs = [p for p in pairs if p.a in group and p.b in group]
-    layout = choose(photos, pairs, anchor, sizes)
+    layout = choose(photos, pairs, anchor, sizes, mode, solves)
+    layout, misplaced = without_misplaced(layout, photos, pairs, anchor, mode, solves)
+    if misplaced:
+        photos = [p for p in photos if p not in misplaced]
+        pairs = [p for p in pairs if p.a not in misplaced and p.b not in misplaced]
     first = len(out)
     limit = max(2, (len(pairs) - (len(photos) - 1)) // 4)
     while len(out) - first < limit and len(pairs) >= len(photos):
+        if cancelled():
+            raise Cancelled
         gone = next((k for k in offenders(layout, thresholds) if connected(photos, [p for p in pairs if (p.a, p.b) != k])), None)
         if gone is None:
             break
         out.append((gone, "offBy", layout.pair_rms[gone]))
         pairs = [p for p in pairs if (p.a, p.b) != gone]
-        layout = choose(photos, pairs, anchor, sizes)
-    layout.left_out = out
+        layout = choose(photos, pairs, anchor, sizes, mode, solves)
+    layout.left_out, layout.misplaced = out, misplaced
+    if misplaced:
+        layout.notes.append(f"{len(misplaced)} photos are misplaced")
     if lost:
         layout.notes.append(f"{len(lost)} photos hang on inconsistent pairs alone")
     return layout

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.blocks import BlockSystem
 from tessella.functions.columns import mapped
 
 
@@ -92,27 +93,24 @@ def voronoi(warped: DataFrame, centres: DataFrame) -> DataFrame:
     return warped.join(centres, "image").withColumn("d", d).groupBy("u", "v").agg(F.min_by("image", F.struct("d", "image")).alias("image"))
 
 
-def overlap_means(warped: DataFrame) -> DataFrame:
-    """(i, j, n, mi, mj): over the pixels that two photos share, how many and each one's mean."""
-    left = warped.select("u", "v", F.col("image").alias("i"), F.col("value").alias("vi"))
-    right = warped.select("u", "v", F.col("image").alias("j"), F.col("value").alias("vj"))
-    return left.join(right, ["u", "v"]).where("i < j").groupBy("i", "j").agg(F.count("*").alias("n"), F.avg("vi").alias("mi"), F.avg("vj").alias("mj"))
+def overlap_means(warped: DataFrame, by: Sequence[str] = (), owner: str = "image") -> DataFrame:
+    """(by…, i, j, n, mi, mj): over the pixels that two images of different owners share, how many and each one's mean."""
+    left = warped.select("u", "v", *by, F.col("image").alias("i"), F.col(owner).alias("oi"), F.col("value").alias("vi"))
+    right = warped.select("u", "v", *by, F.col("image").alias("j"), F.col(owner).alias("oj"), F.col("value").alias("vj"))
+    return left.join(right, ["u", "v", *by]).where("oi < oj").groupBy(*by, "i", "j").agg(F.count("*").alias("n"), F.avg("vi").alias("mi"), F.avg("vj").alias("mj"))
 
 
 def gains(means: Sequence[tuple[int, int, int, float, float]], deviation: float = 10.0, spread: float = 0.1) -> dict[int, float]:
     """Exposure gains that level the overlaps and stay near 1: a small linear system, one unknown a photo."""
     photos = sorted({p for i, j, *_ in means for p in (i, j)})
     at = {p: k for k, p in enumerate(photos)}
-    a, b = np.zeros((len(photos),) * 2), np.zeros(len(photos))
+    system = BlockSystem([1] * len(photos))
     for i, j, n, mi, mj in means:
-        x, y = at[i], at[j]
-        a[x, x] += n * (mi * mi / deviation**2 + 1 / spread**2)
-        a[y, y] += n * (mj * mj / deviation**2 + 1 / spread**2)
-        a[x, y] -= n * mi * mj / deviation**2
-        a[y, x] -= n * mi * mj / deviation**2
-        b[x] += n / spread**2
-        b[y] += n / spread**2
-    return dict(zip(photos, np.linalg.solve(a, b), strict=True)) if photos else {}
+        for x, m in ((at[i], mi), (at[j], mj)):
+            system.add(x, x, np.array([[n * (m * m / deviation**2 + 1 / spread**2)]]))
+            system.add_side(x, np.array([-n / spread**2]))
+        system.add(max(at[i], at[j]), min(at[i], at[j]), np.array([[-n * mi * mj / deviation**2]]))
+    return dict(zip(photos, system.solved().tolist(), strict=True))
 
 
 def finished(composite: DataFrame) -> DataFrame:

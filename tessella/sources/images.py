@@ -1,4 +1,7 @@
-"""Pixels: PNG decoding and encoding, orientation, reduction. Other image formats have no decoder here."""
+"""Pixels: decoding, PNG encoding, orientation, reduction.
+
+PNG files, which may have 16 bits, are decoded here; JPEG, TIFF, BMP and GIF files by Spark's image source on the executors.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,44 @@ import struct
 import zlib
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 
+def _same_path(column):
+    """A path as both sources give it: one slash after the scheme where there is no host."""
+    return F.regexp_replace(column, "^file:/+", "file:/")
+
+
+def pixel_rows(spark: SparkSession, paths: str | list[str], wanted: DataFrame) -> DataFrame:
+    """``wanted`` (path, ...) with ``content`` (a PNG file) or decoded rows ``raw`` of ``rows`` x ``columns`` x ``bands`` samples.
+
+    A file that the image source can't decode has neither.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+    png = files.where(F.substring("content", 1, 4) == F.lit(b"\x89PNG")).select(_same_path(F.col("path")).alias("path"), "content", *(F.lit(None).cast(t).alias(n) for n, t in _DECODED))
+    other = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG,tif,tiff,TIF,TIFF,bmp,gif}").load(paths).select("image.*")
+    raw = other.select(_same_path(F.col("origin")).alias("path"), F.lit(None).cast("binary").alias("content"), F.when(F.col("height") > 0, F.col("data")).alias("raw"), F.col("height").alias("rows"), F.col("width").alias("columns"), F.col("nChannels").alias("bands"))
+    named = wanted.withColumn("path", _same_path(F.col("path")))
+    return named.join(png.unionByName(raw), "path")
+
+
+_DECODED = (("raw", "binary"), ("rows", "int"), ("columns", "int"), ("bands", "int"))
+
+
+def decoded(content: bytes | None, raw: bytes | None, rows: int, columns: int, bands: int, orientation: int = 1) -> np.ndarray:
+    """The upright pixels of a row of ``pixel_rows``: 8 or 16 bits, one to four channels, colours red first."""
+    if content is not None:
+        return decode_png(bytes(content))
+    if raw is None or not len(raw):
+        raise ValueError("the pixels can't be decoded")
+    p = np.frombuffer(raw, np.uint8).reshape(int(rows), int(columns), int(bands))
+    p = p[..., [2, 1, 0, 3][: int(bands)]] if bands >= 3 else p  # stored blue first
+    return upright(p, orientation)
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """(height, width, channels) of 8- or 16-bit samples; interlaced and palette files are refused."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":

@@ -19,7 +19,7 @@ def is_video(path: Column) -> Column:
 
 
 def describe(spark: SparkSession, path: str) -> DataFrame:
-    """One row per PNG or JPEG file: upright size, orientation, capture date, 35 mm focal length.
+    """One row per PNG, JPEG or TIFF file: upright size, orientation, capture date, 35 mm focal length.
 
     A file that can't be read is a row of size 0 x 0 with ``unreadable`` set; the scan goes on.
     """
@@ -45,8 +45,12 @@ def header(data: bytes) -> tuple[int, int, int, datetime | None, float | None]:
         if not width or not height:
             raise ValueError("no size")
         return width, height, 1, None, None
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        width, height = _tiff_size(data)
+        exif = _exif(data)
+        return (*((height, width) if exif[0] >= 5 else (width, height)), *exif)
     if data[:2] != b"\xff\xd8":
-        raise ValueError("neither PNG nor JPEG")
+        raise ValueError("neither PNG nor JPEG nor TIFF")
     at, exif = 2, (1, None, None)
     while True:
         if data[at] != 0xFF:
@@ -62,25 +66,35 @@ def header(data: bytes) -> tuple[int, int, int, datetime | None, float | None]:
         at += 2 + size
 
 
+def _entries(tiff: bytes, order: str, at: int) -> dict[int, bytes]:
+    """The values of a directory by tag."""
+    out = {}
+    for i in range(struct.unpack(order + "H", tiff[at : at + 2])[0]):
+        tag, kind, count, value = struct.unpack(order + "HHI4s", tiff[at + 2 + 12 * i : at + 14 + 12 * i])
+        size = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}.get(kind, 1) * count
+        start = struct.unpack(order + "I", value)[0]
+        out[tag] = value[:size] if size <= 4 else tiff[start : start + size]
+    return out
+
+
+def _tiff_size(tiff: bytes) -> tuple[int, int]:
+    order = "<" if tiff[:2] == b"II" else ">"
+    first = _entries(tiff, order, struct.unpack(order + "I", tiff[4:8])[0])
+    width, height = (struct.unpack(order + ("H" if len(first.get(tag, b"")) == 2 else "I"), first.get(tag, b"\0\0\0\0"))[0] for tag in (0x0100, 0x0101))
+    if not width or not height:
+        raise ValueError("no size")
+    return width, height
+
+
 def _exif(tiff: bytes) -> tuple[int, datetime | None, float | None]:
     order = {b"II": "<", b"MM": ">"}[tiff[:2]] if tiff[:2] in (b"II", b"MM") else None
     if order is None:
         return 1, None, None
-
-    def entries(at: int) -> dict[int, bytes]:
-        out = {}
-        for i in range(struct.unpack(order + "H", tiff[at : at + 2])[0]):
-            tag, kind, count, value = struct.unpack(order + "HHI4s", tiff[at + 2 + 12 * i : at + 14 + 12 * i])
-            size = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}.get(kind, 1) * count
-            start = struct.unpack(order + "I", value)[0]
-            out[tag] = value[:size] if size <= 4 else tiff[start : start + size]
-        return out
-
-    first = entries(struct.unpack(order + "I", tiff[4:8])[0])
+    first = _entries(tiff, order, struct.unpack(order + "I", tiff[4:8])[0])
     orientation = struct.unpack(order + "H", first[0x0112][:2])[0] if 0x0112 in first else 1
     date = focal = None
     if 0x8769 in first:
-        own = entries(struct.unpack(order + "I", first[0x8769])[0])
+        own = _entries(tiff, order, struct.unpack(order + "I", first[0x8769])[0])
         if 0x9003 in own:
             try:
                 date = datetime.strptime(own[0x9003].split(b"\0")[0].decode("ascii", "replace"), "%Y:%m:%d %H:%M:%S")
