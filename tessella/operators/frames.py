@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.raster import phase_shift
+
 STEP = 1 / 3
 WEAK_PEAK = 0.02
 
@@ -122,6 +125,20 @@ def timeline(events: DataFrame) -> DataFrame:
     return events.groupBy("stage").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("seq").alias("seen")).orderBy("seen")
 
 
+def small_frame(pixels: bytes, height: int, width: int, most_side: int) -> np.ndarray:
+    """A frame of 8 bits, thinned to at most twice ``most_side``."""
+    step = max(1, max(height, width) // most_side)
+    return np.ascontiguousarray(np.frombuffer(pixels, np.uint8).reshape(height, width)[::step, ::step])
+
+
+def frame_measures(before: np.ndarray | None, gray: np.ndarray) -> tuple[float, float, float, float]:
+    """(dx, dy, peak, sharpness): the shift against the frame before, in widths of the frame; none without one of its size."""
+    now = gray.astype(float)
+    lap = now[1:-1, 2:] + now[1:-1, :-2] + now[2:, 1:-1] + now[:-2, 1:-1] - 4 * now[1:-1, 1:-1]
+    shift = phase_shift(before.astype(float), now) if before is not None and before.shape == now.shape else (0.0, 0.0, 0.0)
+    return -shift[0] / now.shape[1], -shift[1] / now.shape[1], shift[2], float(lap.var())
+
+
 def measure_frames(images: DataFrame, most_side: int = 320) -> DataFrame:
     """(video, idx, dx, dy, peak, sharpness) of gray frames (video, idx, height, width, pixels of 8 bits).
 
@@ -131,19 +148,12 @@ def measure_frames(images: DataFrame, most_side: int = 320) -> DataFrame:
     dealt = images.select("video", "idx", "height", "width", "pixels").repartition("video").sortWithinPartitions("video", "idx")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        from tessella.operators.raster import phase_shift
-
         video = before = None
         for batch in batches:
             out = []
             for v, i, h, w, p in zip(batch["video"], batch["idx"], batch["height"], batch["width"], batch["pixels"], strict=True):
-                step = max(1, max(h, w) // most_side)
-                gray = np.frombuffer(p, np.uint8).reshape(h, w)[::step, ::step].astype(float)
-                lap = gray[1:-1, 2:] + gray[1:-1, :-2] + gray[2:, 1:-1] + gray[:-2, 1:-1] - 4 * gray[1:-1, 1:-1]
-                shift = phase_shift(before, gray) if v == video and before.shape == gray.shape else (0.0, 0.0, 0.0)
-                out.append((v, i, -shift[0] / gray.shape[1], -shift[1] / gray.shape[1], shift[2], float(lap.var())))
+                gray = small_frame(p, h, w, most_side)
+                out.append((v, i, *frame_measures(before if v == video else None, gray)))
                 video, before = v, gray
             yield pd.DataFrame(out, columns=["video", "idx", "dx", "dy", "peak", "sharpness"])
 

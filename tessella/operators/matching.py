@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +144,36 @@ def affinity(descriptors: DataFrame, ratio: float = DEFAULTS.ratio, mutual: bool
     return pairs.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("affinity", F.lit(0)).alias("affinity"))
 
 
+def learned_join(keypoints: DataFrame, pairs: DataFrame, load: Callable[[], Callable[..., tuple[np.ndarray, np.ndarray]]], threshold: float = DEFAULTS.learned_threshold) -> DataFrame:
+    """(a, b, ia, ib, confidence): a learned matcher's partners for keypoints (image, idx, x, y, vec) of ``pairs``.
+
+    ``load`` is called once in each task and gives a function of (points a, vectors a, points b, vectors b) that tells for
+    each keypoint of a its place in b, or -1, and how sure it is. An image has as many keypoints as its extractor gives.
+    """
+    packed = keypoints.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y", "vec"))).alias("k"))
+    packed = packed.select("image", F.col("k.idx").alias("ids"), F.col("k.x").alias("x"), F.col("k.y").alias("y"), F.flatten("k.vec").alias("flat"))
+    rows = pairs.select("a", "b").distinct()
+    for end in "ab":
+        rows = rows.join(packed.toDF(end, *(f"{n}_{end}" for n in ("ids", "x", "y", "flat"))), end)
+    ordered = rows.select("a", "b", *(f"{n}_{end}" for end in "ab" for n in ("ids", "x", "y", "flat")))
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = load()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                columns = [batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(2, 10)]
+                ends = [(ids, np.column_stack([x, y]), flat.astype(np.float64).reshape(len(ids), -1)) for ids, x, y, flat in (columns[:4], columns[4:])]
+                partner, sure = matcher(ends[0][1], ends[0][2], ends[1][1], ends[1][2])
+                found = np.flatnonzero((np.asarray(partner) >= 0) & (np.asarray(partner) < len(ends[1][0])) & (np.asarray(sure) > threshold))
+                names = [pa.array([batch.column(k)[i].as_py()] * len(found), batch.schema.field(k).type) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*names, pa.array(ends[0][0][found]).cast(pa.int64()), pa.array(ends[1][0][np.asarray(partner)[found]]).cast(pa.int64()), pa.array(np.asarray(sure, dtype=float)[found])], names=["a", "b", "ia", "ib", "confidence"]
+                )
+
+    kind = ordered.schema["a"].dataType.simpleString()
+    return ordered.mapInArrow(matched, f"a {kind}, b {kind}, ia long, ib long, confidence double")
+
+
 def confident(partners: DataFrame, threshold: float = DEFAULTS.learned_threshold) -> DataFrame:
     """Of a learned matcher's answers (a, b, ia, ib, confidence, count_b) those to keep."""
     return partners.where((F.col("confidence") > threshold) & F.col("ib").between(0, F.col("count_b") - 1))

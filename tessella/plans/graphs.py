@@ -245,7 +245,9 @@ def a13_hull_areas(spark, sf_dir):
         p = rows[["ax", "ay"]].to_numpy(float)
         return pd.DataFrame([[key[0], polygons.hull_area(p), polygons.peeled_hull_area(p)]], columns=["pair", "hull", "peeled"])
 
-    return given(spark, sf_dir, "matches").select("pair", "ax", "ay").groupBy("pair").applyInPandas(areas, "pair long, hull double, peeled double")
+    m = given(spark, sf_dir, "matches").select("pair", "ax", "ay")
+    found = m.groupBy("pair").applyInPandas(areas, "pair long, hull double, peeled double")
+    return found.select("pair", F.round("hull", 3).alias("hull"), F.round("peeled", 3).alias("peeled"))
 
 
 # verification and models
@@ -538,9 +540,9 @@ def a16_overlap_means(spark, sf_dir):
 
 
 def a16_gains(spark, sf_dir):
-    """Gains of eight photos: their overlap means, a few numbers, meet on the driver."""
+    """Gains of photos: their overlap means, a few numbers, meet on the driver."""
     rows = [tuple(r) for r in raster.overlap_means(_warped(spark, sf_dir)).orderBy("i", "j").collect()]
-    return spark.createDataFrame([(int(k), float(v)) for k, v in raster.gains(rows).items()], "image long, gain double")
+    return spark.createDataFrame([(int(k), round(float(v), 6)) for k, v in raster.gains(rows).items()], "image long, gain double")
 
 
 def a14_sharpness(spark, sf_dir):
@@ -823,6 +825,24 @@ def _stretches_sql() -> str:
     return f", k AS (SELECT unnest([0, width, width, 0])::DOUBLE AS x, unnest([0, 0, height, height])::DOUBLE AS y, * FROM maps), s AS (SELECT image, sqrt(abs({a} * {e} - {b} * {d})) AS s FROM k)"
 
 
+def _hulls_sql() -> str:
+    """The area of the convex hull of each pair's points, and of that of the points left when its corners are gone.
+
+    A hull's sides are those ways between points that have no point to their right and hold all points in line with them.
+    """
+
+    def hull(points: str, n: str) -> str:
+        return f"""e{n} AS (SELECT pair, x, min(y) AS low, max(y) AS high FROM {points} GROUP BY 1, 2), c{n} AS (SELECT pair, x, low AS y FROM e{n} UNION SELECT pair, x, high FROM e{n}),
+          w{n} AS (SELECT p.pair, p.x, p.y, q.x AS u, q.y AS v, min((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) AS least,
+            bool_and(abs((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) > 1e-6 OR (r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) BETWEEN -1e-6 AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2 + 1e-6) AS whole
+            FROM c{n} p JOIN c{n} q ON p.pair = q.pair AND (p.x <> q.x OR p.y <> q.y) JOIN c{n} r ON r.pair = p.pair GROUP BY 1, 2, 3, 4, 5),
+          s{n} AS (SELECT * FROM w{n} WHERE least >= -1e-6 AND whole), a{n} AS (SELECT pair, sum(x * v - u * y) / 2 AS area FROM s{n} GROUP BY 1)"""
+
+    return over("matches", f""", m AS (SELECT pair, ax AS x, ay AS y, count(*) AS n FROM matches GROUP BY 1, 2, 3), {hull("m", "1")},
+        rest AS (SELECT m.pair, m.x, m.y FROM m LEFT JOIN s1 ON s1.pair = m.pair AND s1.x = m.x AND s1.y = m.y WHERE s1.x IS NULL OR m.n > 1), {hull("rest", "2")}
+        SELECT a1.pair, round(a1.area, 3) AS hull, round(coalesce(a2.area, 0), 3) AS peeled FROM a1 LEFT JOIN a2 ON a1.pair = a2.pair""")
+
+
 def _anchors_sql() -> str:
     """Of each twenty maps the one seen from which the worst corner stretch is least: the inverse by cofactors."""
     det = "(q.t0 * (q.t4 * q.t8 - q.t5 * q.t7) - q.t1 * (q.t3 * q.t8 - q.t5 * q.t6) + q.t2 * (q.t3 * q.t7 - q.t4 * q.t6))"
@@ -852,6 +872,12 @@ ORACLES |= {
     "f2_jacobian": over("maps", "SELECT image, " + ", ".join(f"round({e}, 6) AS {n}" for e, n in zip(_jacobian_sql("300.0::DOUBLE", "200.0::DOUBLE"), "abcd", strict=True)) + " FROM maps"),
     "v9_overstretched": over("maps", _stretches_sql() + " SELECT image, bool_or(coalesce(s > 1.3::DOUBLE OR s < 1 / 1.3::DOUBLE, true)) AS stretched FROM s GROUP BY 1"),
     "v10_worst_stretch": _anchors_sql(),
+    "a13_hull_areas": _hulls_sql(),
+    # the gains solve a small system whose diagonal outweighs the rest, so that taking them from one another by turns ends at its solution
+    "a16_gains": over("pixels photos", _WARPED + """, o AS (SELECT x.image AS i, y.image AS j, count(*) AS n, avg(x.value) AS mi, avg(y.value) AS mj FROM warped x JOIN warped y ON x.u = y.u AND x.v = y.v AND x.image <> y.image GROUP BY 1, 2),
+        d AS (SELECT i AS image, sum(n * (mi * mi / 100 + 100)) AS a, sum(n * 100) AS b FROM o GROUP BY 1),
+        it(k, image, g) AS (SELECT 0, image, 1.0::DOUBLE FROM d UNION ALL SELECT it.k + 1, d.image, (d.b + sum(o.n * o.mi * o.mj / 100 * it.g)) / d.a FROM it JOIN o ON o.j = it.image JOIN d ON d.image = o.i WHERE it.k < 120 GROUP BY it.k, d.image, d.a, d.b)
+        SELECT image, round(g, 6) AS gain FROM it WHERE k = 120"""),
     "v4_plausible": _plausible_sql(),
     "g6_local_similarities": over("maps", "SELECT image, round(({0} + {3}) / 2, 5) AS a, round(({2} - {1}) / 2, 5) AS b FROM maps".format(*_jacobian_sql("300.0::DOUBLE", "200.0::DOUBLE"))),
 }
