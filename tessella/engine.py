@@ -317,6 +317,27 @@ def _seams(rows: DataFrame) -> dict[int, stitching.Seam]:
     return stitching.found_seams(copies, step)
 
 
+def thumbnails(report: Report, long_side: int = 256) -> DataFrame:
+    """(id, width, height, png): small pictures of the photos that could be read, made where the photos are."""
+    wanted = report.photos.where("NOT unreadable").select("id", "path", "orientation")
+    rows = pixels_of.pixel_rows(report.photos.sparkSession, [r["path"] for r in wanted.select("path").collect()], wanted)
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                small = pixels_of.preview(pixels_of.decoded(r.content, r.raw, r.rows, r.columns, r.bands, r.orientation), long_side)
+                yield pd.DataFrame([[r.id, small.shape[1], small.shape[0], pixels_of.encode_png(small)]], columns=["id", "width", "height", "png"])
+
+    return rows.mapInPandas(made, "id long, width int, height int, png binary")
+
+
+def export(tiles: DataFrame, path: str) -> tuple[int, int, int, int]:
+    """A panorama that the driver can hold as one PNG, TIFF or JPEG file; its corner and size in the layout's plane."""
+    pixels, x, y = stitching.assembled(tiles)
+    pixels_of.write_image(tiles.sparkSession, pixels, path)
+    return x, y, pixels.shape[1], pixels.shape[0]
+
+
 def text_report(report: Report) -> str:
     """Photos, candidates, pairs and groups as lines of text, for projects of a size that people read."""
     lines = [f"{r['id']:4d}  {r['width']}x{r['height']}  {r['name']}{'  unreadable' if r['unreadable'] else ''}" for r in report.photos.orderBy("id").collect()]

@@ -136,7 +136,8 @@ def ranked_maxima(logits: np.ndarray, ranker: np.ndarray, most: int, margin: int
     y, x = y[order], x[order]
     near = around[:, y, x]
     finite = np.where(np.isfinite(near), near, np.where(near > 0, near[4], -np.inf))
-    weight = np.exp((finite - near[4]) / temperature, where=np.isfinite(near[4])[None], out=np.zeros_like(near))
+    middle = np.where(np.isfinite(near[4]), near[4], 0.0)
+    weight = np.exp((finite - middle) / temperature, where=np.isfinite(near[4])[None], out=np.zeros_like(near))
     weight[4, ~np.isfinite(near[4])] = 1.0
     weight /= weight.sum(axis=0)
     dy, dx = (np.repeat([-1, 0, 1], 3)[:, None] * weight).sum(axis=0), (np.tile([-1, 0, 1], 3)[:, None] * weight).sum(axis=0)

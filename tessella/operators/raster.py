@@ -228,6 +228,12 @@ def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     return float(dx - w if dx > w / 2 else dx), float(dy - h if dy > h / 2 else dy), float(surface[y, x])
 
 
+def common_profile(photos: DataFrame, group: str, profile: str, default: str = "default") -> DataFrame:
+    """(group, profile): the colour profile that all photos of a group share, else the default; null counts as one of its own."""
+    got = photos.groupBy(group).agg(F.count_distinct(F.coalesce(F.col(profile).cast("string"), F.lit(""))).alias("n"), F.min(F.col(profile).cast("string")).alias("only"))
+    return got.select(group, F.when((F.col("n") == 1) & F.col("only").isNotNull(), F.col("only")).otherwise(default).alias("profile"))
+
+
 def bilinear(pixels: DataFrame, asked: DataFrame) -> DataFrame:
     """(image, q, value) of pixels (image, y, x, value) at points (image, q, x, y): each asks for the pixels around it."""
     at = asked.select("image", "q", F.col("x").alias("px"), F.col("y").alias("py"))

@@ -468,8 +468,7 @@ def s8_oriented(spark, sf_dir):
 
 
 def s11_colour_space(spark, sf_dir):
-    p = given(spark, sf_dir, "photos").groupBy("s_nationkey").agg(F.count_distinct("orientation").alias("n"), F.min("orientation").alias("o"))
-    return p.select("s_nationkey", F.when(c("n") == 1, c("o").cast("string")).otherwise("default").alias("profile"))
+    return raster.common_profile(given(spark, sf_dir, "photos"), "s_nationkey", "orientation")
 
 
 def r1_canvas(spark, sf_dir):

@@ -6,7 +6,9 @@ PNG files, which may have 16 bits, are decoded here; JPEG, TIFF, BMP and GIF fil
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -171,3 +173,51 @@ def preview(pixels: np.ndarray, long_side: int = 4096) -> np.ndarray:
     h, w = pixels.shape[:2]
     factor = min(1.0, long_side / max(w, h))
     return np.round(reduced(pixels, max(1, round(w * factor)), max(1, round(h * factor)))).astype(pixels.dtype)
+
+
+JPEG_SIDE = 65_535  # the longest that the format can say
+
+
+def write_image(spark: SparkSession, pixels: np.ndarray, path: str, quality: float = 0.92) -> None:
+    """A panorama (height, width, 4) of 16 bits as PNG, which keeps depth and alpha, or as TIFF or JPEG of 8 bits over white.
+
+    The kind follows the suffix. The file is written beside its place and moved there when it is whole.
+    """
+    kind = {"png": "png", "tif": "tiff", "tiff": "tiff", "jpg": "jpg", "jpeg": "jpg"}.get(path.rsplit(".", 1)[-1].lower())
+    if kind is None:
+        raise ValueError(f"no writer for {path}")
+    if kind == "jpg" and max(pixels.shape[:2]) > JPEG_SIDE:
+        raise ValueError("a side is too long for a JPEG")
+    staged = Path(f"{path}.{uuid.uuid4().hex}.part")
+    try:
+        if kind == "png":
+            staged.write_bytes(encode_png(pixels))
+        else:
+            _write_by_jvm(spark, (flattened(pixels) >> 8).astype(np.uint8), kind, str(staged), quality)
+        staged.rename(path)
+    finally:
+        staged.unlink(missing_ok=True)
+
+
+def _write_by_jvm(spark: SparkSession, rgb: np.ndarray, kind: str, path: str, quality: float) -> None:
+    jvm, (height, width) = spark._jvm, rgb.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(width, height, 5)  # three bytes, blue first
+    image.getRaster().getDataBuffer()
+    samples = bytearray(np.ascontiguousarray(rgb).tobytes())
+    bands = spark.sparkContext._gateway.new_array(jvm.int, 3)
+    for i in range(3):
+        bands[i] = i
+    data = jvm.java.awt.image.DataBufferByte(samples, len(samples))
+    image.setData(jvm.java.awt.image.Raster.createInterleavedRaster(data, width, height, width * 3, 3, bands, None))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName(kind).next()
+    settings = writer.getDefaultWriteParam()
+    if kind == "jpg":
+        settings.setCompressionMode(2)  # explicit
+        settings.setCompressionQuality(float(quality))
+    out = jvm.javax.imageio.ImageIO.createImageOutputStream(jvm.java.io.File(path))
+    try:
+        writer.setOutput(out)
+        writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), settings)
+    finally:
+        out.close()
+        writer.dispose()

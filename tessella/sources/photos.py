@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -18,6 +18,20 @@ def is_video(path: Column) -> Column:
     return F.lower(F.substring_index(path, ".", -1)).isin(*VIDEO_SUFFIXES)
 
 
+def cache_key(name: Column, size: Column, modified: Column) -> Column:
+    """A key for what is derived from a file: another name, length or date of change gives another key."""
+    return F.substring(F.sha2(F.concat_ws("|", name, size.cast("string"), F.unix_micros(modified).cast("string")), 256), 1, 24)
+
+
+def reused(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``folder/key`` if it was written whole before, else ``make``'s, written there."""
+    path = f"{folder}/{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")  # the committer writes it last
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def describe(spark: SparkSession, path: str) -> DataFrame:
     """One row per PNG, JPEG or TIFF file: upright size, orientation, capture date, 35 mm focal length.
 

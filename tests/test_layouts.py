@@ -269,3 +269,35 @@ def test_projection_follows_the_empty_arc(spark):
 
     got = raster.circular_gap(yaws).select("project", columns.projection_of(F.col("extent")).alias("p")).orderBy("project").collect()
     assert [r["p"] for r in got] == ["rectilinear", "cylindrical", "refused"]
+
+
+@pytest.mark.parametrize("suffix", ["png", "tiff", "jpg"])
+def test_panorama_is_written_whole(bright, spark, tmp_path, suffix):
+    report, _ = bright
+    tiles = engine.stitch(report, engine.align(report), Stitching(blending="hard", exposure="none"))
+    path = str(tmp_path / f"out.{suffix}")
+    _, _, w, h = engine.export(tiles, path)
+    assert [p.name for p in tmp_path.iterdir()] == [f"out.{suffix}"]
+    pixels = stitching.assembled(tiles)[0]
+    row = images.pixel_rows(spark, path, spark.createDataFrame([(f"file:{path}",)], "path string")).first()
+    back = images.decoded(row["content"], row["raw"], row["rows"], row["columns"], row["bands"])
+    assert back.shape[:2] == (h, w) == pixels.shape[:2]
+    if suffix == "png":
+        assert np.array_equal(back, pixels)
+    else:
+        assert np.abs(back.astype(float) - (images.flattened(pixels) >> 8)).mean() < (1e-9 if suffix == "tiff" else 6)
+    with pytest.raises(ValueError):
+        images.write_image(spark, pixels, str(tmp_path / "out.heic"))
+    with pytest.raises(ValueError):
+        images.write_image(spark, np.zeros((1, 70_000, 4), np.uint16), str(tmp_path / "long.jpg"))
+
+
+def test_thumbnails_and_reuse(bright, spark, tmp_path):
+    report, _ = bright
+    rows = engine.thumbnails(report, 64).collect()
+    assert len(rows) == 4 and all((r["width"], r["height"]) == (64, 51) and images.decode_png(bytes(r["png"])).shape == (51, 64, 3) for r in rows)
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert [photos.reused(spark, str(tmp_path), "k", make).count() for _ in range(2)] == [3, 3] and made == [1]
+    key = photos.cache_key(F.lit("a.mov"), F.col("id"), F.timestamp_seconds("id"))
+    assert spark.range(3).select(key.alias("k")).distinct().count() == 3
