@@ -47,6 +47,7 @@ STRENGTH = 0.05  # of the rows: what the starting rates of a voter count as
 _SMOOTHING = 2.0
 FEEBLE = 0.3
 FIXED_WEIGHT = 4.0
+SLICE_BYTES = 2 << 20  # of text in hand at a time
 SHORT = 20  # words below which finding nothing says nothing
 
 # Lexicons of insults.
@@ -234,7 +235,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 own = found_in(part.column(1), features)
                 bounds = np.searchsorted(own.owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(features[own.features]))
@@ -261,7 +262,7 @@ def telling_features(rows: DataFrame, least_z: float = LEAST_Z, least_rows: int
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 own = found_in(part.column(1))
                 y = part.column(0).to_numpy() == 1
                 features, at = np.unique(own.features, return_inverse=True)
@@ -298,20 +299,28 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     names = docs.columns
     fields = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at_text = f"c{names.index(text_col)}"
-    order = [at_text, at_text, *(c for c in fields.columns if c != at_text)]
-    rows = fields.select(F.lit(0).alias("first"), *(F.col(c) for c in order[1:]))
-    keep = list(range(1, len(names) + 1))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    scored = rows.mapInArrow(_scoring(scorer, keep), f"{schema}, score double")
+    score = F.arrow_udf(_score_only(scorer), "double")  # rows stay where they are: only texts go to the workers, only scores come back
+    scored = fields.withColumn("score", score(F.coalesce(F.col(at_text), F.lit(""))))
     return scored.where("score < 0.5").select(*(F.col(c).alias(n) for c, n in zip(fields.columns, names, strict=True)))
 
 
+def _score_only(scorer: Scorer):
+    """Batches of texts to their scores."""
+
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [scorer.scores(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, SLICE_BYTES)]
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0))
+
+    return made
+
+
 def _scoring(scorer: Scorer, keep: list[int]):
     """Batches whose second column is the text, to the columns ``keep`` and the score."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 names = [part.schema.names[i] for i in keep]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(scorer.scores(part.column(1)))], names=[*names, "score"])
 
