@@ -11,7 +11,7 @@ its other bits. Copies of a fingerprint are ``budget + 1`` whatever their number
 components by alternating star joins.
 
 Within ``budget`` 2 a fingerprint has at most 64 + 2016 neighbours, so no group of near copies
-makes a quadratic number of links. A text is hashed whole, its hashes some thousands at a time.
+makes a quadratic number of links, and a task keeps the edges of a forest of them. A text is hashed whole, its hashes some thousands at a time.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are
 linked like any other; with fewer words than a shingle the whole sequence is the one shingle;
@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ SHINGLE = 3
 BUDGET = 2
 SEED = 42
 MOST_TOGETHER = 1 << 20  # fingerprints of one node that one task holds, 32 bytes each; larger nodes are split
-_CHUNK = 1 << 18  # node pairs walked at a time
+_CHUNK = 1 << 15  # node pairs walked at a time; as many may wait at each of 64 levels
+_LINKS = 1 << 20  # links held before they are cut to the edges of a forest
 _BRUTE = 64  # products of node sizes from which a pair is compared directly
 _HASHES = 1 << 16
 
@@ -90,17 +92,23 @@ def _split(values: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) ->
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray | None, budget: int = BUDGET, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of values of ``a`` and ``b`` (of ``a`` itself if None) within ``budget`` bits.
+    """All pairs of values of ``a`` and ``b`` (of ``a`` itself if None) within ``budget`` bits; some may come twice."""
+    found = [(np.empty(0, np.uint64),) * 2, *walked_links(a, b, budget, starts)]
+    left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+    return left, right
+
 
-    Both are sorted, unsigned, without repeats. With ``starts`` only pairs inside the nodes of
+def walked_links(a: np.ndarray, b: np.ndarray | None, budget: int, starts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs as they are found.
+
+    Both arrays are sorted, unsigned, without repeats. With ``starts`` only pairs inside the nodes of
     ``a`` that start there are looked for. A frontier too long for one pass is cut in two and
     walked one half after the other.
     """
     own = b is None
     b = a if own else b
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     if not len(a) or not len(b):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return
     begin = np.array([0]) if starts is None else starts
     until = np.append(begin[1:], len(a))
     other = (begin, until) if own else (np.zeros(1, np.int64), np.array([len(b)]))
@@ -114,7 +122,12 @@ def linked_pairs(a: np.ndarray, b: np.ndarray | None, budget: int = BUDGET, star
         small = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= _BRUTE
         if depth == 64:
             small[:] = True
-        found += _compared(a, b, pairs[small], budget)
+        for left, right in _compared(a, b, pairs[small], budget):
+            if own:
+                low, high = np.minimum(left, right), np.maximum(left, right)
+                left, right = low[low < high], high[low < high]
+            if len(left):
+                yield left, right
         pairs = pairs[~small]
         if not len(pairs):
             continue
@@ -128,14 +141,19 @@ def linked_pairs(a: np.ndarray, b: np.ndarray | None, budget: int = BUDGET, star
                 go &= x0 <= y0
             following.append(np.stack([x0, x1, y0, y1, spent + more], axis=1)[go])
         todo.append((depth + 1, np.concatenate(following)))
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    left, right = (np.concatenate(x) for x in zip(*found, strict=True))
-    if own:
-        low, high = np.minimum(left, right), np.maximum(left, right)
-        apart = low < high
-        return low[apart], high[apart]
-    return left, right
+
+
+def forest(links: Iterator[tuple[np.ndarray, np.ndarray]], most: int = _LINKS) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges that join what the links join; never more than about ``most`` links are held."""
+    held, number = [(np.empty(0, np.uint64),) * 2], 0
+    for left, right in links:
+        held.append((left, right))
+        number += len(left)
+        if number > most:
+            held = [stars(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            number = len(held[0][0])
+            most = max(most, 2 * number)
+    return stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _compared(a: np.ndarray, b: np.ndarray, pairs: np.ndarray, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -239,8 +257,8 @@ def _edges(rows: np.ndarray, budget: int) -> Iterator[pa.RecordBatch]:
         fps = own[at, 3].view(np.uint64)
         tops = own[at, 1]
         starts = np.flatnonzero(np.concatenate(([True], tops[1:] != tops[:-1])))
-        left, right = linked_pairs(values, None, budget, starts)
-        u, v = stars(fps[np.searchsorted(values, left)], fps[np.searchsorted(values, right)])
+        u, v = forest(walked_links(values, None, budget, starts))
+        u, v = fps[np.searchsorted(values, u)], fps[np.searchsorted(values, v)]
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
@@ -258,16 +276,20 @@ def linked(classes: DataFrame, budget: int = BUDGET, most: int = MOST_TOGETHER)
     walked = _walked(budget)
     found = None
     while True:
-        now = checkpointed(now.mapInArrow(_viewed(budget), "path long, depth long, value long, fp long").withColumn("top", F.when(F.col("depth") == 64, F.col("value")).otherwise(top)))
-        hot = checkpointed(now.where(f"64 - depth > {budget}").groupBy("path", "top").count().where(F.col("count") > most).select("path", "top"))
+        viewed = now.mapInArrow(_viewed(budget), "path long, depth long, value long, fp long").withColumn("top", F.when(F.col("depth") == 64, F.col("value")).otherwise(top))
+        viewed = viewed.persist(StorageLevel.MEMORY_AND_DISK)  # until its edges are written; what a lost executor had is made again
+        hot = viewed.where(f"64 - depth > {budget}").groupBy("path", "top").count().where(F.col("count") > most).select("path", "top")
         some = not hot.isEmpty()  # at most (budget + 1) * rows / most
-        cool = now.join(hot, ["path", "top"], "left_anti") if some else now
+        if some:
+            hot = checkpointed(hot)
+            now = checkpointed(viewed.join(hot, ["path", "top"], "left_semi").select("path", "depth", "value", "fp"))
+        cool = viewed.join(hot, ["path", "top"], "left_anti") if some else viewed
         dealt = cool.select("path", "top", "value", "fp").repartition("path", "top").sortWithinPartitions("path", "top", "value")
-        edges = dealt.mapInArrow(walked, "u long, v long")
+        edges = checkpointed(dealt.mapInArrow(walked, "u long, v long").distinct())
+        viewed.unpersist()
         found = edges if found is None else found.unionByName(edges)
         if not some:
             return found
-        now = now.join(hot, ["path", "top"], "left_semi").select("path", "depth", "value", "fp")
 
 
 def _grouped(narrow: DataFrame, budget: int) -> DataFrame:

@@ -109,6 +109,16 @@ def test_links_are_whole_on_either_side_of_the_split(spark, most):
     assert name(mine.values()) == name(groups.values())
 
 
+def test_a_dense_group_is_held_as_a_forest():
+    """All fingerprints within three bits of one: each has many links."""
+    values = np.unique(np.array([0] + [1 << i | 1 << j | 1 << k for i in range(40) for j in range(i) for k in range(j)], dtype=np.uint64))
+    u, v = simhash.forest(simhash.walked_links(values, None, 2), 1000)
+    left, right = simhash.linked_pairs(values, None, 2)
+    a, b = simhash.stars(left, right)
+    assert len(left) > 20 * len(values) and len(u) < len(values)
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == dict(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_copies_of_a_fingerprint_do_not_depend_on_their_number(spark):
     rng = np.random.default_rng(2)
     for n in (200, 20_000):
