@@ -67,7 +67,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: its id, source, size, source_size, target, and ``copies`` to take."""
-    sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))  # the one pass over the texts
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     return _mixed(sized, weights, most, seed).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
 
 
@@ -81,7 +81,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     at_id, at_text, at_source = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
     sized = fields.withColumns({"id": F.col(at_id), "source": F.col(at_source), "size": word_count(F.col(at_text))})
     key = [F.col("id"), F.col("source"), F.col("size")]
-    taken = _mixed(checkpointed(sized.select(*key)), weights, most, seed)
+    taken = _mixed(sized.select(*key), weights, most, seed)
     # rows of one key are neighbours in the order, so their copies are dealt out among them again
     per_key = taken.groupBy("id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     found = sized.join(
@@ -96,8 +96,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
 
 def _mixed(sized: DataFrame, weights: Sequence[int], most: int, seed: int) -> DataFrame:
-    rows, _ = ranked(sized, "source", ["size", "id"])
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows, _ = ranked(sized, "source", ["size", "id"])  # the one pass over the texts
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     steps = targets.select(F.col("source").alias("t_source"), "source_size", "target", expected.alias("expected"), _offset(seed).alias("offset"))
