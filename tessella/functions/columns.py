@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,10 +53,19 @@ def product(s: Column, t: Column) -> Column:
     return F.array(*(s[3 * i] * t[j] + s[3 * i + 1] * t[3 + j] + s[3 * i + 2] * t[6 + j] for i in range(3) for j in range(3)))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it names several times: as a lambda's variable it is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _turned(items: Column) -> Column:
+    """An array with its first item last."""
+    return F.concat(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 1, 1))
+
+
 def signed_area(points: Column) -> Column:
     """Shoelace area of an array of (x, y) structs."""
-    following = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
-    crossed = F.zip_with(points, following, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    crossed = _once(points, lambda own: F.zip_with(own, _turned(own), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]))
     return F.aggregate(crossed, F.lit(0.0), lambda s, v: s + v) / 2
 
 
@@ -78,14 +89,12 @@ def even_odd(points: Column, x: Column, y: Column) -> Column:
 
 def clipped(points: Column, window: Column) -> Column:
     """A convex polygon within a convex window of either orientation, both arrays of (x, y) structs."""
-    turn = F.when(signed_area(window) >= 0, 1.0).otherwise(-1.0)
-    following = F.concat(F.slice(window, 2, F.greatest(F.size(window) - 1, F.lit(0))), F.slice(window, 1, 1))
-    edges = F.zip_with(window, following, lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), (q["x"] - p["x"]).alias("u"), (q["y"] - p["y"]).alias("v")))
+    edge = lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), (q["x"] - p["x"]).alias("u"), (q["y"] - p["y"]).alias("v"))
+    edges = _once(F.when(signed_area(window) >= 0, window).otherwise(F.reverse(window)), lambda w: F.zip_with(w, _turned(w), edge))
 
     def half(polygon: Column, edge: Column) -> Column:
-        side = lambda p: turn * (edge["u"] * (p["y"] - edge["y"]) - edge["v"] * (p["x"] - edge["x"]))
+        side = lambda p: edge["u"] * (p["y"] - edge["y"]) - edge["v"] * (p["x"] - edge["x"])
         sided = F.transform(polygon, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(p).alias("s")))
-        after = F.concat(F.slice(sided, 2, F.greatest(F.size(sided) - 1, F.lit(0))), F.slice(sided, 1, 1))
 
         def step(p: Column, q: Column) -> Column:
             share = p["s"] / (p["s"] - q["s"])
@@ -94,7 +103,7 @@ def clipped(points: Column, window: Column) -> Column:
             crosses = (p["s"] < 0) != (q["s"] < 0)
             return F.when((p["s"] >= 0) & crosses, F.array(own, cut)).when(p["s"] >= 0, F.array(own)).when(crosses, F.array(cut)).otherwise(F.slice(F.array(own), 1, 0))
 
-        return F.flatten(F.zip_with(sided, after, step))
+        return F.flatten(_once(sided, lambda s: F.zip_with(s, _turned(s), step)))
 
     return F.aggregate(edges, points, half)
 
