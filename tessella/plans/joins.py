@@ -68,8 +68,7 @@ def j7_box_overlap(spark, sf_dir):
 def j8_near_axes(spark, sf_dir):
     """Optical axes nearer than their half fields of view together, by yaw and pitch."""
     p = given(spark, sf_dir, "photos").select("id", F.radians(F.col("id") * 37 % 360).alias("yaw"), F.radians(F.col("id") * 11 % 41 - 20).alias("pitch"), F.radians(5.0 + F.col("id") % 7).alias("half"))
-    axes = p.select("id", (F.sin("yaw") * F.cos("pitch")).alias("x"), F.sin("pitch").alias("y"), (F.cos("yaw") * F.cos("pitch")).alias("z"), "half")
-    return candidates.near_axes(axes).select("a", "b", F.round("score", 5).alias("score"))
+    return candidates.near_axes(p).select("a", "b", F.round("score", 5).alias("score"))
 
 
 def j10_best_evidence_lookup(spark, sf_dir):
