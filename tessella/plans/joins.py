@@ -100,9 +100,10 @@ def j14_smallest_outline(spark, sf_dir):
     boxes = given(spark, sf_dir, "boxes")
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
-    shapes = boxes.select("id", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("points"), F.explode(F.sequence(F.floor(x0 / CELL), F.floor(x1 / CELL))).alias("gx"))
-    asked = given(spark, sf_dir, "photos").select(F.col("id").alias("q"), (F.col("id") * 31 % 1000 + 0.5).cast("double").alias("x"), (F.col("id") * 17 % 1000 + 0.5).cast("double").alias("y")).withColumn("gx", F.floor(F.col("x") / CELL))
-    inside = asked.join(shapes, "gx").where(C.even_odd(F.col("points"), F.col("x"), F.col("y")))
+    shapes = boxes.select("id", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("points"), F.explode(F.sequence(F.floor(x0 / CELL), F.floor(x1 / CELL))).alias("gx"), y0.alias("top"), y1.alias("low"))
+    shapes = shapes.withColumn("gy", F.explode(F.sequence(F.floor(F.col("top") / CELL), F.floor(F.col("low") / CELL)))).drop("top", "low")
+    asked = given(spark, sf_dir, "photos").select(F.col("id").alias("q"), (F.col("id") * 31 % 1000 + 0.5).cast("double").alias("x"), (F.col("id") * 17 % 1000 + 0.5).cast("double").alias("y")).withColumns({"gx": F.floor(F.col("x") / CELL), "gy": F.floor(F.col("y") / CELL)})
+    inside = asked.join(shapes, ["gx", "gy"]).where(C.even_odd(F.col("points"), F.col("x"), F.col("y")))
     return inside.groupBy("q").agg(F.min_by("id", F.struct(F.abs(C.signed_area(F.col("points"))), "id")).alias("id"))
 
 
