@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,24 +81,29 @@ def predicted(layout: dict[int, np.ndarray], sizes: dict[int, tuple[float, float
 
 def placement(photos: list[int], edges: list[tuple[int, int, float, np.ndarray]], sizes: dict[int, tuple[float, float]]) -> dict[int, np.ndarray]:
     """A first layout: maps chained along the strongest links, components side by side."""
-    left, maps, shift = sorted(photos), {}, 0.0
-    while left:
-        own = {left[0]: np.eye(3)}
-        while True:
-            ways = [(w, -k) for k, (a, b, w, _) in enumerate(edges) if (a in own) != (b in own)]
-            if not ways:
-                break
-            a, b, _, h = edges[-max(ways)[1]]
-            if a in own:
-                own[b] = own[a] @ np.linalg.inv(h)
-            else:
-                own[a] = own[b] @ h
+    links: dict[int, list[int]] = {p: [] for p in photos}
+    for k, (a, b, _, _) in enumerate(edges):
+        links[a].append(k)
+        links[b].append(k)
+    maps, shift, gap = {}, 0.0, 0.1 * max((max(s) for s in sizes.values()), default=0.0)
+    for first in sorted(photos):
+        if first in maps:
+            continue
+        own, ways = {first: np.eye(3)}, [(-edges[k][2], k) for k in links[first]]
+        heapq.heapify(ways)  # the strongest first, of equals the first given
+        while ways:
+            a, b, _, h = edges[heapq.heappop(ways)[1]]
+            if a in own and b in own:
+                continue
+            new = b if a in own else a
+            own[new] = own[a] @ np.linalg.inv(h) if new == b else own[b] @ h
+            for k in links[new]:
+                heapq.heappush(ways, (-edges[k][2], k))
         corners = np.concatenate([models.apply(t, polygons.rectangle(*sizes[p])) for p, t in own.items()])
         low, high = np.nanmin(corners, axis=0), np.nanmax(corners, axis=0)
         move = np.array([[1, 0, shift - low[0]], [0, 1, -low[1]], [0, 0, 1.0]])
         maps |= {p: move @ t for p, t in own.items()}
-        shift += high[0] - low[0] + 0.1 * max(max(s) for s in sizes.values())
-        left = [p for p in left if p not in own]
+        shift += high[0] - low[0] + gap
     return maps
 
 
