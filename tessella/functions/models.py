@@ -67,15 +67,34 @@ def _homography(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray | Non
 
     def normal(p):
         c = p.mean(axis=0)
-        s = np.sqrt(2) / max(np.sqrt(((p - c) ** 2).sum(axis=1)).mean(), 1e-12)
-        return np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1.0]])
+        return normaliser(c, np.sqrt(((p - c) ** 2).sum(axis=1)).mean())
 
     ta, tb = normal(a), normal(b)
+    return homography_of(triangle(transform_rows(a, b, w, ta, tb)), ta, tb)
+
+
+def normaliser(centre: np.ndarray, apart: float) -> np.ndarray:
+    """The map that takes points to their centre, at a mean distance of the root of two."""
+    s = np.sqrt(2) / max(apart, 1e-12)
+    return np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1.0]])
+
+
+def transform_rows(a: np.ndarray, b: np.ndarray, w: np.ndarray, ta: np.ndarray, tb: np.ndarray) -> np.ndarray:
+    """Two linear equations for the nine numbers of a homography from each match."""
     p, q = apply(ta, a), apply(tb, b)
     one, zero = np.ones(len(a)), np.zeros(len(a))
     top = np.column_stack([p, one, zero, zero, zero, -q[:, 0] * p[:, 0], -q[:, 0] * p[:, 1], -q[:, 0]])
     low = np.column_stack([zero, zero, zero, p, one, -q[:, 1] * p[:, 0], -q[:, 1] * p[:, 1], -q[:, 1]])
-    _, s, v = np.linalg.svd(np.concatenate([top * np.sqrt(w)[:, None], low * np.sqrt(w)[:, None]]))
+    return np.concatenate([top * np.sqrt(w)[:, None], low * np.sqrt(w)[:, None]])
+
+
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """As many rows as columns at most, with the singular values and right vectors of ``rows``."""
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
+def homography_of(rows: np.ndarray, ta: np.ndarray, tb: np.ndarray) -> np.ndarray | None:
+    _, s, v = np.linalg.svd(rows)
     if s[min(7, len(s) - 1)] < 1e-9:
         return None
     h = np.linalg.inv(tb) @ v[-1].reshape(3, 3) @ ta
