@@ -21,6 +21,7 @@ from tessella.functions.columns import inverse, mapped, product, stretch
 from tessella.operators.graph import grown_tree, inconsistent
 from tessella.operators.ordering import numbered
 from tessella.operators.problem import camera_homography
+from tessella.operators.spread import Spread
 from tessella.operators.verification import upper_median
 
 HUBER = 2.0
@@ -61,8 +62,47 @@ def problem(matches: DataFrame) -> list[Pair]:
     return out
 
 
-def connected(photos: list[int], pairs: list[Pair]) -> bool:
-    return len(groups(photos, [(p.a, p.b) for p in pairs])) <= 1
+#: Up to so many matches are solved on the driver, more where they are, with the same result up to rounding.
+MOST_ON_DRIVER = 200_000
+
+
+class SpreadPairs:
+    """The pairs of one layout whose matches stay on the cluster."""
+
+    def __init__(self, matches: DataFrame):
+        self.rows = Spread(matches, ["a", "b"], ["ax", "ay", "bx", "by", "sigma"])
+        self.ends: list[tuple[int, int]] = self.rows.keys
+
+    def each(self, work: Callable[[Pair], np.ndarray], combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+        ends = self.ends
+        return self.rows.each(lambda k, m: work(Pair(*ends[k], m[:, :2], m[:, 2:4], m[:, 4])), combine)
+
+
+def uncapped(matches: DataFrame) -> list[Pair] | SpreadPairs:
+    """As ``problem`` for any number of matches. Turned cameras need the list."""
+    return problem(matches) if matches.count() <= MOST_ON_DRIVER else SpreadPairs(matches)
+
+
+def ends_of(pairs: list[Pair] | SpreadPairs) -> list[tuple[int, int]]:
+    return pairs.ends if isinstance(pairs, SpreadPairs) else [(p.a, p.b) for p in pairs]
+
+
+def each_pair(pairs: list[Pair] | SpreadPairs, work: Callable[[Pair], np.ndarray], combine: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> list[np.ndarray]:
+    """``work`` of each pair, in order; where a pair's matches are spread, what its parts give is combined."""
+    return pairs.each(work, combine) if isinstance(pairs, SpreadPairs) else [work(p) for p in pairs]
+
+
+def _scale(pairs: list[Pair] | SpreadPairs) -> float:
+    """The largest coordinate."""
+    return max((float(v) for v in each_pair(pairs, lambda p: np.abs(p.pa).max(initial=0.0), np.maximum)), default=1.0) or 1.0
+
+
+def _scaled(pair: Pair, scale: float) -> Pair:
+    return Pair(pair.a, pair.b, pair.pa / scale, pair.pb / scale, pair.sigma / scale)
+
+
+def connected(photos: list[int], pairs: list[Pair] | SpreadPairs) -> bool:
+    return len(groups(photos, ends_of(pairs))) <= 1
 
 
 def groups(photos: list[int], edges: list[tuple[int, int]]) -> list[list[int]]:
@@ -119,23 +159,25 @@ def pair_block(model: str, pair: Pair, xa: np.ndarray, xb: np.ndarray, robust: b
     s = np.sqrt((r**2).sum(axis=1)) / pair.sigma
     w = np.where(s <= HUBER, 1.0, HUBER / np.maximum(s, 1e-12)) if robust else np.ones(len(s))
     w = w / pair.sigma**2
-    return np.einsum("n,nki,nkj->ij", w, j, j), np.einsum("n,nki,nk->i", w, j, r)
+    return np.einsum("n,nki,nkj->ij", w, j, j, optimize=True), np.einsum("n,nki,nk->i", w, j, r, optimize=True)
 
 
-def solve_linear(model: str, photos: list[int], pairs: list[Pair], anchor: int, rounds: int = 8) -> Layout:
+def solve_linear(model: str, photos: list[int], pairs: list[Pair] | SpreadPairs, anchor: int, rounds: int = 8) -> Layout:
     """Reweighted least squares for maps that are linear in their parameters; the anchor stays the identity."""
     if not connected(photos, pairs):
         raise ValueError("the photos don't hang together")
-    scale = max((float(np.abs(p.pa).max()) for p in pairs if len(p.pa)), default=1.0) or 1.0
-    small = [Pair(p.a, p.b, p.pa / scale, p.pb / scale, p.sigma / scale) for p in pairs]
+    scale = _scale(pairs)
     size, free = PARAMETERS[model], [p for p in photos if p != anchor]
     place = {p: i for i, p in enumerate(free)}
     x = {p: _identity(model) for p in photos}
     for turn in range(rounds):
         system = BlockSystem([size] * len(free))
-        for p in small:
-            block, side = pair_block(model, p, x[p.a], x[p.b], robust=turn > 0)
-            _add_pair(system, place, (p.a, p.b), (size, size), block, side)
+
+        def block(p: Pair, x=x, robust=turn > 0) -> np.ndarray:
+            return np.column_stack(pair_block(model, _scaled(p, scale), x[p.a], x[p.b], robust))
+
+        for ends, sums in zip(ends_of(pairs), each_pair(pairs, block), strict=True):
+            _add_pair(system, place, ends, (size, size), sums[:, :-1], sums[:, -1])
         extra = np.zeros(len(free) * size)
         if model != "translation":
             linear = [place[p] * size + i for p in free for i in ((0, 1) if model == "similarity" else (0, 1, 3, 4))]
@@ -168,19 +210,24 @@ def transfer(pair: Pair, ta: np.ndarray, tb: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(d), d, 1e6)
 
 
-def _layout(model: str, anchor: int, transforms: dict[int, np.ndarray], pairs: list[Pair]) -> Layout:
-    each = {(p.a, p.b): transfer(p, transforms[p.a], transforms[p.b]) for p in pairs}
-    every = np.concatenate(list(each.values())) if each else np.zeros(0)
-    pair_rms = {k: float(np.sqrt((v**2).mean())) if len(v) else 0.0 for k, v in each.items()}
-    return Layout(model, anchor, transforms, float(np.sqrt((every**2).mean())) if len(every) else 0.0, pair_rms)
+def _layout(model: str, anchor: int, transforms: dict[int, np.ndarray], pairs: list[Pair] | SpreadPairs) -> Layout:
+    def squares(p: Pair) -> np.ndarray:
+        d = transfer(p, transforms[p.a], transforms[p.b])
+        return np.array([len(d), (d**2).sum()])
 
+    each = dict(zip(ends_of(pairs), each_pair(pairs, squares), strict=True))
+    number, total = sum(each.values(), np.zeros(2))
+    pair_rms = {k: float(np.sqrt(v / n)) if n else 0.0 for k, (n, v) in each.items()}
+    return Layout(model, anchor, transforms, float(np.sqrt(total / number)) if number else 0.0, pair_rms)
 
-def chained(photos: list[int], pairs: list[Pair], anchor: int) -> dict[int, np.ndarray] | None:
+
+def chained(photos: list[int], pairs: list[Pair] | SpreadPairs, anchor: int) -> dict[int, np.ndarray] | None:
     """Maps along the tree of most matches from the anchor, each by its pair's own map; None where one is missing."""
-    maps = {k: h for k, p in ((k, p) for k, p in enumerate(pairs)) if (h := pair_map(p)) is not None and np.isfinite(h).all() and abs(np.linalg.det(h)) > 1e-12}
+    ends, sizes = ends_of(pairs), each_pair(pairs, lambda p: np.array(float(len(p.pa))))
+    maps = {k: h for k, h in enumerate(pair_maps(pairs)) if h is not None and np.isfinite(h).all() and abs(np.linalg.det(h)) > 1e-12}
     known = {anchor: np.eye(3)}
-    for a, b in grown_tree([(pairs[k].a, pairs[k].b, float(len(pairs[k].pa))) for k in maps], anchor):
-        h = next(maps[k] for k in maps if (pairs[k].a, pairs[k].b) == (a, b))
+    for a, b in grown_tree([(*ends[k], float(sizes[k])) for k in maps], anchor):
+        h = next(maps[k] for k in maps if ends[k] == (a, b))
         new = known[a] @ np.linalg.inv(h) if a in known else known[b] @ h
         if abs(new[2, 2]) < 1e-9:
             return None
@@ -188,16 +235,17 @@ def chained(photos: list[int], pairs: list[Pair], anchor: int) -> dict[int, np.n
     return known if len(known) == len(photos) else None
 
 
-def solve_homography(photos: list[int], pairs: list[Pair], anchor: int, rounds: int = 60) -> Layout:
+def solve_homography(photos: list[int], pairs: list[Pair] | SpreadPairs, anchor: int, rounds: int = 60, start: Layout | None = None) -> Layout:
     """Levenberg-Marquardt over eight parameters a photo, from the affine layout or the chained maps, whichever fits better.
 
     Residuals count in photo pixels: those in the plane are divided by how much the pair's maps stretch there, so that maps
     don't fit by shrinking.
     """
-    start = solve_linear("affine", photos, pairs, anchor)
-    scale = max((float(np.abs(p.pa).max()) for p in pairs if len(p.pa)), default=1.0) or 1.0
+    start = start or solve_linear("affine", photos, pairs, anchor)
+    scale = _scale(pairs)
     grow = np.diag([scale, scale, 1.0])
-    small = [Pair(p.a, p.b, p.pa / scale, p.pb / scale, p.sigma / scale) for p in pairs]
+    sums = each_pair(pairs, lambda p: np.array([len(p.pa), *(p.pa / scale).sum(axis=0), *(p.pb / scale).sum(axis=0)]))
+    middles = {k: (v[1:3] / v[0], v[3:5] / v[0]) for k, v in zip(ends_of(pairs), sums, strict=True)}
     free = [p for p in photos if p != anchor]
     place = {p: i for i, p in enumerate(free)}
     x = {p: (np.linalg.inv(grow) @ start.transforms[p] @ grow).ravel()[:8] for p in photos}
@@ -216,19 +264,32 @@ def solve_homography(photos: list[int], pairs: list[Pair], anchor: int, rounds:
     def stretched(values, p):
         """The stretch of the pair's maps at the middle of its matches."""
         out = []
-        for v, points in ((values[p.a], p.pa), (values[p.b], p.pb)):
-            middle = points.mean(axis=0)
+        for v, middle in zip((values[p.a], values[p.b]), middles[p.a, p.b], strict=True):
             z, at = middle @ v[6:8] + 1.0, mapped(v, middle[None])[0][0]
             linear = (np.array([[v[0], v[1]], [v[3], v[4]]]) - np.outer(at, v[6:8])) / z
             out.append(np.sqrt(abs(np.linalg.det(linear))))
         return max(float(np.mean(out)), 1e-6)
 
     def cost(values):
-        total = 0.0
-        for p in small:
+        def own(p):
+            p = _scaled(p, scale)
             r = np.sqrt(((mapped(values[p.a], p.pa)[0] - mapped(values[p.b], p.pb)[0]) ** 2).sum(axis=1)) / (p.sigma * stretched(values, p))
-            total += float(np.where(r <= HUBER, r * r, 2 * HUBER * r - HUBER**2).sum())
-        return total
+            return np.where(r <= HUBER, r * r, 2 * HUBER * r - HUBER**2).sum()
+
+        return sum(map(float, each_pair(pairs, own)))
+
+    def block(values):
+        def own(p):
+            p = _scaled(p, scale)
+            (ua, ja), (ub, jb) = mapped(values[p.a], p.pa), mapped(values[p.b], p.pb)
+            r = ua - ub
+            sigma = p.sigma * stretched(values, p)
+            s = np.sqrt((r**2).sum(axis=1)) / sigma
+            w = np.where(s <= HUBER, 1.0, HUBER / np.maximum(s, 1e-12)) / sigma**2
+            j = np.concatenate([ja, -jb], axis=2)
+            return np.column_stack([np.einsum("n,nki,nkj->ij", w, j, j, optimize=True), np.einsum("n,nki,nk->i", w, j, r, optimize=True)])
+
+        return own
 
     along = chained(photos, pairs, anchor)
     if along is not None:
@@ -237,14 +298,8 @@ def solve_homography(photos: list[int], pairs: list[Pair], anchor: int, rounds:
     now, damping = cost(x), 1e-3
     for _ in range(rounds):
         system = BlockSystem([8] * len(free))
-        for p in small:
-            (ua, ja), (ub, jb) = mapped(x[p.a], p.pa), mapped(x[p.b], p.pb)
-            r = ua - ub
-            sigma = p.sigma * stretched(x, p)
-            s = np.sqrt((r**2).sum(axis=1)) / sigma
-            w = np.where(s <= HUBER, 1.0, HUBER / np.maximum(s, 1e-12)) / sigma**2
-            j = np.concatenate([ja, -jb], axis=2)
-            _add_pair(system, place, (p.a, p.b), (8, 8), np.einsum("n,nki,nkj->ij", w, j, j, optimize=True), np.einsum("n,nki,nk->i", w, j, r, optimize=True))
+        for ends, own in zip(ends_of(pairs), each_pair(pairs, block(x)), strict=True):
+            _add_pair(system, place, ends, (8, 8), own[:, :-1], own[:, -1])
         before, better = now, False
         for _ in range(10):
             step = system.solved_safely(damping * (system.diagonal() + 1e-12))
@@ -411,13 +466,13 @@ class Solves:
         self.sizes, self.focal = sizes, focal
         self.known: dict[tuple, Layout] = {}
 
-    def get(self, kind: str, photos: list[int], pairs: list[Pair], anchor: int) -> Layout:
-        key = (kind, anchor, tuple(photos), tuple((p.a, p.b, len(p.pa)) for p in pairs))
+    def get(self, kind: str, photos: list[int], pairs: list[Pair] | SpreadPairs, anchor: int) -> Layout:
+        key = (kind, anchor, tuple(photos), tuple(pairs.ends if isinstance(pairs, SpreadPairs) else ((p.a, p.b, len(p.pa)) for p in pairs)))
         if key not in self.known:
             if kind == "rotation":
                 self.known[key] = rotation_layout(photos, pairs, anchor, self.sizes, self.focal)
             elif kind == "homography":
-                self.known[key] = solve_homography(photos, pairs, anchor)
+                self.known[key] = solve_homography(photos, pairs, anchor, start=self.get("affine", photos, pairs, anchor))
             else:
                 self.known[key] = solve_linear(kind, photos, pairs, anchor)
         found = self.known[key]
@@ -428,7 +483,7 @@ ROTATION_PHOTOS = 60  # above so many, automatic mode tries turned cameras on a
 ROTATION_TRIAL = 40
 
 
-def choose(photos: list[int], pairs: list[Pair], anchor: int, sizes: dict[int, tuple[float, float]] | None = None, mode: str = "automatic", solves: Solves | None = None) -> Layout:
+def choose(photos: list[int], pairs: list[Pair] | SpreadPairs, anchor: int, sizes: dict[int, tuple[float, float]] | None = None, mode: str = "automatic", solves: Solves | None = None) -> Layout:
     """The simplest kind of map of the mode that explains the matches nearly as well as the best.
 
     ``plane`` has no perspective, ``document`` no turned cameras, ``rotation`` these alone.
@@ -549,6 +604,29 @@ def pair_map(pair: Pair) -> np.ndarray | None:
     return None
 
 
+def pair_maps(pairs: list[Pair] | SpreadPairs) -> list[np.ndarray | None]:
+    """``pair_map`` of each pair."""
+    if not isinstance(pairs, SpreadPairs):
+        return [pair_map(p) for p in pairs]
+    number = each_pair(pairs, lambda p: np.array([len(p.pa), *p.pa.sum(axis=0), *p.pb.sum(axis=0)]))
+    centre = {k: (v[1:3] / v[0], v[3:5] / v[0]) for k, v in zip(pairs.ends, number, strict=True)}
+    apart = each_pair(pairs, lambda p: np.array([np.linalg.norm(q - c, axis=1).sum() for q, c in zip((p.pa, p.pb), centre[p.a, p.b], strict=True)]))
+    normal = {k: [models.normaliser(c, d / n[0]) for c, d in zip(centre[k], own, strict=True)] for k, own, n in zip(pairs.ends, apart, number, strict=True)}
+    both = lambda u, v: models.triangle(np.concatenate([u, v]))
+    rows = each_pair(pairs, lambda p: models.triangle(models.transform_rows(p.pa, p.pb, 1 / p.sigma**2, *normal[p.a, p.b])), both)
+    maps = [models.homography_of(r, *normal[k]) if n[0] >= 8 else None for k, r, n in zip(pairs.ends, rows, number, strict=True)]
+    if any(h is None for h in maps):  # a similarity, from as few rows with the same least squares
+
+        def similar(p: Pair) -> np.ndarray:
+            j = np.concatenate([_basis("similarity", p.pa), p.pb[:, :, None]], axis=2) / p.sigma[:, None, None]
+            return models.triangle(j.reshape(-1, 5))
+
+        for k, (r, n) in enumerate(zip(each_pair(pairs, similar, both), number, strict=True)):
+            if maps[k] is None and n[0] >= 2 and np.linalg.matrix_rank(r[:, :4]) == 4:
+                maps[k] = _matrix("similarity", np.linalg.lstsq(r[:, :4], r[:, 4], rcond=None)[0])
+    return maps
+
+
 def loops(pairs: list[Pair], threshold: float = 3.0) -> list[tuple[int, int, int, bool]]:
     """All triangles i < j < k of pairs, and whether one of the three ways round them closes.
 

@@ -39,8 +39,8 @@ def n7_problem(spark, sf_dir):
 
 def _aligned(spark, sf_dir, model: str, rounds: int) -> alignment.Layout:
     m = _pairs(spark, sf_dir).withColumn("sigma", F.lit(1.0)).select("a", "b", "idx", "ax", "ay", "bx", "by", "sigma")
-    pairs = alignment.problem(m)
-    return alignment.solve_linear(model, sorted({x for p in pairs for x in (p.a, p.b)}), pairs, 0, rounds)
+    pairs = alignment.uncapped(m)
+    return alignment.solve_linear(model, sorted({x for ends in alignment.ends_of(pairs) for x in ends}), pairs, 0, rounds)
 
 
 def n2_translations(spark, sf_dir):
