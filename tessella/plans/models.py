@@ -110,8 +110,8 @@ def r5_seam_rounds(spark, sf_dir):
 def v7_model_choice(spark, sf_dir):
     """The kind of map that a chain of photos takes."""
     m = _pairs(spark, sf_dir).withColumn("sigma", F.lit(1.0)).select("a", "b", "idx", "ax", "ay", "bx", "by", "sigma")
-    pairs = alignment.problem(m)
-    layout = alignment.choose(sorted({x for p in pairs for x in (p.a, p.b)}), pairs, 0)
+    pairs = alignment.uncapped(m)
+    layout = alignment.choose(sorted({x for ends in alignment.ends_of(pairs) for x in ends}), pairs, 0)
     return spark.createDataFrame([(layout.model, bool(layout.rms < 10))], "model string, near boolean")
 
 
