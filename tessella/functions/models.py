@@ -110,6 +110,13 @@ def upper_median(values: np.ndarray) -> float:
     return float(np.sort(values)[len(values) // 2]) if len(values) else float("nan")
 
 
+def draws_needed(share: float, size: int, confidence: float, before: int) -> int:
+    """After how many draws one of inliers alone is as good as certain."""
+    if share <= 0:
+        return before
+    return 1 if share >= 1 else int(np.ceil(log(1 - confidence) / min(log(1 - share**size), -1e-12)))
+
+
 def fit(model: str, a: np.ndarray, b: np.ndarray, threshold: float, iterations: int = DEFAULTS.max_iterations, confidence: float = DEFAULTS.confidence, seed: int = DEFAULTS.seed) -> Fit | None:
     """Random samples scored by truncated squared residuals, then refits on the inliers; seeded.
 
@@ -132,8 +139,7 @@ def fit(model: str, a: np.ndarray, b: np.ndarray, threshold: float, iterations:
         if (new := float((own**2).sum())) < cost:
             best, cost = h, new
             share = (own < threshold).mean()
-            if share > 0:
-                needed = 1 if share >= 1 else int(np.ceil(log(1 - confidence) / min(log(1 - share**size), -1e-12)))
+            needed = draws_needed(share, size, confidence, needed)
     if best is None:
         return None
     for _ in range(10):
