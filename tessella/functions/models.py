@@ -40,22 +40,29 @@ def least_squares(model: str, a: np.ndarray, b: np.ndarray, weights: np.ndarray
         t = np.average(b - a, axis=0, weights=w)
         return np.array([[1, 0, t[0]], [0, 1, t[1]], [0, 0, 1.0]])
     ca, cb = np.average(a, axis=0, weights=w), np.average(b, axis=0, weights=w)
-    p, q = a - ca, b - cb
-    scale = max(np.sqrt(np.average((p**2).sum(axis=1), weights=w)), 1e-12)
+    if model == "homography":
+        return _homography(a, b, w)
+    r = np.sqrt(w)[:, None]
+    return linear_map(model, ca, cb, (a - ca) * r, (b - cb) * r, w.sum())
+
+
+def linear_map(model: str, ca: np.ndarray, cb: np.ndarray, p: np.ndarray, q: np.ndarray, weight: float) -> np.ndarray | None:
+    """The similarity or affine map from points about their centres, times the roots of weights of that sum.
+
+    A triangle of (p, q) does as well.
+    """
+    scale = max(np.sqrt((p**2).sum() / weight), 1e-12)
     p = p / scale
-    r = np.sqrt(w)
     if model == "similarity":
-        rows = np.concatenate([np.column_stack([p[:, 0], -p[:, 1]]) * r[:, None], np.column_stack([p[:, 1], p[:, 0]]) * r[:, None]])
+        rows = np.concatenate([np.column_stack([p[:, 0], -p[:, 1]]), np.column_stack([p[:, 1], p[:, 0]])])
         if np.linalg.matrix_rank(rows) < 2:
             return None
-        u = np.linalg.lstsq(rows, np.concatenate([q[:, 0] * r, q[:, 1] * r]), rcond=None)[0] / scale
+        u = np.linalg.lstsq(rows, np.concatenate([q[:, 0], q[:, 1]]), rcond=None)[0] / scale
         linear = np.array([[u[0], -u[1]], [u[1], u[0]]])
-    elif model == "affine":
-        if np.linalg.matrix_rank(p * r[:, None], tol=1e-9) < 2:
-            return None
-        linear = np.linalg.lstsq(p * r[:, None], q * r[:, None], rcond=None)[0].T / scale
     else:
-        return _homography(a, b, w)
+        if np.linalg.matrix_rank(p, tol=1e-9) < 2:
+            return None
+        linear = np.linalg.lstsq(p, q, rcond=None)[0].T / scale
     out = np.eye(3)
     out[:2, :2] = linear
     out[:2, 2] = cb - linear @ ca

@@ -70,6 +70,28 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(order)[:-1] + chain(order[::-1])[:-1])
 
 
+def corners(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of very many points: those within the hull of a few extreme ones go first."""
+    if len(points) > 100:
+        turns = np.arange(16) * np.pi / 8
+        ends = points[(points @ np.stack([np.cos(turns), np.sin(turns)])).argmax(axis=0)]
+        ends = ends[hull(ends)]
+        if len(ends) > 2:
+            points = points[~(_sides(ends, points) > 0).all(axis=0)]
+    return points[hull(points)]
+
+
+def within(polygon: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Which points are in a convex polygon, its edges included."""
+    side = _sides(polygon, points)
+    return (side >= 0).all(axis=0) | (side <= 0).all(axis=0)
+
+
+def _sides(polygon: np.ndarray, points: np.ndarray) -> np.ndarray:
+    following = np.roll(polygon, -1, axis=0)
+    return (following[:, 0] - polygon[:, 0])[:, None] * (points[:, 1][None] - polygon[:, 1][:, None]) - (following[:, 1] - polygon[:, 1])[:, None] * (points[:, 0][None] - polygon[:, 0][:, None])
+
+
 def hull_area(points: np.ndarray) -> float:
     return abs(area(points[hull(points)])) if len(points) > 2 else 0.0
 
@@ -84,9 +106,19 @@ def peeled_hull_area(points: np.ndarray) -> float:
 
 def coverage(points: np.ndarray, polygon: np.ndarray, grid: int = 8) -> float:
     """The share of grid cells of the polygon's box, among those it touches, that hold a point."""
+    return coverage_of(taken(points, polygon, grid), polygon, grid)
+
+
+def taken(points: np.ndarray, polygon: np.ndarray, grid: int = 8) -> set[tuple[int, int]]:
+    """The grid cells of the polygon's box that hold a point."""
+    low, high = polygon.min(axis=0), polygon.max(axis=0)
+    cells = np.clip(((points - low) / np.maximum(high - low, 1e-9) * grid).astype(int), 0, grid - 1)
+    return set(map(tuple, np.unique(cells, axis=0).tolist()))
+
+
+def coverage_of(taken: set[tuple[int, int]], polygon: np.ndarray, grid: int = 8) -> float:
+    """``coverage`` by points in the given cells."""
     low, high = polygon.min(axis=0), polygon.max(axis=0)
-    cell = lambda p: np.clip(((p - low) / np.maximum(high - low, 1e-9) * grid).astype(int), 0, grid - 1)
-    taken = {tuple(c) for c in cell(points)} if len(points) else set()
     size = (high - low) / grid
     boxes = ((i, j, clip(polygon, low + size * (np.array([i, j]) + np.array([[0, 0], [1, 0], [1, 1], [0, 1]])))) for i in range(grid) for j in range(grid))
     touched = {(i, j) for i, j, part in boxes if abs(area(part)) > 1e-9}

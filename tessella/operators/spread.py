@@ -30,6 +30,13 @@ class Spread:
         both = rows.alias("r").join(F.broadcast(numbers.alias("n")), same)  # the keys, which the driver holds too
         self.rows = stored(both.select("_key", *(F.col(f"r.{v}").cast("double").alias(v) for v in values)))
 
+    @classmethod
+    def of(cls, keys: list[tuple], rows: DataFrame) -> Spread:
+        """Stored rows whose first column, ``_key``, has the places of their keys."""
+        out = cls.__new__(cls)
+        out.keys, out.rows = keys, rows
+        return out
+
     def each(self, work: Callable[[int, np.ndarray], np.ndarray], combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
         """For each key ``work`` of its number and rows; what parts of them give is combined."""
 
